@@ -15,37 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chars import pieces, spaced_code_points
 from .frames import by_batch, filter_batches, fit_sample, held_out, keys_and_text, table
 from .words import _mix
 
 UNDETERMINED = "und"
 _K = 2  # slots of an n-gram
-_SPACE = np.uint64(32)
-
-
-def _letters() -> np.ndarray:
-    """Marks the code points that are letters."""
-    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
-
-
-_IS_LETTER: list[np.ndarray] = []
 
 
 def _code_points(texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(code points, index of the text) of lower-cased texts, each run of anything but letters as one space."""
-    if not _IS_LETTER:
-        _IS_LETTER.append(_letters())
-    texts = [f" {t.lower()} " for t in texts]
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    doc = np.repeat(np.arange(len(texts)), sizes)
-    letter = _IS_LETTER[0][cp]
-    keep = letter.copy()
-    keep[0:1] = True
-    keep[1:] |= letter[:-1]
-    keep[1:] |= doc[1:] != doc[:-1]
-    cp = np.where(letter, cp, 32)[keep].astype(np.uint64)
-    return cp, doc[keep]
+    return spaced_code_points(texts, "letters")
 
 
 def _ngrams(cp: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,30 +90,12 @@ class LanguageFilters:
     def predict(self, texts: list[str | None], batch_chars: int = 1 << 19) -> tuple[list[str], list[float]]:
         """(language or ``und``, share of the evidence) of each text; a longer text is counted piece by piece."""
         total, hits = np.zeros(len(texts)), np.zeros((len(texts), len(self.languages)))
-        some: list[str] = []
-        owner: list[int] = []
-        size = 0
-
-        def flush() -> None:
-            nonlocal some, owner, size
-            if some:
-                t, h = self.popcounts(some)
-                np.add.at(total, owner, t)
-                np.add.at(hits, owner, h)
-            some, owner, size = [], [], 0
-
-        letters = np.zeros(len(texts), dtype=bool)
-        for i, text in enumerate(texts):
-            text = text or ""
-            letters[i] = any(map(str.isalpha, text))
-            for at in range(0, len(text), batch_chars):
-                piece = text[at : at + batch_chars + self.n - 1]
-                some.append(piece)
-                owner.append(i)
-                size += len(piece)
-                if size >= batch_chars:
-                    flush()
-        flush()
+        texts = [t or "" for t in texts]
+        letters = np.array([any(map(str.isalpha, t)) for t in texts], dtype=bool)
+        for owner, some in pieces(texts, batch_chars, self.n - 1):
+            t, h = self.popcounts(some)
+            np.add.at(total, owner, t)
+            np.add.at(hits, owner, h)
         if not self.languages:
             return [UNDETERMINED] * len(texts), [0.0] * len(texts)
         share = hits / np.maximum(total, 1)[:, None]

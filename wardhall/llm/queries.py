@@ -10,8 +10,10 @@ from .langid import op6_language_id
 from .licenses import op10_license_scan
 from .pii import op9_pii
 from .quality import op3_quality_rules
+from .toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op3_quality_rules": op3_quality_rules,
     "op6_language_id": op6_language_id,
     "op9_pii": op9_pii,

@@ -1,121 +1,151 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax.
 
-A word is a bag of its character n-grams and itself, each hashed to a row of an embedding table; a text is the
-average of its words' vectors, and a linear softmax over it gives the probability of either label.  Table and
-softmax are trained jointly in numpy.  A misspelt word shares most n-grams with the word it is meant to be.
+A word is a bag of its character n-grams with word ends marked, each hashed to a row of an embedding table; a text
+is the average of its words' vectors, and a linear softmax over it gives the probability of either label.  Table
+and softmax are trained jointly in numpy.  A misspelt word shares most n-grams with the word it is meant to be.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .chars import pieces, spaced_code_points
 from .frames import by_batch, fit_sample, held_out, keys_and_text, table
 from .words import _mix
 
-_WORD = re.compile(r"[^\W_]+")
 THRESHOLD = 0.3
-
-
-def _subwords(word: str, buckets: int, lo: int = 3, hi: int = 5) -> np.ndarray:
-    """Rows of a word: its n-grams of lo to hi characters with word ends marked, and the whole word."""
-    cp = np.frombuffer(f"<{word[:64]}>".encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    out = []
-    for n in (*range(lo, hi + 1), len(cp)):
-        if n <= len(cp):
-            h = np.full(len(cp) - n + 1, n, dtype=np.uint64)
-            for j in range(n):
-                h = h * np.uint64(0x100000001B3) + cp[j : j + len(h)]
-            out.append(h)
-    return (_mix(np.concatenate(out)) % np.uint64(buckets)).astype(np.int64)
+_ORDERS = (3, 4, 5)
+#: Averages are scaled so that a few words in hundreds move the softmax at the usual rates.
+_SCALE = 20.0
+_PIECE = 1 << 18
+
+
+def subwords(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(table row, share of its word, text) of each n-gram, and the words of each text.
+
+    A word stands between single spaces, which mark its ends; an n-gram lies within a word and its ends.
+    """
+    cp, doc = spaced_code_points(texts, "alnum")
+    space = cp == 32
+    word = np.cumsum(space)
+    start = np.flatnonzero(space[:-1] & ~space[1:]) if len(cp) else np.empty(0, np.int64)
+    n_words = np.bincount(doc[start], minlength=len(texts))
+    rows, words, docs = [], [], []
+    for n in _ORDERS:
+        m = max(0, len(cp) - n + 1)
+        h = np.full(m, n, dtype=np.uint64)
+        broken = np.zeros(m, dtype=bool)
+        for j in range(n):
+            h = h * np.uint64(0x100000001B3) + cp[j : j + m]
+            if 0 < j < n - 1:
+                broken |= space[j : j + m]
+        ok = ~broken
+        rows.append((_mix(h[ok]) % np.uint64(buckets)).astype(np.int64))
+        words.append(word[1 : 1 + m][ok])
+        docs.append(doc[:m][ok])
+    w = np.concatenate(words)
+    share = 1.0 / np.bincount(w, minlength=1)[w] if len(w) else np.empty(0)
+    return np.concatenate(rows), share, np.concatenate(docs), n_words
 
 
 class SubwordSoftmax:
     """``table`` (buckets by dimensions), ``weight`` (dimensions by labels) and ``bias``."""
 
-    def __init__(self, buckets: int = 1 << 16, size: int = 8, seed: int = 11):
+    def __init__(self, buckets: int = 1 << 16, size: int = 4, seed: int = 11):
         rng = np.random.default_rng(seed)
         self.buckets = buckets
         self.table = rng.normal(0, 0.1, (buckets, size))
         self.weight = rng.normal(0, 0.1, (size, 2))
         self.bias = np.zeros(2)
-        self._logits: dict[str, float] = {}
 
-    def fit(self, texts: list[str], labels: list[int], epochs: int = 30, rate: float = 0.3, seed: int = 5, decay: float = 1e-6) -> SubwordSoftmax:
+    def fit(self, texts: list[str], labels: list[int], epochs: int = 12, rate: float = 0.3, seed: int = 5, decay: float = 1e-5) -> SubwordSoftmax:
         """Adagrad over shuffled minibatches of whole texts."""
         if not texts:
             return self
-        known: dict[str, np.ndarray] = {}
         rows, shares = [], []
         for text in texts:
-            count: dict[str, int] = {}
-            for w in _WORD.findall(text.lower()):
-                count[w] = count.get(w, 0) + 1
-            ids, weights = [np.empty(0, np.int64)], [np.empty(0)]
-            n = max(1, sum(count.values()))
-            for w, c in count.items():
-                if w not in known:
-                    known[w] = _subwords(w, self.buckets)
-                ids.append(known[w])
-                weights.append(np.full(len(known[w]), c / n / len(known[w])))
-            row, where = np.unique(np.concatenate(ids), return_inverse=True)
+            row, share, _, n_words = subwords([text], self.buckets)
+            row, where = np.unique(row, return_inverse=True)
             rows.append(row)
-            shares.append(np.bincount(where, np.concatenate(weights), minlength=len(row)) * _SCALE)
+            shares.append(np.bincount(where, share, minlength=len(row)) * (_SCALE / max(1, n_words[0])))
         y = np.array(labels)
         rng = np.random.default_rng(seed)
+        size = self.table.shape[1]
         g_table, g_weight, g_bias = np.full(self.buckets, 1e-6), np.full(self.weight.shape, 1e-6), np.full(2, 1e-6)
         for _ in range(epochs):
             order = rng.permutation(len(y))
-            for at in range(0, len(y), 16):
-                some = order[at : at + 16]
+            for at in range(0, len(y), 32):
+                some = order[at : at + 32]
                 idx = np.concatenate([rows[i] for i in some])
                 val = np.concatenate([shares[i] for i in some])
                 doc = np.repeat(np.arange(len(some)), [len(rows[i]) for i in some])
-                mean = np.zeros((len(some), self.table.shape[1]))
-                for d in range(mean.shape[1]):
-                    mean[:, d] = np.bincount(doc, self.table[idx, d] * val, minlength=len(some))
+                mean = np.stack([np.bincount(doc, self.table[idx, d] * val, minlength=len(some)) for d in range(size)], axis=1)
                 z = mean @ self.weight + self.bias
                 p = np.exp(z - z.max(axis=1, keepdims=True))
                 p /= p.sum(axis=1, keepdims=True)
                 err = (np.eye(2)[y[some]] - p) / len(some)
                 step_w, step_b = mean.T @ err, err.sum(axis=0)
                 back = err @ self.weight.T
-                touched, where = np.unique(idx, return_inverse=True)
-                step = np.stack([np.bincount(where, back[doc, d] * val, minlength=len(touched)) for d in range(mean.shape[1])], axis=1)
-                step -= decay * self.table[touched]
-                g_table[touched] += (step**2).mean(axis=1)
-                self.table[touched] += rate * step / np.sqrt(g_table[touched])[:, None]
+                step = np.stack([np.bincount(idx, back[doc, d] * val, minlength=self.buckets) for d in range(size)], axis=1)
+                step -= decay * self.table
+                g_table += (step**2).mean(axis=1)
+                self.table += rate * step / np.sqrt(g_table)[:, None]
                 g_weight += step_w**2
                 self.weight += rate * step_w / np.sqrt(g_weight)
                 g_bias += step_b**2
                 self.bias += rate * step_b / np.sqrt(g_bias)
-        self._logits = {}
         return self
 
-    def _logit(self, word: str) -> float:
-        """A word's share in the log odds of label 1."""
-        return float(self.table[_subwords(word, self.buckets)].mean(axis=0) @ (self.weight[:, 1] - self.weight[:, 0])) * _SCALE
+    def shift_prior(self, sample: float, table: float) -> SubwordSoftmax:
+        """Moves the bias from the share of label 1 in the sample to its share in the table."""
+        if 0 < sample < 1 and 0 < table < 1:
+            self.bias[1] += float(np.log(table / (1 - table)) - np.log(sample / (1 - sample)))
+        return self
 
     def score(self, texts: list[str]) -> list[float]:
-        """Probability of label 1; the bias alone decides a text without words."""
-        known = self._logits
-        out = []
-        for text in texts:
-            words = _WORD.findall(text.lower())
-            if len(known) > 300_000:
-                known.clear()
-            for w in set(words).difference(known):
-                known[w] = self._logit(w)
-            z = float(self.bias[1] - self.bias[0]) + (sum(map(known.__getitem__, words)) / len(words) if words else 0.0)
-            out.append(float(1 / (1 + np.exp(-np.clip(z, -500, 500)))))
-        return out
+        """Probability of label 1; the bias alone decides a text without words.  A long text is averaged piece by piece."""
+        row_logit = self.table @ (self.weight[:, 1] - self.weight[:, 0]) * _SCALE
+        total, words = np.zeros(len(texts)), np.zeros(len(texts))
+        for owner, some in pieces(texts, _PIECE):
+            row, share, doc, n_words = subwords(some, self.buckets)
+            np.add.at(total, owner, np.bincount(doc, row_logit[row] * share, minlength=len(some)))
+            np.add.at(words, owner, n_words)
+        z = total / np.maximum(words, 1) + (self.bias[1] - self.bias[0])
+        return (1 / (1 + np.exp(-np.clip(z, -500, 500)))).tolist()
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_logits": {}}
 
+def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", per_label: int = 2000, max_chars: int = 20_000) -> SubwordSoftmax:
+    """Fits on a bounded sample: about ``per_label`` documents of each label, of ``max_chars`` characters at most, none held out.
 
-#: Averages are scaled so that a few words in hundreds move the softmax at the usual rates.
-_SCALE = 20.0
+    Rows of ``labels`` without id or with another label than 0 or 1 are left out; of an id's several labels the largest holds.
+    """
+    known = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = docs.select(docs[key].alias("doc_id"), docs[text].alias("text")).join(known, "doc_id")
+    some = fit_sample(rows, "toxic", per_label, max_chars)
+    share = known.filter(~held_out("doc_id")).agg(F.avg("toxic")).first()[0] or 0.0
+    model = SubwordSoftmax().fit([r["text"] for r in some], [int(r["toxic"]) for r in some])
+    return model.shift_prior(sum(r["toxic"] for r in some) / max(1, len(some)), share)
+
+
+def score_toxicity(docs: DataFrame, model: SubwordSoftmax, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, held_out, score, predicted.
+
+    Reads the whole text.  A null, empty or wordless text gets the score of the bias, the share of label 1.  Rows
+    with the same id stay apart; a null id is kept and not held out; an empty table gives no rows; other columns
+    are not read.  An unfitted model (no labels) scores every text near 0.5.
+    """
+
+    def work(batch: pa.RecordBatch) -> dict[str, list]:
+        scores = model.score([(t or b"").decode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()])
+        return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": scores, "predicted": [int(s >= threshold) for s in scores]}
+
+    kind = docs.schema[key].dataType.simpleString()
+    return by_batch(keys_and_text(docs, key, text, held_out(docs[key]).alias("held_out")), work, f"doc_id {kind}, held_out boolean, score double, predicted int")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
