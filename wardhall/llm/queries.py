@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op4_decontamination
 from .langid import op6_language_id
 from .licenses import op10_license_scan
+from .packing import op7_packing
 from .pii import op9_pii
 from .quality import op3_quality_rules
 from .toxicity import op2_toxicity
@@ -15,7 +17,9 @@ from .toxicity import op2_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_quality_rules": op3_quality_rules,
+    "op4_decontamination": op4_decontamination,
     "op6_language_id": op6_language_id,
+    "op7_packing": op7_packing,
     "op9_pii": op9_pii,
     "op10_license_scan": op10_license_scan,
 }
