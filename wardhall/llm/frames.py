@@ -44,21 +44,35 @@ def held_out(key: str | Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit_sample(rows: DataFrame, label: str, per_label: int, max_chars: int) -> list:
-    """A bounded sample to fit on: about ``per_label`` rows of each label, spread by a hash of the id.
-
-    Rows need the columns doc_id, text and ``label``.  Texts longer than ``max_chars`` and rows without id,
-    text or label are left out of the sample, so the driver gets at most 2 * per_label * labels * max_chars characters.
-    """
-    rows = rows.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col(label).isNotNull() & ~held_out("doc_id"))
+def _spread(rows: DataFrame, label: str, per_label: int) -> DataFrame:
+    """About ``per_label`` rows of each label, spread by a hash of the id; rows held out or without id or label are left out."""
+    rows = rows.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out("doc_id"))
     sizes = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
-    if not sizes:
-        return []
     share = F.lit(0)
     for value, n in sizes.items():
         share = F.when(F.col(label) == F.lit(value), min(1_000_000, -(-per_label * 1_000_000 // n))).otherwise(share)
-    few = rows.filter((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share) & (F.length("text") <= max_chars))
-    return few.select("doc_id", "text", label).limit(2 * per_label * len(sizes)).collect()
+    return rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).limit(2 * per_label * max(1, len(sizes)))
+
+
+def fit_sample(rows: DataFrame, label: str, per_label: int, max_chars: int) -> list:
+    """A bounded sample to fit on, of rows with the columns doc_id, text and ``label``.
+
+    Texts that are null or longer than ``max_chars`` are left out, so the driver gets at most
+    2 * per_label * labels * max_chars characters.
+    """
+    drawn = _spread(rows, label, per_label)
+    return drawn.filter(F.col("text").isNotNull() & (F.length("text") <= max_chars)).select("doc_id", "text", label).collect()
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int, max_chars: int) -> list:
+    """The same with the labels in another table (doc_id, ``label``): ids are drawn first, so that texts don't move.
+
+    The drawn ids are 2 * per_label * labels at most, which is what is broadcast.
+    """
+    drawn = _spread(labels, label, per_label).select("doc_id", label).collect()
+    ids = labels.sparkSession.createDataFrame([tuple(r) for r in drawn], labels.select("doc_id", label).schema)
+    short = docs.filter(F.col("text").isNotNull() & (F.length("text") <= max_chars))
+    return short.join(F.broadcast(ids), "doc_id").select("doc_id", "text", label).limit(4 * per_label).collect()
 
 
 def filter_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:

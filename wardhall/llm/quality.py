@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .frames import by_batch, fit_sample, keys_and_text, table
+from .frames import by_batch, keys_and_text, labelled_sample, table
 from .words import SPACED, Words, batches, grams
 
 CONTENT, BOILERPLATE = 0, 1
@@ -190,8 +190,7 @@ def judge(texts: list[bytes], field: LineField, min_words: int, max_repeat: int,
 def fit_field(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", per_label: int = 300, max_chars: int = 20_000) -> LineField:
     """Fits on a bounded sample of documents with a quality label, none held out; lines take their document's label."""
     labels = labels.select("doc_id", "quality").filter("quality in (0, 1)")
-    rows = docs.select(docs[key].alias("doc_id"), docs[text].alias("text")).join(labels, "doc_id")
-    some = fit_sample(rows, "quality", per_label, max_chars)
+    some = labelled_sample(docs.select(docs[key].alias("doc_id"), docs[text].alias("text")), labels, "quality", per_label, max_chars)
     field = LineField().fit([r["text"].encode("utf-8", "surrogatepass") for r in some], [CONTENT if r["quality"] == 1 else BOILERPLATE for r in some])
     good = sum(r["quality"] for r in some) / max(1, len(some))
     share = labels.agg({"quality": "avg"}).first()[0]

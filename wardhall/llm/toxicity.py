@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chars import pieces, spaced_code_points
-from .frames import by_batch, fit_sample, held_out, keys_and_text, table
+from .frames import by_batch, held_out, keys_and_text, labelled_sample, table
 from .words import _mix
 
 THRESHOLD = 0.3
@@ -123,8 +123,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     Rows of ``labels`` without id or with another label than 0 or 1 are left out; of an id's several labels the largest holds.
     """
     known = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select(docs[key].alias("doc_id"), docs[text].alias("text")).join(known, "doc_id")
-    some = fit_sample(rows, "toxic", per_label, max_chars)
+    some = labelled_sample(docs.select(docs[key].alias("doc_id"), docs[text].alias("text")), known, "toxic", per_label, max_chars)
     share = known.filter(~held_out("doc_id")).agg(F.avg("toxic")).first()[0] or 0.0
     model = SubwordSoftmax().fit([r["text"] for r in some], [int(r["toxic"]) for r in some])
     return model.shift_prior(sum(r["toxic"] for r in some) / max(1, len(some)), share)
