@@ -163,3 +163,12 @@ def decontaminate(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text:
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def without_contaminated(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with its columns, without the rows that hold a window of a benchmark item."""
+    runs = contaminated_runs(docs, bench, key, text).select(F.col("doc_id").alias("hit_id"), F.col("tag").alias("hit_tag")).distinct()
+    names = docs.columns
+    whole = docs.select(docs[key].cast("string").alias("doc_id"), F.xxhash64(docs[text], docs[key]).alias("tag"), F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)]).alias("row"))
+    left = whole.join(runs, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("tag") == F.col("hit_tag")), "left_anti")
+    return left.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)])

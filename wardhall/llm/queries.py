@@ -7,21 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op4_decontamination
+from .jaccard import op1_jaccard_join
 from .langid import op6_language_id
 from .licenses import op10_license_scan
+from .linededup import OP8_SQL, op8_line_dedup
 from .packing import op7_packing
 from .pii import op9_pii
 from .quality import op3_quality_rules
 from .toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_toxicity": op2_toxicity,
     "op3_quality_rules": op3_quality_rules,
     "op4_decontamination": op4_decontamination,
     "op6_language_id": op6_language_id,
     "op7_packing": op7_packing,
+    "op8_line_dedup": op8_line_dedup,
     "op9_pii": op9_pii,
     "op10_license_scan": op10_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_line_dedup": OP8_SQL}
