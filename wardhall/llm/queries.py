@@ -14,6 +14,7 @@ from .linededup import OP8_SQL, op8_line_dedup
 from .packing import op7_packing
 from .pii import op9_pii
 from .quality import op3_quality_rules
+from .suffixdedup import op5_suffix_dedup
 from .toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_quality_rules": op3_quality_rules,
     "op4_decontamination": op4_decontamination,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_language_id": op6_language_id,
     "op7_packing": op7_packing,
     "op8_line_dedup": op8_line_dedup,
