@@ -4,7 +4,9 @@ Texts become sets of word shingles.  Documents with equal sets are one class, an
 on.  Candidates meet by prefix: of two similar sets, the rarest shingles of each share one.  A shingle's first
 document is its pivot, and a document joins the group of every pivot of its prefix, so each candidate pair meets in
 a group.  In a group, shingles are hashed into count groups; a set is the point of its counts, an R-tree holds the
-points, and the summed coordinate minima bound a pair's overlap from above.  Surviving pairs are verified on the sets.
+points, and the summed coordinate minima bound a pair's overlap from above.  That happens twice: on coarse vectors that
+travel without the text, and on fine ones of the documents that still have a partner.  Surviving pairs are verified on
+the sets.
 
 A search goes from a document to those not yet reached, so a group of many copies costs one edge a copy, and no link
 between different components is lost.  Large groups are cut into tiles, of which each pair is a group of its own.
@@ -28,7 +30,10 @@ from .words import _mix, batches, shingle_sets
 SHINGLE, SIMILARITY = 4, 85
 _BUCKETS = 1 << 18
 _GROUPS = 256
+#: Counts of the vectors that travel with a document, before its text does.
+_COARSE = 64
 _TILE_ROWS, _TILE_SHINGLES = 2048, 1_000_000
+_SLOTS = 1 << 20
 
 
 class CountTree:
@@ -84,11 +89,30 @@ def linked(a: np.ndarray, b: np.ndarray, similarity: int) -> bool:
     return 100 * both >= similarity * (len(a) + len(b) - both)
 
 
+def count_vector(s: np.ndarray, groups: int) -> np.ndarray:
+    """Shingles of a set by hash group."""
+    return np.bincount((_mix(s) % np.uint64(groups)).astype(np.int64), minlength=groups)
+
+
+def with_partner(points: np.ndarray, sizes: np.ndarray, similarity: int) -> np.ndarray:
+    """Which points have another whose overlap bound reaches the similarity."""
+    out = np.zeros(len(points), dtype=bool)
+    if len(points) > 1:
+        tree = CountTree(points, sizes)
+        for i in range(len(points)):
+            if not out[i]:
+                near = tree.search(points[i], int(sizes[i]), similarity)
+                near = near[near != i]
+                out[near] = True
+                out[i] = len(near) > 0
+    return out
+
+
 def spanning_links(sets: list[np.ndarray], similarity: int, groups: int = _GROUPS) -> list[tuple[int, int]]:
     """Links that connect exactly what all links among the sets connect."""
     if len(sets) < 2:
         return []
-    points = np.stack([np.bincount((_mix(s) % np.uint64(groups)).astype(np.int64), minlength=groups) for s in sets]).astype(np.int32)
+    points = np.stack([count_vector(s, groups) for s in sets]).astype(np.int32)
     sizes = np.array([len(s) for s in sets])
     tree = CountTree(points, sizes)
     fresh = np.ones(len(sets), dtype=bool)
@@ -109,6 +133,18 @@ def spanning_links(sets: list[np.ndarray], similarity: int, groups: int = _GROUP
     return out
 
 
+def _runs(*keys: np.ndarray) -> Iterator[slice]:
+    """Runs of equal keys of sorted rows."""
+    n = len(keys[0])
+    new = np.zeros(n, dtype=bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    at = [*np.flatnonzero(new).tolist(), n]
+    for lo, hi in zip(at[:-1], at[1:], strict=True):
+        yield slice(lo, hi)
+
+
 def _sets(batch: pa.RecordBatch, shingle: int) -> Iterator[np.ndarray]:
     for _, some in batches(t or b"" for t in batch.column("text").to_pylist()):
         yield from shingle_sets(some, shingle)
@@ -135,10 +171,10 @@ def shingle_levels(docs: DataFrame, shingle: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, kind: str, shingle: int, similarity: int, levels: np.ndarray) -> DataFrame:
-    """doc_id, n (set size), s1 and s2 (hash of the set), tokens: the rarest shingles, of which similar sets share one."""
+    """doc_id, n (set size), s1 and s2 (hash of the set), tokens: the rarest shingles, of which similar sets share one; vec: coarse counts."""
 
     def work(batch: pa.RecordBatch) -> dict[str, list]:
-        n, s1, s2, tokens = [], [], [], []
+        n, s1, s2, tokens, vec = [], [], [], [], []
         for s in _sets(batch, shingle):
             n.append(len(s))
             s1.append(int(_mix(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
@@ -146,9 +182,15 @@ def _prefixes(docs: DataFrame, kind: str, shingle: int, similarity: int, levels:
             keep = len(s) - -(-similarity * len(s) // 100) + 1 if len(s) else 0
             level = levels[(s % np.uint64(_BUCKETS)).astype(np.int64)]
             tokens.append(s[np.argsort(level, kind="stable")[:keep]].view(np.int64))
-        return {"doc_id": batch.column("doc_id"), "n": n, "s1": s1, "s2": s2, "tokens": tokens}
+            vec.append(count_vector(s, _COARSE).astype("<u4").tobytes())
+        return {"doc_id": batch.column("doc_id"), "n": n, "s1": s1, "s2": s2, "tokens": tokens, "vec": vec}
+
+    return by_batch(docs, work, f"doc_id {kind}, n long, s1 long, s2 long, tokens array<long>, vec binary")
+
 
-    return by_batch(docs, work, f"doc_id {kind}, n long, s1 long, s2 long, tokens array<long>")
+def _bucketed(rows: DataFrame, n: int, each: int) -> DataFrame:
+    """Deals whole tiles into buckets of about ``each`` rows, so that small groups share a task's call."""
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("pivot", "one", "two"), F.lit(max(1, -(-n // each)))))
 
 
 def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
@@ -164,27 +206,47 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     levels = shingle_levels(source, shingle)
     rows = written(_prefixes(source, kind, shingle, similarity, levels))
     usable = rows.filter("n > 0 and doc_id is not null")
-    classes = usable.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"))
-    tokens = classes.select("rep", "n", F.explode("tokens").alias("token")).repartition(F.col("token"))
+    classes = written(usable.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"), F.first("vec").alias("vec")))
+    tokens = classes.select("rep", F.explode("tokens").alias("token")).repartition(F.col("token"))
     pivots = tokens.groupBy("token").agg(F.min("rep").alias("pivot"), F.count("*").alias("c")).filter("c > 1").select("token", "pivot")
-    members = written(tokens.join(pivots, "token").select("pivot", "rep", "n").distinct())
+    members = tokens.join(pivots, "token").select("pivot", "rep").distinct().join(classes.select("rep", "n", "vec"), "rep")
+    members = written(members.select("pivot", "rep", "n", "vec"))
     tiles = F.ceil(F.greatest(F.count("*") / _TILE_ROWS, F.sum("n") / _TILE_SHINGLES)).cast("long")
     groups = members.groupBy("pivot").agg(tiles.alias("tiles"), F.count("*").alias("c")).filter("c > 1").select("pivot", "tiles")
     mine = F.pmod(F.xxhash64("rep"), F.col("tiles"))
-    dealt = members.join(groups, "pivot").select("pivot", "rep", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
-    dealt = dealt.select("pivot", "rep", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two")).distinct()
-    with_text = dealt.join(source.withColumnRenamed("doc_id", "rep"), "rep")
+    dealt = members.join(groups, "pivot").select("pivot", "rep", "n", "vec", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
+    dealt = dealt.select("pivot", "rep", "n", "vec", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"))
+    dealt = _bucketed(dealt, members.count(), 4000)
+
+    def bound(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["pivot", "one", "two", "rep"], kind="stable")
+        points = np.frombuffer(b"".join(pdf["vec"]), dtype="<u4").reshape(len(pdf), -1).astype(np.int64)
+        sizes = pdf["n"].to_numpy()
+        keep = np.zeros(len(pdf), dtype=bool)
+        for run in _runs(*(pdf[c].to_numpy() for c in ("pivot", "one", "two"))):
+            keep[run] = with_partner(points[run], sizes[run], similarity)
+        return pdf.loc[keep, ["pivot", "one", "two", "rep", "n"]]
+
+    near = written(dealt.groupBy("bucket").applyInPandas(bound, f"pivot {kind}, one long, two long, rep {kind}, n long").distinct())
+    work = near.agg(F.count("*"), F.sum("n")).first()
+    slots = near.select(F.pmod(F.xxhash64("rep"), F.lit(_SLOTS)).alias("slot")).distinct()  # so many rows at most
+    wanted = source.filter("doc_id is not null").join(F.broadcast(slots), F.pmod(F.xxhash64("doc_id"), F.lit(_SLOTS)) == F.col("slot"), "left_semi")
+    with_text = _bucketed(near, max(work[0], (work[1] or 0) // 250), 400).join(wanted.withColumnRenamed("doc_id", "rep"), "rep")
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep", kind="stable")
-        sets: list[np.ndarray] = []
-        for _, some in batches(t or b"" for t in pdf["text"]):
-            sets += shingle_sets(some, shingle)
-        rep = pdf["rep"].to_numpy()
-        links = spanning_links(sets, similarity)
-        return pd.DataFrame({"a": rep[[i for i, _ in links]], "b": rep[[j for _, j in links]]})
-
-    edges = with_text.groupBy("pivot", "one", "two").applyInPandas(find, f"a {kind}, b {kind}")
+        pdf = pdf.sort_values(["pivot", "one", "two", "rep"], kind="stable")
+        rep, texts = pdf["rep"].to_numpy(), pdf["text"].to_list()
+        a, b = [], []
+        for run in _runs(*(pdf[c].to_numpy() for c in ("pivot", "one", "two"))):
+            sets: list[np.ndarray] = []
+            for _, some in batches(t or b"" for t in texts[run]):
+                sets += shingle_sets(some, shingle)
+            for i, j in spanning_links(sets, similarity):
+                a.append(rep[run][i])
+                b.append(rep[run][j])
+        return pd.DataFrame({"a": a, "b": b})
+
+    edges = with_text.groupBy("bucket").applyInPandas(find, f"a {kind}, b {kind}")
     # Equal sets under several ids are links as well, from the class's first id to itself; ids with several sets are one node.
     same = usable.select("doc_id", "s1", "s2", "n").join(classes.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
     found = components(edges.union(same))
