@@ -2,8 +2,9 @@
 
 A byte goes if a string of ``length`` bytes that covers it also starts in a document with a smaller id.  Sorting all
 suffixes of a large corpus on one machine is out of reach, so equal strings first meet by an anchor: the least
-16-byte gram of the string, which both copies choose alike.  Anchors found once are dropped; each of the others brings
-its context, the bytes that a string around it can reach.  Contexts are dealt out by anchor.
+16-byte gram of the string, which both copies choose alike.  A string has at least half of its other bytes on one side
+of the anchor: an anchor whose half contexts are both found once is dropped.  Each of the others brings its context, the
+bytes that a string around it can reach.  Contexts are dealt out by anchor.
 
 There the suffixes of the contexts are sorted in buckets.  Buckets start from 8-byte grams; each is refined by the
 bucket identifiers of a later offset (8, 16, then 18 bytes on), reusing the refined identifiers at each step, until a
@@ -26,10 +27,11 @@ from .words import _mix, batches
 
 LENGTH = 50
 _Q = 16
-#: Repeated anchors that a filter may hold (8 bytes each); with more, every anchor brings its context.
+#: Repeated half contexts that a filter may hold (8 bytes each); with more, every anchor brings its context.
 _FILTER = 8_000_000
+_LOW = np.uint64((1 << 40) - 1)
 _BUCKET_BYTES = 64_000_000
-_FLUSH = 1_000_000
+_FLUSH, _HELD, _AT_ONCE = 1_000_000, 200_000, 20_000
 
 
 def _slide(a: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
@@ -52,7 +54,8 @@ class Anchors:
         self.buf = np.frombuffer(joined, dtype=np.uint8)
         self.pad = length
         n = len(joined) - 2 * length - 16
-        word = np.ndarray((len(joined) - 7,), dtype="<u8", buffer=joined, strides=(1,))[length:]
+        self.word = np.ndarray((len(joined) - 7,), dtype="<u8", buffer=joined, strides=(1,))
+        word = self.word[length:]
         h = _mix(word[:n] * np.uint64(0x9E3779B97F4A7C15) + _mix(word[8 : 8 + n] + np.uint64(_Q)))
         np.maximum(h, 1, out=h)
         w = self.reach + 1
@@ -70,6 +73,19 @@ class Anchors:
     def only(self, keep: np.ndarray) -> None:
         self.doc, self.place, self.hash = self.doc[keep], self.place[keep], self.hash[keep]
 
+    def halves(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the anchor with half of the other bytes after it, and before it; 0 where the text has fewer."""
+        half = -(-self.reach // 2)
+        width = _Q + half
+        here = self.pad + self.start[self.doc] + self.place
+        out = []
+        for at, ok, salt in ((here, self.place + width <= self.sizes[self.doc], 1), (here - half, self.place >= half, 2)):
+            x = np.full(len(at), salt, dtype=np.uint64)
+            for step in [*range(0, width - 7, 8), width - 8]:
+                x = _mix(x * np.uint64(0x100000001B3) + self.word[at + step])
+            out.append(np.where(ok, ((x >> np.uint64(40)) % np.uint64(buckets) << np.uint64(40)) | (x & _LOW) | np.uint64(1), np.uint64(0)))
+        return out[0], out[1]
+
     def contexts(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(bytes before the anchor, bytes from it on, context rows with zeros outside the text, hash of all that)."""
         lo = np.minimum(self.reach, self.place)
@@ -90,15 +106,21 @@ def _source(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(docs[key].cast("long").alias("doc_id"), F.xxhash64(docs[text], docs[key]).alias("tag"), docs[text].cast("binary").alias("text"))
 
 
-def _anchored(batch: pa.RecordBatch, length: int, known: np.ndarray | None) -> Iterator[tuple[int, Anchors]]:
-    """Anchors by batch of texts; a row with a null id or text, or too short a text, has none.  ``known``: sorted hashes to keep."""
+def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(keys), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+
+
+def _anchored(batch: pa.RecordBatch, length: int, buckets: int, known: np.ndarray | None) -> Iterator[tuple[int, Anchors]]:
+    """Anchors by batch of texts; a row with a null id or text, or too short a text, has none.  ``known``: sorted half contexts, of which a kept one has one."""
     ids = batch.column("doc_id")
     texts = [t if t is not None and ok and len(t) >= length else b"" for t, ok in zip(batch.column("text").to_pylist(), ids.is_valid().to_pylist(), strict=True)]
     for first, some in batches(texts):
         a = Anchors(some, length)
         if known is not None and len(a.hash):
-            at = np.minimum(np.searchsorted(known, a.hash), max(0, len(known) - 1))
-            a.only(known[at] == a.hash if len(known) else np.zeros(len(a.hash), dtype=bool))
+            after, before = a.halves(buckets)
+            a.only(_among(after, known) | _among(before, known))
         yield first, a
 
 
@@ -108,8 +130,19 @@ def _cuts(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield big.slice(at, ROWS)
 
 
-def repeated_anchors(source: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Hashes, sorted and packed by bucket, of anchors that more than one row has."""
+def _packed(keys: np.ndarray) -> bytes:
+    """The low five bytes of each key; the bucket has the rest."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _unpacked(parts: bytes) -> np.ndarray:
+    out = np.zeros((len(parts) // 5, 8), dtype=np.uint8)
+    out[:, :5] = np.frombuffer(parts, dtype=np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
+def repeated_halves(source: DataFrame, length: int, buckets: int) -> DataFrame:
+    """Half contexts, packed by bucket, that more than one row has.  Keys that clash only keep more anchors."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -121,20 +154,20 @@ def repeated_anchors(source: DataFrame, length: int, buckets: int) -> DataFrame:
                 third = np.zeros(len(h), dtype=bool)
                 third[2:] = h[2:] == h[:-2]
                 h = h[~third]  # twice says that it is repeated
-                b = (h % np.uint64(buckets)).astype(np.int32)
-                order = np.argsort(b, kind="stable")
-                some, at = np.unique(b[order], return_index=True)
-                parts = [p.tobytes() for p in np.split(h[order], at[1:])]
+                some, at = np.unique((h >> np.uint64(40)).astype(np.int32), return_index=True)
+                parts = [_packed(p) for p in np.split(h, at[1:])]
                 for i in range(0, len(parts), 64):
                     yield pa.RecordBatch.from_arrays([pa.array(some[i : i + 64], pa.int32()), pa.array(parts[i : i + 64], pa.binary())], names=["bucket", "part"])
 
         for batch in _cuts(stream):
-            for _, a in _anchored(batch, length, None):
+            for _, a in _anchored(batch, length, buckets, None):
+                after, before = a.halves(buckets)
                 edge = np.searchsorted(a.doc, np.arange(len(a.sizes) + 1))
                 for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                     if hi > lo:
-                        held.append(np.unique(a.hash[lo:hi]))
-                        size += hi - lo
+                        keys = np.unique(np.concatenate([after[lo:hi], before[lo:hi]]))
+                        held.append(keys[keys > 0])
+                        size += len(keys)
                 if size > _FLUSH:
                     yield from flush()
                     held.clear()
@@ -142,9 +175,9 @@ def repeated_anchors(source: DataFrame, length: int, buckets: int) -> DataFrame:
         yield from flush()
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = np.sort(np.frombuffer(b"".join(pdf["part"]), dtype=np.uint64))
+        h = np.sort(_unpacked(b"".join(pdf["part"])))
         twice = np.unique(h[1:][h[1:] == h[:-1]])
-        return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "part": [twice.tobytes()]})
+        return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "part": [_packed(twice)]})
 
     return source.mapInArrow(run, "bucket int, part binary").groupBy("bucket").applyInPandas(merge, "bucket int, part binary")
 
@@ -194,46 +227,66 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     source = _source(docs, key, text)
     size = docs.agg(F.sum(F.octet_length(docs[text].cast("binary")))).first()[0] or 0
     buckets = max(1, -(-size // _BUCKET_BYTES))
-    twice = written(repeated_anchors(source, length, buckets))
-    count = (twice.agg(F.sum(F.octet_length("part"))).first()[0] or 0) // 8
+    twice = written(repeated_halves(source, length, buckets))
+    count = (twice.agg(F.sum(F.octet_length("part"))).first()[0] or 0) // 5
     known = None
     if count <= _FILTER:
-        parts = [np.frombuffer(r["part"], dtype=np.uint64) for r in twice.select("part").toLocalIterator()]
+        parts = [_unpacked(r["part"]) | np.uint64(r["bucket"] << 40) for r in twice.toLocalIterator()]
         known = docs.sparkSession.sparkContext.broadcast(np.sort(np.concatenate(parts)) if parts else np.empty(0, np.uint64))
-    spread = max(1, min(count, size // 18) // 20_000, size // 8 // _BUCKET_BYTES)
+    spread = max(1, min(count, size // 18) // 10_000, size // 8 // _BUCKET_BYTES)
+
+    def collapsed(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        """One row for each context, with its least and greatest document."""
+        h, x, lo, hi, rows, doc = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((doc, x, h))
+        h, x, doc = h[order], x[order], doc[order]
+        at = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (x[1:] != x[:-1])]))
+        rest = order[at]
+        columns = {
+            "bucket": pa.array((h[at] % np.uint64(spread)).astype(np.int32)), "h": pa.array(h[at].view(np.int64)), "x": pa.array(x[at].view(np.int64)), "lo": pa.array(lo[rest].astype(np.int32)), "hi": pa.array(hi[rest].astype(np.int32)),
+            "ctx": pa.array([r.tobytes() for r in rows[rest]], pa.binary()), "dmin": pa.array(doc[at]), "dmax": pa.array(np.maximum.reduceat(doc, at)),
+        }
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     def contexts(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = None if known is None else known.value
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
         for batch in _cuts(stream):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for first, a in _anchored(batch, length, keep):
-                for cut in range(0, len(a.hash), 20_000):
+            for first, a in _anchored(batch, length, buckets, keep):
+                for cut in range(0, len(a.hash), _HELD):
                     part = _part(a, cut)
                     lo, hi, rows, x = part.contexts(length)
-                    doc = ids[first + part.doc].astype(np.int64)
-                    order = np.lexsort((doc, x, part.hash))
-                    h, x, doc = part.hash[order], x[order], doc[order]
-                    new = np.concatenate([[True], (h[1:] != h[:-1]) | (x[1:] != x[:-1])])
-                    at = np.flatnonzero(new)
-                    dmax = np.maximum.reduceat(doc, at)
-                    rest = order[at]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array((h[at] % np.uint64(spread)).astype(np.int32)), pa.array(h[at].view(np.int64)), pa.array(x[at].view(np.int64)), pa.array(lo[rest].astype(np.int32)), pa.array(hi[rest].astype(np.int32)), pa.array([r.tobytes() for r in rows[rest]], pa.binary()), pa.array(doc[at]), pa.array(dmax)],
-                        names=["bucket", "h", "x", "lo", "hi", "ctx", "dmin", "dmax"],
-                    )
+                    held.append((part.hash, x, lo.astype(np.int16), hi.astype(np.int16), rows, ids[first + part.doc].astype(np.int64)))
+                    size += len(x)
+                    if size > _HELD:
+                        yield collapsed(held)
+                        held, size = [], 0
+        if held:
+            yield collapsed(held)
 
     def owners(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = np.frombuffer(b"".join(pdf["ctx"]), dtype=np.uint8).reshape(len(pdf), -1)
-        return pd.DataFrame(first_owners(pdf["h"].to_numpy(), pdf["x"].to_numpy(), pdf["lo"].to_numpy(), pdf["hi"].to_numpy(), rows, pdf["dmin"].to_numpy(), pdf["dmax"].to_numpy(), length))
-
-    found = source.mapInArrow(contexts, "bucket int, h long, x long, lo int, hi int, ctx binary, dmin long, dmax long").groupBy("bucket").applyInPandas(owners, "h long, x long, dmin long, a1 long, b1 long, a2 long, b2 long")
+        pdf = pdf.sort_values("h", kind="stable")
+        h = pdf["h"].to_numpy()
+        edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        cuts = [0, *edge[np.flatnonzero(np.diff(edge // _AT_ONCE)) + 1].tolist(), len(h)]  # whole anchors, about so many rows
+        out = []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if hi > lo:
+                part = pdf.iloc[lo:hi]
+                rows = np.frombuffer(b"".join(part["ctx"]), dtype=np.uint8).reshape(len(part), -1)
+                out.append(pd.DataFrame(first_owners(h[lo:hi], part["x"].to_numpy(), part["lo"].to_numpy(), part["hi"].to_numpy(), rows, part["dmin"].to_numpy(), part["dmax"].to_numpy(), length)))
+        return pd.concat(out)
+
+    found = written(source.mapInArrow(contexts, "bucket int, h long, x long, lo int, hi int, ctx binary, dmin long, dmax long").groupBy("bucket").applyInPandas(owners, "h long, x long, dmin long, a1 int, b1 int, a2 int, b2 int"))
 
     def places(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = None if known is None else known.value
         for batch in _cuts(stream):
-            for first, a in _anchored(batch, length, keep):
+            for first, a in _anchored(batch, length, buckets, keep):
                 if len(a.hash):
-                    x = np.concatenate([_part(a, cut).contexts(length)[3] for cut in range(0, len(a.hash), 20_000)])
+                    x = np.concatenate([_part(a, cut).contexts(length)[3] for cut in range(0, len(a.hash), _HELD)])
                     rows = pa.array(first + a.doc)
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("tag").take(rows), pa.array(a.place.astype(np.int64)), pa.array(a.hash.view(np.int64)), pa.array(x.view(np.int64))], names=["doc_id", "tag", "pos", "h", "x"])
 
@@ -244,7 +297,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     return hits.filter(later | (F.col("b1") >= 0)).select("doc_id", "tag", (F.col("pos") - reach + lo).alias("lo"), (F.col("pos") - reach + hi + length).alias("hi"))
 
 
-def _part(a: Anchors, cut: int, size: int = 20_000) -> Anchors:
+def _part(a: Anchors, cut: int, size: int = _HELD) -> Anchors:
     """A run of a batch's anchors, so that contexts take bounded memory."""
     out = Anchors.__new__(Anchors)
     out.__dict__ = a.__dict__ | {"doc": a.doc[cut : cut + size], "place": a.place[cut : cut + size], "hash": a.hash[cut : cut + size]}
@@ -261,7 +314,7 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     """
     spans = repeated_spans(docs, key, text, length)
     merged = spans.groupBy(F.col("doc_id").alias("cut_id"), F.col("tag").alias("cut_tag")).agg(F.collect_set(F.struct("lo", "hi")).alias("cut"))
-    merged = merged.select("cut_id", "cut_tag", F.col("cut.lo").alias("lo"), F.col("cut.hi").alias("hi"))
+    merged = written(merged.select("cut_id", "cut_tag", F.col("cut.lo").alias("lo"), F.col("cut.hi").alias("hi")))
     both = _source(docs, key, text).join(merged, (F.col("doc_id") == F.col("cut_id")) & (F.col("tag") == F.col("cut_tag")), "left").select("doc_id", "text", "lo", "hi")
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
