@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import re
 import warnings
 from collections.abc import Callable
 
@@ -335,22 +336,21 @@ class Engine:
         return discover.context(self.meta(), principal)
 
 
-_WRITES = ("Command", "InsertInto", "CreateTable", "DropTable", "CreateView", "SetCatalog", "CacheTable", "MergeInto", "UpdateTable", "DeleteFrom", "AppendData", "OverwriteBy", "ReplaceTable")
+_RELATION = re.compile(r"'UnresolvedRelation \[([^\]]*)\]")
+_CTE = re.compile(r"'UnresolvedWith \[([^\]]*)\]|CTE \[([^\]]*)\]")
 
 
 def read_only(session: SparkSession, text: str) -> DataFrame:
     """A query that only reads: one statement, no command, no path or table beyond the session's views."""
     plan = session._jsparkSession.sessionState().sqlParser().parsePlan(text)
-    tree = plan.treeString()
-    if any(w in tree for w in _WRITES):
+    logical = "org.apache.spark.sql.catalyst.plans.logical."
+    loader = session._jvm.java.lang.Thread.currentThread().getContextClassLoader()
+    if any(loader.loadClass(logical + c).isInstance(plan) for c in ("Command", "ParsedStatement")):
         raise GovernanceError("only queries are allowed")
-    known = {t.name for t in session.catalog.listTables() if t.isTemporary}
-    import re
-
-    named = set(re.findall(r"UnresolvedRelation \[([^\]]*)\]", tree))
-    ctes = set(re.findall(r"CTE \[([^\]]*)\]", tree))
-    allowed = known | {c.strip() for group in ctes for c in group.split(",")}
-    if beyond := {n for n in named if n not in allowed}:
+    tree = plan.treeString()
+    views = {t.name for t in session.catalog.listTables() if t.isTemporary}
+    ctes = {c.strip() for found in _CTE.findall(tree) for group in found for c in group.split(",")}
+    if beyond := set(_RELATION.findall(tree)) - {""} - {n for n in views | ctes}:
         raise GovernanceError(f"not granted: {', '.join(sorted(beyond))}")
     if "UnresolvedTableValuedFunction" in tree:
         raise GovernanceError("table functions are not allowed")
