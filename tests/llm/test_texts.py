@@ -1,0 +1,312 @@
+"""Operators on single texts: language, toxicity, quality, packing, personal data, licenses."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from wardhall.llm import licenses, packing, pii, quality
+from wardhall.llm.langid import LanguageFilters, identify_language, keep_identified, op6_language_id
+from wardhall.llm.packing import Tournament, first_fit_decreasing, pack
+from wardhall.llm.quality import LineField, op3_quality_rules, quality_rules
+from wardhall.llm.toxicity import SubwordSoftmax, fit_toxicity, op2_toxicity, score_toxicity, subwords
+from wardhall.llm.words import utf8
+
+ENGLISH = ["the cat sat on the mat and then went home with the dog", "this is what they said when the weather was warm"]
+GERMAN = ["die katze sitzt auf der matte und geht dann nach hause", "das haben sie gesagt als das wetter schon warm war"]
+
+
+def model():
+    return LanguageFilters.fit([(t, "en") for t in ENGLISH] + [(t, "de") for t in GERMAN])
+
+
+# --- language -------------------------------------------------------------------------------------------------
+
+
+def test_language_filters():
+    m = model()
+    assert m.languages == ["de", "en"]
+    langs, scores = m.predict([*ENGLISH, *GERMAN, None, "", "123 !?", "THE WEATHER WAS WARM"])
+    assert langs == ["en", "en", "de", "de", "und", "und", "und", "en"]
+    assert all(0 <= s <= 1 for s in scores) and scores[4:7] == [0, 0, 0]
+    long = " ".join(ENGLISH * 3000)
+    whole, pieces = m.predict([long]), m.predict([long], batch_chars=1000)
+    assert whole[0] == pieces[0] and abs(whole[1][0] - pieces[1][0]) < 0.01
+    grams = np.arange(1, 2000, dtype=np.uint64)
+    assert ((m.masks(grams) & ~np.uint64(3)) == 0).all()
+
+
+def test_language_edges(edges, empty):
+    got = identify_language(edges, model())
+    assert got.columns == ["doc_id", "held_out", "lang_pred", "score"] and got.count() == edges.count()
+    by = {r["doc_id"]: r for r in got.collect()}
+    assert [by[i]["lang_pred"] for i in (1, 2, 3)] == ["und"] * 3 and by[None]["held_out"] is False
+    assert {r["doc_id"] for r in got.filter("held_out").collect()} == {i for i in by if i and zlib.crc32(str(i).encode()) % 4 == 2}
+    assert identify_language(empty, model()).count() == 0
+    kept = keep_identified(edges, model())
+    assert kept.columns == edges.columns and kept.filter("text is null or text = ''").count() == 0
+    assert LanguageFilters.fit([]).predict(["abc"])[0] == ["und"]
+
+
+def test_language_held_out_accuracy(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = op6_language_id(spark, sf_dir).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out")
+    right = got.filter("lang = lang_pred").count()
+    assert right >= 0.97 * got.count()
+
+
+# --- toxicity -------------------------------------------------------------------------------------------------
+
+
+def test_subwords_stay_in_words():
+    rows, share, doc, words = subwords(["ab cd", "", "éa"], 1 << 16)
+    assert words.tolist() == [2, 0, 1] and abs(share.sum() - 3) < 1e-9 and set(doc.tolist()) == {0, 2}
+    assert sorted(subwords(["ab"], 64)[0].tolist()) == sorted(subwords(["  AB!"], 64)[0].tolist())
+
+
+def test_toxicity_learns_misspellings():
+    rng = random.Random(2)
+    clean = ["".join(rng.choice("aeiou") + rng.choice("lmnrst") for _ in range(3)) for _ in range(60)]
+    text = lambda bad: " ".join(rng.sample(clean, 20) + ([rng.choice(["horrible", "dreadful"])] * 2 if bad else []))
+    m = SubwordSoftmax().fit([text(i % 2) for i in range(200)], [i % 2 for i in range(200)])
+    good, bad, typo, none = m.score([text(0), text(1), text(0) + " horrribl dreadfull", ""])
+    assert good < 0.3 < 0.5 < bad and typo > 0.5 and 0 <= none <= 1
+    many = m.score([" ".join([text(1)] * 5000)])
+    assert many[0] > 0.5
+
+
+def test_toxicity_edges(spark, frame, edges, empty):
+    labels = spark.createDataFrame([(1, 1), (5, 0), (6, 1), (None, 1), (7, None), (7, 0), (7, 1)], "doc_id long, toxic int")
+    m = fit_toxicity(edges, labels)
+    got = score_toxicity(edges, m)
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"] and got.count() == edges.count()
+    assert got.filter("score is null or score < 0 or score > 1 or predicted <> cast(score >= 0.3 as int)").count() == 0
+    assert score_toxicity(empty, fit_toxicity(empty, labels.limit(0))).count() == 0
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    got = op2_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").select("score", "predicted", "toxic").toPandas()
+    bad, good = got[got.toxic == 1], got[got.toxic == 0]
+    assert bad.predicted.mean() > 0.9 and good.predicted.mean() < 0.06
+
+
+# --- quality --------------------------------------------------------------------------------------------------
+
+
+def brute_quality(t):
+    t = t or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    seen, hit = {}, set()
+    for i in range(len(w) - 4):
+        seen.setdefault(tuple(w[i : i + 5]), []).append(i)
+    for at in seen.values():
+        if len(at) > 1:
+            hit |= {j for i in at for j in range(i, i + 5)}
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    failed = len(w) < 10 or 100 * len(hit) > 20 * len(w)
+    return {"n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": len(re.findall(r"[#*$%&|<>]", t)), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(hit), "base_failed": failed}
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="ab \n\t\r\x0b#|é日", max_size=120), max_size=4))
+def test_quality_counts(texts):
+    got = quality.judge([utf8(t) for t in texts], LineField(), 10, 20, 0.5, 5)
+    for t, g in zip(texts, got, strict=True):
+        assert {k: g[k] for k in brute_quality(t)} == brute_quality(t)
+        assert not (g["base_failed"] and g["kept"])
+
+
+def test_viterbi_is_the_best_path():
+    rng = np.random.default_rng(4)
+    f = LineField()
+    f.move = rng.normal(size=(2, 2))
+    for n in range(1, 9):
+        scores = rng.normal(size=(n, 2))
+        value = lambda p: sum(scores[i, y] for i, y in enumerate(p)) + sum(f.move[a, b] for a, b in zip(p, p[1:], strict=False))  # noqa: B023, E731
+        best = max(([(k >> i) & 1 for i in range(n)] for k in range(2**n)), key=value)
+        assert abs(value(f.decode(scores)) - value(best)) < 1e-9
+    assert f.decode(np.zeros((0, 2))) == []
+
+
+def test_quality_query(spark, sf_dir):
+    got = {r["doc_id"]: r for r in op3_quality_rules(spark, sf_dir).collect()}
+    docs = {r[0]: r[1] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    assert set(got) == set(docs)
+    for i, t in docs.items():
+        assert {k: got[i][k] for k in brute_quality(t)} == brute_quality(t)
+    labels = {r[0]: r[1] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").collect()}
+    judged = [(labels[i], got[i]["kept"]) for i in labels if not got[i]["base_failed"]]
+    assert sum(k for q, k in judged if q == 1) >= 0.98 * sum(q == 1 for q, _ in judged)
+    assert sum(k for q, k in judged if q == 0) <= 0.2 * max(1, sum(q == 0 for q, _ in judged))
+
+
+def test_quality_edges(edges, empty):
+    got = quality_rules(edges, LineField())
+    assert got.count() == edges.count() and quality_rules(empty, LineField()).count() == 0
+    by = {r["doc_id"]: r for r in got.collect()}
+    assert by[1]["n_words"] == 0 and by[1]["base_failed"] and by[6]["n_words"] == 30000 and by[6]["n_repeat_words"] == 30000
+
+
+# --- packing --------------------------------------------------------------------------------------------------
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=60))
+def test_first_fit_decreasing(sizes):
+    where, offset = first_fit_decreasing(sizes, 20)
+    room, brute = [], [0] * len(sizes)
+    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+        b = next((b for b, r in enumerate(room) if r >= sizes[i]), None)
+        if b is None:
+            b = len(room)
+            room.append(20)
+        room[b] -= sizes[i]
+        brute[i] = b
+    assert where == brute
+    for b in set(where):
+        at = 0
+        for i in sorted((i for i in range(len(sizes)) if where[i] == b), key=lambda i: offset[i]):
+            assert offset[i] == at
+            at += sizes[i]
+        assert at <= 20
+
+
+def test_tournament_of_one():
+    assert Tournament(1, 5).first_fit(5) == 0
+
+
+def test_ids_are_the_tokenizers(spark):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    t, own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing._tokenizer(None)
+    rng = random.Random(5)
+    texts = ["".join(rng.choice([chr(i) for i in range(0x250)]) for _ in range(rng.randint(0, 50))) for _ in range(500)]
+    texts += ["日本語 😀 text", "a" * 5000, "I'm  here\n\n x", "  x  y"]
+    for x in texts:
+        assert own.ids(x) == t.encode(x, add_special_tokens=False).ids
+
+
+def test_packing_round_trip(frame, empty):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "日本", "x1"]) for _ in range(rng.choice((0, 1, 30, 200, 900))))) for i in range(60)] + [(61, None), (62, "same"), (62, "same")]
+    got = pack(frame(rows), length=128, group=20).toPandas()
+    for _, seq in got.groupby("sequence_id"):
+        seq = seq.sort_values("offset")
+        assert seq["offset"].tolist() == (seq["length"].cumsum() - seq["length"]).tolist() and seq["length"].sum() <= 128
+    for i, text in rows:
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        own = got[got.doc_id == i].drop_duplicates("start").sort_values("start")
+        assert own["length"].sum() == len(ids) and (own["doc_tokens"] == len(ids)).all()
+        assert all(zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in own.itertuples())
+    assert len(got[got.doc_id == 62]) == 2
+    assert pack(empty).count() == 0
+
+
+def test_packing_edges(edges):
+    got = pack(edges).toPandas()
+    assert got.groupby(got.doc_id.fillna(-1)).length.sum().to_dict()[1] == 1 and got.doc_id.isna().sum() == 1
+
+
+# --- personal data --------------------------------------------------------------------------------------------
+
+PATTERNS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
+
+
+def brute_spans(t):
+    out = []
+    for kind, pattern in PATTERNS:
+        for m in re.finditer(pattern, t):
+            g, d = m.group(), re.sub("[^0-9]", "", m.group())
+            if kind == "ip" and any(int(x) > 255 for x in g.split(".")):
+                continue
+            if kind == "card" and not (14 <= len(d) <= 19 and sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(d[::-1])) % 10 == 0):
+                continue
+            if kind == "phone" and not 10 <= len(d) <= 15:
+                continue
+            out.append((*m.span(), kind))
+    return sorted(out, key=lambda s: (s[0], pii.KINDS.index(s[2])))
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet="a1025.@+-( )é٣", max_size=60))
+def test_base_spans_are_the_patterns(t):
+    assert pii.base_spans(t) == brute_spans(t)
+
+
+def test_base_spans_of_made_up_data():
+    rng = random.Random(8)
+    for _ in range(300):
+        parts = [rng.choice(["a.b@c.de", "x@y", "1.2.3.4", "1.2.3.400", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "4111111111111112", "+1 (555) 123-4567", "+1 23", "@@", "q" * 9]) for _ in range(5)]
+        t = rng.choice(["", " ", ",", "."]).join(parts)
+        assert pii.base_spans(t) == brute_spans(t)
+    assert len(pii.base_spans("9" * 200_000 + " " + "a" * 200_000 + "@" + "1." * 50_000)) >= 0  # linear
+
+
+def test_model_finds_secrets_and_spares_prose(edges, empty):
+    m = pii.fit_pii()
+    x, y = pii.generated_examples(600, seed=99)
+    p = m.probability(x) >= 0.8
+    assert p[y == 1].mean() > 0.9 and p[y == 0].mean() < 0.05
+    t = 'the password=3fa9c1d2e5b84710 and key "52c4f90819894045335504edb407ca8f8446fabf" but not well-known-words12 in 2019-2020'
+    spans = pii.added_spans(t, pii.base_spans(t), m, 0.8)
+    assert {t[a:b] for a, b, _ in spans} >= {"52c4f90819894045335504edb407ca8f8446fabf"} and len(spans) == 2
+    assert "[secret]" in pii.redact(t, spans)
+    got = pii.find_pii(edges, m)
+    assert got.count() == edges.count() and pii.find_pii(empty, m).count() == 0
+    assert {r["base_sha256"] for r in got.collect()} == {hashlib.sha256(b"").hexdigest()} and {r["spans"] for r in got.collect()} == {""}
+
+
+# --- licenses -------------------------------------------------------------------------------------------------
+
+
+def brute_base(t):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+    at, labels = [], set()
+    for phrase, label in licenses.BASE.items():
+        p = phrase.split()
+        hits = [i for i in range(len(w)) if w[i : i + len(p)] == p]
+        at += hits
+        labels |= {label} if hits else set()
+    return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["MIT", "license", "License.", "apache", "general", "public", "é", "x"]), max_size=25))
+def test_base_phrases(parts):
+    t = " ".join(parts)
+    g = licenses.scan(utf8(t), licenses.BASE, [])
+    assert (g["n_words"], g["n_base"], g["first_word"], g["last_word"], g["base_labels"]) == brute_base(t)
+
+
+def test_templates():
+    a = licenses.compile_template("x", "granted to [[the {good|kind}]] <who:1-2> only [[and no other]]")
+    ok = lambda t: a.accepts(t.encode().split())
+    assert ok("granted to bob only") and ok("granted to the kind bob b only and no other") and ok("granted to the good only")
+    assert not ok("granted to only") and not ok("granted to a b c only") and not ok("granted to bob")
+    with pytest.raises(ValueError):
+        licenses.compile_template("x", "[[a]] b")
+    autos = [licenses.compile_template(*t) for t in licenses.TEMPLATES]
+    found = lambda t: licenses.scan(utf8(t), licenses.BASE, autos)["labels"]
+    assert found("Licensed under CC BY-NC 4.0.") == "cc-by-nc" and found("Released under the MIT License.") == "mit"
+    assert found("This work is licensed under the GNU General Public License, version 3.") == "gpl" and found("a license to mit") == ""
+    assert found("Copyright (c) 2020 Somebody and Sons. All rights reserved") == "proprietary"
+
+
+def test_license_edges(edges, empty):
+    got = licenses.scan_licenses(edges)
+    assert got.count() == edges.count() and licenses.scan_licenses(empty).count() == 0
+    by = {r["doc_id"]: r for r in got.collect()}
+    assert by[1]["n_words"] == 0 and by[1]["first_word"] is None and by[1]["labels"] == "" and by[6]["n_words"] == 30000
