@@ -1,6 +1,6 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax.
 
-A word is a bag of itself and its character n-grams with word ends marked, each hashed to a row of an embedding table; a text
+A word is a bag of its character n-grams with word ends marked, each hashed to a row of an embedding table; a text
 is the average of its words' vectors, and a linear softmax over it gives the probability of either label.  Table
 and softmax are trained jointly in numpy.  A misspelt word shares most n-grams with the word it is meant to be.
 """
@@ -21,7 +21,6 @@ _ORDERS = (3, 4, 5)
 #: Averages are scaled so that a few words in hundreds move the softmax at the usual rates.
 _SCALE = 50.0
 _PIECE = 1 << 18
-_PLACE = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, dtype=np.uint64))
 
 
 def subwords(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -47,14 +46,6 @@ def subwords(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray, np
         rows.append((_mix(h[ok]) % np.uint64(buckets)).astype(np.int64))
         words.append(word[1 : 1 + m][ok])
         docs.append(doc[:m][ok])
-    if len(start):  # and the whole word
-        place = np.minimum(np.arange(len(cp)) - np.maximum.accumulate(np.where(space, np.arange(len(cp)), 0)), 63)
-        ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(cp) * _PLACE[place])])
-        whole = sums[ends] - sums[start + 1]
-        rows.append((_mix(whole) % np.uint64(buckets)).astype(np.int64))
-        words.append(word[start + 1])
-        docs.append(doc[start])
     w = np.concatenate(words)
     share = 1.0 / np.bincount(w, minlength=1)[w] if len(w) else np.empty(0)
     return np.concatenate(rows), share, np.concatenate(docs), n_words
@@ -70,8 +61,8 @@ class SubwordSoftmax:
         self.weight = rng.normal(0, 0.1, (size, 2))
         self.bias = np.zeros(2)
 
-    def fit(self, texts: list[str], labels: list[int], epochs: int = 20, rate: float = 0.3, seed: int = 5, decay: float = 1e-5) -> SubwordSoftmax:
-        """Adagrad over shuffled minibatches of whole texts."""
+    def fit(self, texts: list[str], labels: list[int], epochs: int = 20, steps: int = 3000, rate: float = 0.3, seed: int = 5, decay: float = 1e-5) -> SubwordSoftmax:
+        """Adagrad over shuffled minibatches of whole texts; a small sample is gone over until about ``steps`` are taken."""
         if not texts:
             return self
         rows, shares = [], []
@@ -84,7 +75,7 @@ class SubwordSoftmax:
         rng = np.random.default_rng(seed)
         size = self.table.shape[1]
         g_table, g_weight, g_bias = np.full(self.buckets, 1e-6), np.full(self.weight.shape, 1e-6), np.full(2, 1e-6)
-        for _ in range(epochs):
+        for _ in range(max(epochs, min(300, -(-steps * 32 // len(y))))):
             order = rng.permutation(len(y))
             for at in range(0, len(y), 32):
                 some = order[at : at + 32]
