@@ -4,8 +4,8 @@ Texts become sets of word shingles.  Documents with equal sets are one class, an
 on.  Candidates meet by prefix: of two similar sets, the rarest shingles of each share one.  A shingle's first
 document is its pivot, and a document joins the group of every pivot of its prefix, so each candidate pair meets in
 a group.  In a group, shingles are hashed into count groups; a set is the point of its counts, an R-tree holds the
-points, and the summed coordinate minima bound a pair's overlap from above.  That happens twice: on coarse vectors that
-travel without the text, and on fine ones of the documents that still have a partner.  Surviving pairs are verified on
+points, and the summed coordinate minima bound a pair's overlap from above.  That happens twice: on vectors that travel
+without the text, and again among the documents that still have a partner.  Surviving pairs are verified on
 the sets.
 
 A search goes from a document to those not yet reached, so a group of many copies costs one edge a copy, and no link
@@ -30,8 +30,8 @@ from .words import _mix, batches, shingle_sets
 SHINGLE, SIMILARITY = 4, 85
 _BUCKETS = 1 << 18
 _GROUPS = 256
-#: Counts of the vectors that travel with a document, before its text does.
-_COARSE = 64
+#: Groups of the count vectors that travel with a document, before its text does.
+_COARSE = 256
 _TILE_ROWS, _TILE_SHINGLES = 2048, 1_000_000
 _SLOTS = 1 << 20
 
