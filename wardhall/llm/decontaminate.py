@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import ROWS, by_batch, table
+from .frames import ROWS, by_batch, small_batches, table
 from .words import ALNUM, Words, batches, grams
 
 WINDOW = 10
@@ -92,7 +92,7 @@ def _emit(df: DataFrame, window: int, k: int, shorts: list[int], whole: bool, pa
                     rows = pa.array(np.concatenate(row))
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("tag").take(rows), pa.array(np.concatenate(key)), pa.array(np.concatenate(pos)), pa.array(np.concatenate(short)), pa.array(ctx, pa.binary())], names=["doc_id", "tag", "key", "pos", "short", "ctx"])
 
-    return df.mapInArrow(run, _HIT)
+    return small_batches(df).mapInArrow(run, _HIT)
 
 
 def _extended(joined: DataFrame, window: int, k: int) -> DataFrame:
@@ -117,7 +117,7 @@ def _extended(joined: DataFrame, window: int, k: int) -> DataFrame:
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from map(work, (b for b in stream if b.num_rows))
 
-    return joined.mapInArrow(run, "doc_id string, tag long, lo long, hi long, item_id string")
+    return small_batches(joined).mapInArrow(run, "doc_id string, tag long, lo long, hi long, item_id string")
 
 
 def _tagged(docs: DataFrame, key: str, text: str) -> DataFrame:

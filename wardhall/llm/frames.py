@@ -22,6 +22,14 @@ def keys_and_text(docs: DataFrame, key: str, text: str, *more: Column) -> DataFr
     return docs.select(docs[key].alias("doc_id"), docs[text].cast("binary").alias("text"), *more)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Has the session send no more rows at once than a worker's memory is laid out for: whole texts may be long."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
+    return df
+
+
 def by_batch(df: DataFrame, work: Callable[[pa.RecordBatch], dict[str, list]], schema: str) -> DataFrame:
     """``work`` on each Arrow batch; it returns a column of values for each name in ``schema``."""
     fields = df.sparkSession.createDataFrame([], schema).schema
@@ -35,7 +43,7 @@ def by_batch(df: DataFrame, work: Callable[[pa.RecordBatch], dict[str, list]], s
                 found = work(batch.slice(at, ROWS))
                 yield pa.RecordBatch.from_arrays([found[f.name] if isinstance(found[f.name], pa.Array) else pa.array(found[f.name], type=f.type) for f in out], schema=out)
 
-    return df.mapInArrow(run, fields)
+    return small_batches(df).mapInArrow(run, fields)
 
 
 def held_out(key: str | Column) -> Column:
@@ -83,4 +91,4 @@ def filter_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatc
             for at in range(0, batch.num_rows, ROWS):
                 yield work(batch.slice(at, ROWS))
 
-    return df.mapInArrow(run, df.schema)
+    return small_batches(df).mapInArrow(run, df.schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import ROWS, by_batch, table
+from .frames import ROWS, by_batch, small_batches, table
 from .shared import components, written
 from .words import _mix, batches, shingle_sets
 
@@ -164,7 +164,7 @@ def shingle_levels(docs: DataFrame, shingle: int) -> np.ndarray:
             part = some[at : at + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(count[part])], names=["bucket", "n"])
 
-    found = docs.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = small_batches(docs).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     levels = np.zeros(_BUCKETS, dtype=np.uint8)
     levels[found["bucket"].to_numpy()] = np.minimum(255, np.log2(found["n"].to_numpy() + 1) * 8)
     return levels

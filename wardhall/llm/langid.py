@@ -87,15 +87,20 @@ class LanguageFilters:
         hits = [np.bincount(doc, weights=((mask >> np.uint64(b)) & np.uint64(1)), minlength=len(texts)) for b in range(len(self.languages))]
         return total, np.stack(hits, axis=1) if hits else np.zeros((len(texts), 0))
 
-    def predict(self, texts: list[str | None], batch_chars: int = 1 << 19) -> tuple[list[str], list[float]]:
-        """(language or ``und``, share of the evidence) of each text; a longer text is counted piece by piece."""
+    def _counted(self, texts: list[str], batch_chars: int) -> tuple[np.ndarray, np.ndarray]:
+        """Popcounts of each text, in pieces of bounded size; an n-gram at a piece's edge may count twice."""
         total, hits = np.zeros(len(texts)), np.zeros((len(texts), len(self.languages)))
-        texts = [t or "" for t in texts]
-        letters = np.array([any(map(str.isalpha, t)) for t in texts], dtype=bool)
         for owner, some in pieces(texts, batch_chars, self.n - 1):
             t, h = self.popcounts(some)
             np.add.at(total, owner, t)
             np.add.at(hits, owner, h)
+        return total, hits
+
+    def predict(self, texts: list[str | None], batch_chars: int = 1 << 19) -> tuple[list[str], list[float]]:
+        """(language or ``und``, share of the evidence) of each text; a longer text is counted piece by piece."""
+        texts = [t or "" for t in texts]
+        letters = np.array([any(map(str.isalpha, t)) for t in texts], dtype=bool)
+        total, hits = self._counted(texts, batch_chars)
         if not self.languages:
             return [UNDETERMINED] * len(texts), [0.0] * len(texts)
         share = hits / np.maximum(total, 1)[:, None]
@@ -108,13 +113,11 @@ class LanguageFilters:
 
     def identified(self, texts: list[str | None], min_fit: float) -> list[bool]:
         """Whether a text has letters and hits some language's n-grams at ``min_fit`` of that language's own rate or more."""
-        out = []
-        for text in texts:
-            total, hits = self.popcounts([text or ""])
-            share = hits / np.maximum(total, 1)[:, None]
-            fair = (share - self.false_rate) / (1 - self.false_rate) / self.hit_rate
-            out.append(any(map(str.isalpha, text or "")) and bool((fair >= min_fit).any()))
-        return out
+        texts = [t or "" for t in texts]
+        total, hits = self._counted(texts, 1 << 19)
+        share = hits / np.maximum(total, 1)[:, None]
+        fair = (share - self.false_rate) / (1 - self.false_rate) / self.hit_rate
+        return [any(map(str.isalpha, t)) and bool(ok) for t, ok in zip(texts, (fair >= min_fit).any(axis=1), strict=True)]
 
 
 def fit_languages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 400, max_chars: int = 20_000) -> LanguageFilters:
@@ -148,10 +151,11 @@ def keep_identified(docs: DataFrame, model: LanguageFilters, text: str = "text",
     of that language's own texts.  Mixed languages stay.
     """
     names = docs.columns
-    packed = docs.select(docs[text].cast("binary").alias("text"), F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)]).alias("row"))
+    packed = docs.select(F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)]).alias("row"))
+    place = names.index(text)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [None if t is None else t.decode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
+        texts = batch.column("row").field(place).to_pylist()
         return batch.filter(pa.array(model.identified(texts, min_fit), type=pa.bool_()))
 
     kept = filter_batches(packed, work)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import ROWS, table
+from .frames import ROWS, small_batches, table
 from .shared import written
 from .words import _mix, batches
 
@@ -179,7 +179,7 @@ def repeated_halves(source: DataFrame, length: int, buckets: int) -> DataFrame:
         twice = np.unique(h[1:][h[1:] == h[:-1]])
         return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "part": [_packed(twice)]})
 
-    return source.mapInArrow(run, "bucket int, part binary").groupBy("bucket").applyInPandas(merge, "bucket int, part binary")
+    return small_batches(source).mapInArrow(run, "bucket int, part binary").groupBy("bucket").applyInPandas(merge, "bucket int, part binary")
 
 
 def refine(rows: np.ndarray, length: int) -> np.ndarray:
@@ -279,7 +279,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 out.append(pd.DataFrame(first_owners(h[lo:hi], part["x"].to_numpy(), part["lo"].to_numpy(), part["hi"].to_numpy(), rows, part["dmin"].to_numpy(), part["dmax"].to_numpy(), length)))
         return pd.concat(out)
 
-    found = written(source.mapInArrow(contexts, "bucket int, h long, x long, lo int, hi int, ctx binary, dmin long, dmax long").groupBy("bucket").applyInPandas(owners, "h long, x long, dmin long, a1 int, b1 int, a2 int, b2 int"))
+    found = written(small_batches(source).mapInArrow(contexts, "bucket int, h long, x long, lo int, hi int, ctx binary, dmin long, dmax long").groupBy("bucket").applyInPandas(owners, "h long, x long, dmin long, a1 int, b1 int, a2 int, b2 int"))
 
     def places(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = None if known is None else known.value
@@ -291,7 +291,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("tag").take(rows), pa.array(a.place.astype(np.int64)), pa.array(a.hash.view(np.int64)), pa.array(x.view(np.int64))], names=["doc_id", "tag", "pos", "h", "x"])
 
     reach = length - _Q
-    hits = source.mapInArrow(places, "doc_id long, tag long, pos long, h long, x long").join(found, ["h", "x"])
+    hits = small_batches(source).mapInArrow(places, "doc_id long, tag long, pos long, h long, x long").join(found, ["h", "x"])
     later = F.col("doc_id") > F.col("dmin")
     lo, hi = F.when(later, F.col("a2")).otherwise(F.col("a1")), F.when(later, F.col("b2")).otherwise(F.col("b1"))
     return hits.filter(later | (F.col("b1") >= 0)).select("doc_id", "tag", (F.col("pos") - reach + lo).alias("lo"), (F.col("pos") - reach + hi + length).alias("hi"))
@@ -341,7 +341,7 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
                 kept.append(b"".join(out))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return small_batches(both).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
