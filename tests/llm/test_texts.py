@@ -41,6 +41,15 @@ def test_language_filters():
     assert ((m.masks(grams) & ~np.uint64(3)) == 0).all()
 
 
+def test_more_languages_than_bits():
+    rng = random.Random(1)
+    names = [f"l{i:02}" for i in range(70)]
+    words = {n: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(6)] for n in names}
+    m = LanguageFilters.fit([(" ".join(rng.choice(words[n]) for _ in range(40)), n) for n in names])
+    assert m.slots.shape[1] == 2
+    assert m.predict([" ".join(words[n]) for n in names])[0] == names
+
+
 def test_language_edges(edges, empty):
     got = identify_language(edges, model())
     assert got.columns == ["doc_id", "held_out", "lang_pred", "score"] and got.count() == edges.count()

@@ -37,6 +37,10 @@ def _ngrams(cp: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     return packed[same], doc[:m][same]
 
 
+def _bit(masks: np.ndarray, language: int) -> np.ndarray:
+    return (masks[:, language // 64] >> np.uint64(language % 64)) & np.uint64(1)
+
+
 class LanguageFilters:
     """The fitted filter: slots (words of language bits), languages, false-positive rate and hit rate of each."""
 
@@ -50,26 +54,24 @@ class LanguageFilters:
 
     @classmethod
     def fit(cls, rows: list[tuple[str, str]], n: int = 3, top: int = 600, slots: int = 1 << 16) -> LanguageFilters:
-        """Of (text, language) pairs.  At most 64 languages; ``top`` n-grams of each enter the filter."""
+        """Of (text, language) pairs; ``top`` n-grams of each language enter the filter.  A slot has a 64-bit word for every 64 languages."""
         by: dict[str, list[str]] = {}
         for text, lang in rows:
             by.setdefault(lang, []).append(text)
         languages = sorted(by)
-        if len(languages) > 64:
-            raise ValueError("a slot has 64 bits, one for each language")
-        filt = np.zeros(slots, dtype=np.uint64)
+        filt = np.zeros((slots, max(1, -(-len(languages) // 64))), dtype=np.uint64)
         counts = []
         for bit, lang in enumerate(languages):
             grams, count = np.unique(_ngrams(*_code_points(by[lang]), n)[0], return_counts=True)
             counts.append((grams, count))
             order = np.lexsort((grams, -count))[:top]
             for place in cls._places(grams[order], slots):
-                np.bitwise_or.at(filt, place, np.uint64(1) << np.uint64(bit))
-        bits = [(filt >> np.uint64(b)) & np.uint64(1) for b in range(len(languages))]
+                np.bitwise_or.at(filt[:, bit // 64], place, np.uint64(1) << np.uint64(bit % 64))
+        bits = [_bit(filt, b) for b in range(len(languages))]
         false_rate = np.array([float(b.mean()) ** _K for b in bits])
         out = cls(languages, filt, false_rate, np.ones(len(languages)), n)
         for b, (grams, count) in enumerate(counts):
-            hit = (out.masks(grams) >> np.uint64(b)) & np.uint64(1)
+            hit = _bit(out.masks(grams), b)
             raw = float((hit * count).sum()) / max(1, int(count.sum()))
             out.hit_rate[b] = max(1e-6, (raw - false_rate[b]) / (1 - false_rate[b]))
         return out
@@ -84,7 +86,7 @@ class LanguageFilters:
         grams, doc = _ngrams(*_code_points(texts), self.n)
         mask = self.masks(grams)
         total = np.bincount(doc, minlength=len(texts))
-        hits = [np.bincount(doc, weights=((mask >> np.uint64(b)) & np.uint64(1)), minlength=len(texts)) for b in range(len(self.languages))]
+        hits = [np.bincount(doc, weights=_bit(mask, b), minlength=len(texts)) for b in range(len(self.languages))]
         return total, np.stack(hits, axis=1) if hits else np.zeros((len(texts), 0))
 
     def _counted(self, texts: list[str], batch_chars: int) -> tuple[np.ndarray, np.ndarray]:
