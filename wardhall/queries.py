@@ -459,3 +459,28 @@ def retention_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["retention_stream"] = ORACLE_SQL["retention_sweep"]
+
+
+@query("lifecycle_round_trip", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, CASE WHEN c_nationkey = 4 THEN 'MOVED' ELSE c_mktsegment END AS c_mktsegment FROM customer")
+def lifecycle_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Build, attach, update with history, detach without it: the store's plain table afterwards."""
+    import tempfile
+    import uuid
+    import warnings
+
+    from .engine import Engine
+
+    t = project().table("sales.customer")
+    p = Project(Database("shop", owner="boss", version="16"), [Schema("sales", [t])], [r for r in project().roles if r.name != "reader"])
+    for r in p.roles:
+        r.member_of = [m for m in r.member_of if m != "reader"]
+        r.on = [SchemaGrant("sales", tables=[TableGrant("customer", update=r.name == "boss")])]
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    engine = Engine(spark, f"{shared}/lifecycle-{uuid.uuid4().hex}", KEY)
+    engine.store.commit({"sales.customer": read(spark, sf_dir, "customer")})
+    with warnings.catch_warnings(), tempfile.TemporaryDirectory() as out:
+        warnings.simplefilter("ignore")
+        engine.attach(engine.build(p, out, "shop"))
+        engine.update("boss", "sales.customer", "c_nationkey = 4", {"c_mktsegment": "'MOVED'"})
+        engine.detach("drop", confirmed=True)
+    return engine.store.read("sales.customer")
