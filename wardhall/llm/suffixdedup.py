@@ -91,9 +91,10 @@ class Anchors:
         lo = np.minimum(self.reach, self.place)
         hi = np.minimum(length, self.sizes[self.doc] - self.place)
         width = self.reach + length
+        rows = np.lib.stride_tricks.sliding_window_view(self.buf, width)[self.pad + self.start[self.doc] + self.place - self.reach]
         step = np.arange(-self.reach, length)
-        rows = self.buf[(self.pad + self.start[self.doc] + self.place)[:, None] + step]
-        rows[(step < -lo[:, None]) | (step >= hi[:, None])] = 0
+        edge = np.flatnonzero((lo < self.reach) | (hi < length))
+        rows[edge] *= (step >= -lo[edge, None]) & (step < hi[edge, None])
         wide = np.zeros((len(rows), -(-width // 8) * 8), dtype=np.uint8)
         wide[:, :width] = rows
         x = _mix((lo * 256 + hi).astype(np.uint64))
@@ -102,6 +103,12 @@ class Anchors:
         return lo, hi, rows, x
 
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as one Arrow array, without an object for each."""
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
 def _source(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(docs[key].cast("long").alias("doc_id"), F.xxhash64(docs[text], docs[key]).alias("tag"), docs[text].cast("binary").alias("text"))
 
@@ -202,12 +209,10 @@ def refine(rows: np.ndarray, length: int) -> np.ndarray:
 
 def first_owners(h: np.ndarray, x: np.ndarray, lo: np.ndarray, hi: np.ndarray, rows: np.ndarray, dmin: np.ndarray, dmax: np.ndarray, length: int) -> dict[str, np.ndarray]:
     """For each context that loses strings: its least document, first and last start that even that document loses (or -1), first and last start of all."""
-    order = np.lexsort((x, h))
-    h, x, lo, hi, rows, dmin, dmax = (a[order] for a in (h, x, lo, hi, rows, dmin, dmax))
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (x[1:] != x[:-1])])
-    at = np.flatnonzero(new)
-    dmin, dmax = np.minimum.reduceat(dmin, at), np.maximum.reduceat(dmax, at)
-    h, x, lo, hi, rows = (a[at] for a in (h, x, lo, hi, rows))
+    order = np.argsort(x)  # the hash of a context, in which the anchor stands
+    at = np.flatnonzero(np.concatenate([[True], x[order[1:]] != x[order[:-1]]]))
+    dmin, dmax = np.minimum.reduceat(dmin[order], at), np.maximum.reduceat(dmax[order], at)
+    h, x, lo, hi, rows = (a[order[at]] for a in (h, x, lo, hi, rows))
     reach = length - _Q
     ids = refine(rows, length)[:, : reach + 1]
     start = np.arange(reach + 1)
@@ -238,13 +243,13 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     def collapsed(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         """One row for each context, with its least and greatest document."""
         h, x, lo, hi, rows, doc = (np.concatenate(c) for c in zip(*held, strict=True))
-        order = np.lexsort((doc, x, h))
-        h, x, doc = h[order], x[order], doc[order]
-        at = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (x[1:] != x[:-1])]))
-        rest = order[at]
+        order = np.argsort(x)
+        at = np.flatnonzero(np.concatenate([[True], x[order[1:]] != x[order[:-1]]]))
+        rest, doc = order[at], doc[order]
+        h, x = h[rest], x[rest]
         columns = {
-            "bucket": pa.array((h[at] % np.uint64(spread)).astype(np.int32)), "h": pa.array(h[at].view(np.int64)), "x": pa.array(x[at].view(np.int64)), "lo": pa.array(lo[rest].astype(np.int32)), "hi": pa.array(hi[rest].astype(np.int32)),
-            "ctx": pa.array([r.tobytes() for r in rows[rest]], pa.binary()), "dmin": pa.array(doc[at]), "dmax": pa.array(np.maximum.reduceat(doc, at)),
+            "bucket": pa.array((h % np.uint64(spread)).astype(np.int32)), "h": pa.array(h.view(np.int64)), "x": pa.array(x.view(np.int64)), "lo": pa.array(lo[rest].astype(np.int32)), "hi": pa.array(hi[rest].astype(np.int32)),
+            "ctx": _binary(rows[rest]), "dmin": pa.array(np.minimum.reduceat(doc, at)), "dmax": pa.array(np.maximum.reduceat(doc, at)),
         }
         return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
