@@ -18,8 +18,8 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="wardhall", description="Governed tables on Spark.")
     sub = p.add_subparsers(dest="command", required=True)
 
-    def add(name: str, *names: str, **more: dict) -> argparse.ArgumentParser:
-        c = sub.add_parser(name)
+    def add(command: str, /, *names: str, **more: dict) -> argparse.ArgumentParser:
+        c = sub.add_parser(command)
         for n in names:
             c.add_argument(n)
         for n, kw in more.items():
