@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,8 +13,20 @@ from pyspark.sql import functions as F
 ROWS = 1000
 
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def importable(spark: SparkSession) -> None:
+    """Python workers find this package where it lies, whatever folder the driver was started in."""
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if _ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, by Spark's reader only, so any file system does."""
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -24,6 +37,7 @@ def keys_and_text(docs: DataFrame, key: str, text: str, *more: Column) -> DataFr
 
 def small_batches(df: DataFrame) -> DataFrame:
     """Has the session send no more rows at once than a worker's memory is laid out for: whole texts may be long."""
+    importable(df.sparkSession)
     conf = df.sparkSession.conf
     if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
