@@ -213,6 +213,13 @@ def test_line_dedup(frame, edges, empty):
     assert without_boilerplate(empty).count() == 0
 
 
+def test_short_lines_and_scripts_without_spaces_are_judged(frame):
+    body = lambda i: f"its own line of document {i} " * 5
+    rows = [(i, f"{body(i)}\nAll rights reserved.\n版权所有未经许可不得转载\n\n" + ("on few sites" if i < 9 else f"own {i}")) for i in range(12)]
+    got = {r["doc_id"]: r["text"] for r in without_boilerplate(frame(rows, {i: f"s{i}" for i in range(12)})).collect()}
+    assert got == {i: f"{body(i)}\n\n" + ("on few sites" if i < 9 else f"own {i}") for i in range(12)}
+
+
 def test_lines_near_the_threshold_are_counted_exactly(frame):
     rows, sources = [], {}
     for n in range(6, 15):

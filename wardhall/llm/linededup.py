@@ -37,7 +37,7 @@ def boilerplate_lines(lines: DataFrame, min_sites: int) -> DataFrame:
 def deduplicated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, max_share: float = MAX_SHARE) -> DataFrame:
     """``row`` (all columns of ``docs`` as c0, c1, ...), doc_id, kept_text, n_lines, n_removed, removed_chars.
 
-    A line needs ``min_words`` words to be judged; a row loses its boilerplate lines if they hold at most
+    A line needs ``min_words`` words to be judged, and one character; with 0 every non-empty line is.  A row loses its boilerplate lines if they hold at most
     ``max_share`` of its characters.  A null text has no lines and stays null; an empty text is one empty line.  Lines of
     rows with a null site count for no site.  Equal rows get equal results, rows with the same id stay apart, a null id
     is kept, an empty table gives no rows, and columns of any name pass through in ``row``.
@@ -47,7 +47,7 @@ def deduplicated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text",
         F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)]).alias("row"), docs[key].alias("doc_id"), docs[text].alias("text"), docs[site].cast("string").alias("site"), F.xxhash64(docs[text], docs[key]).alias("tag")
     )
     lines = whole.select("doc_id", "tag", "site", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    lines = lines.select("doc_id", "tag", "site", "pos", F.length("line").alias("chars"), _line_key(F.col("line")).alias("line")).filter(F.size(F.split("line", " ")) >= min_words)
+    lines = lines.select("doc_id", "tag", "site", "pos", F.length("line").alias("chars"), _line_key(F.col("line")).alias("line")).filter((F.col("line") != "") & (F.size(F.split("line", " ")) >= min_words))
     lines = lines.select("doc_id", "tag", "site", "pos", "chars", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
     found = boilerplate_lines(lines, min_sites)
     cut = lines.join(found, ["h1", "h2"]).select("doc_id", "tag", "pos", "chars").distinct()
@@ -62,8 +62,11 @@ def deduplicated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def without_boilerplate(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", size: str | None = "n_chars") -> DataFrame:
-    """``docs`` with its columns, boilerplate lines taken out of the text; ``size``, if there, follows the text."""
-    found = deduplicated_lines(docs, key, text, site)
+    """``docs`` with its columns, boilerplate lines taken out of the text; ``size``, if there, follows the text.
+
+    Every non-empty line is judged, however short and in whatever script: the spread over sites alone decides.
+    """
+    found = deduplicated_lines(docs, key, text, site, min_words=0)
     out = []
     for i, c in enumerate(docs.columns):
         col = F.col(f"row.c{i}")
