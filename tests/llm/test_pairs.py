@@ -220,6 +220,14 @@ def test_short_lines_and_scripts_without_spaces_are_judged(frame):
     assert got == {i: f"{body(i)}\n\n" + ("on few sites" if i < 9 else f"own {i}") for i in range(12)}
 
 
+def test_boilerplate_leaves_short_documents_and_only_copies_keep_their_lines(frame):
+    notice = "all rights reserved by the owner of this site"
+    copy = "first line of a copied text\nsecond line of a copied text\n" + notice
+    rows = [(i, f"short {i}\n{notice}") for i in range(12)] + [(20 + i, copy if i else f"  {copy} ") for i in range(11)] + [(40, "twice\n" + notice), (41, "twice\n" + notice), (42, notice), (None, "no id\n" + notice)]
+    got = {r["doc_id"]: r["text"] for r in without_boilerplate(frame(rows, {i: f"s{i}" for i in range(40)})).collect()}
+    assert got == {**{i: f"short {i}" for i in range(12)}, **{20 + i: copy.removesuffix("\n" + notice) for i in range(1, 11)}, 20: "  " + copy.removesuffix("\n" + notice), 40: "twice", 41: "twice", 42: "", None: "no id"}
+
+
 def test_lines_near_the_threshold_are_counted_exactly(frame):
     rows, sources = [], {}
     for n in range(6, 15):

@@ -1,8 +1,9 @@
 """Line dedup by distinct-site spread.
 
 Every line's sites are counted with a HyperLogLog sketch that merges by aggregation.  A line well over the threshold
-is boilerplate by its sketch; one near the threshold gets an exact distinct count.  Boilerplate lines leave the
-documents in which they are the smaller part; a document that would lose more is a copy, not boilerplate, and stays.
+is boilerplate by its sketch; one near the threshold gets an exact distinct count.  In the query, as in its SQL,
+boilerplate lines leave the documents in which they are the smaller part.  In the pipeline they leave every document;
+only lines that owe their spread to whole copies of one text stay in those copies.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frames import table
+from .shared import written
 
 MIN_SITES, MIN_WORDS, MAX_SHARE = 10, 4, 0.5
 _BLANKS = r"[ \t\r\f\x0B]+"
@@ -34,11 +36,28 @@ def boilerplate_lines(lines: DataFrame, min_sites: int) -> DataFrame:
     return spread.filter(F.col("sites") > min_sites + band).select("h1", "h2").union(exact.select("h1", "h2"))
 
 
-def deduplicated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, max_share: float = MAX_SHARE) -> DataFrame:
+def copied_rows(rows: DataFrame, min_sites: int) -> DataFrame:
+    """(copy_id, copy_tag) of the rows whose whole text, blanks apart, is found on ``min_sites`` sites or more; ``rows`` has doc_id, tag, text and site."""
+    whole = F.regexp_replace(_line_key(F.col("text")), " ?\n ?", "\n")
+    texts = rows.filter("text <> ''").select("doc_id", "tag", "site", F.xxhash64(whole).alias("h1"), F.xxhash64(F.lit(1), whole).alias("h2"))
+    return texts.join(boilerplate_lines(texts, min_sites), ["h1", "h2"]).select(F.col("doc_id").alias("copy_id"), F.col("tag").alias("copy_tag")).distinct()
+
+
+def _without_own_copies(cut: DataFrame, rows: DataFrame, min_sites: int) -> DataFrame:
+    """``cut`` without the lines of widely copied texts that are not on ``min_sites`` sites in other rows too."""
+    copied = copied_rows(rows, min_sites)
+    marked = written(cut.join(copied, cut["doc_id"].eqNullSafe(copied["copy_id"]) & (cut["tag"] == copied["copy_tag"]), "left").drop("copy_id"))
+    apart = marked.filter("copy_tag is null")
+    spread = boilerplate_lines(apart, min_sites)
+    return apart.drop("copy_tag").unionByName(marked.filter("copy_tag is not null").drop("copy_tag").join(spread, ["h1", "h2"], "left_semi"))
+
+
+def deduplicated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, max_share: float | None = MAX_SHARE) -> DataFrame:
     """``row`` (all columns of ``docs`` as c0, c1, ...), doc_id, kept_text, n_lines, n_removed, removed_chars.
 
     A line needs ``min_words`` words to be judged, and one character; with 0 every non-empty line is.  A row loses its boilerplate lines if they hold at most
-    ``max_share`` of its characters.  A null text has no lines and stays null; an empty text is one empty line.  Lines of
+    ``max_share`` of its characters.  With None every row loses them, but a line of a text that is itself on
+    ``min_sites`` sites goes from there only if it is on as many in rows that are no such copies.  A null text has no lines and stays null; an empty text is one empty line.  Lines of
     rows with a null site count for no site.  Equal rows get equal results, rows with the same id stay apart, a null id
     is kept, an empty table gives no rows, and columns of any name pass through in ``row``.
     """
@@ -50,10 +69,13 @@ def deduplicated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text",
     lines = lines.select("doc_id", "tag", "site", "pos", F.length("line").alias("chars"), _line_key(F.col("line")).alias("line")).filter((F.col("line") != "") & (F.size(F.split("line", " ")) >= min_words))
     lines = lines.select("doc_id", "tag", "site", "pos", "chars", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
     found = boilerplate_lines(lines, min_sites)
-    cut = lines.join(found, ["h1", "h2"]).select("doc_id", "tag", "pos", "chars").distinct()
+    cut = lines.join(found, ["h1", "h2"])
+    if max_share is None:
+        cut = _without_own_copies(cut, whole, min_sites)
+    cut = cut.select("doc_id", "tag", "pos", "chars").distinct()
     cut = cut.groupBy(F.col("doc_id").alias("cut_id"), F.col("tag").alias("cut_tag")).agg(F.collect_list("pos").alias("cut"), F.sum("chars").alias("cut_chars"))
     both = whole.join(cut, F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("tag") == F.col("cut_tag")), "left")
-    take = F.coalesce(F.col("cut_chars") <= F.length("text") * F.lit(max_share), F.lit(False))
+    take = F.col("cut").isNotNull() if max_share is None else F.coalesce(F.col("cut_chars") <= F.length("text") * F.lit(max_share), F.lit(False))
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("cut", i)), "\n")
     return both.select(
         "row", "doc_id", F.when(take, kept).otherwise(F.col("text")).alias("kept_text"), F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"),
@@ -64,9 +86,10 @@ def deduplicated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text",
 def without_boilerplate(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", size: str | None = "n_chars") -> DataFrame:
     """``docs`` with its columns, boilerplate lines taken out of the text; ``size``, if there, follows the text.
 
-    Every non-empty line is judged, however short and in whatever script: the spread over sites alone decides.
+    Every non-empty line is judged, however short and in whatever script: the spread over sites alone decides.  Every
+    row loses its boilerplate lines, whatever their share of it.
     """
-    found = deduplicated_lines(docs, key, text, site, min_words=0)
+    found = deduplicated_lines(docs, key, text, site, min_words=0, max_share=None)
     out = []
     for i, c in enumerate(docs.columns):
         col = F.col(f"row.c{i}")
