@@ -278,6 +278,18 @@ def test_model_finds_secrets_and_spares_prose(edges, empty):
     assert {r["base_sha256"] for r in got.collect()} == {hashlib.sha256(b"").hexdigest()} and {r["spans"] for r in got.collect()} == {""}
 
 
+@pytest.mark.parametrize("alphabet", ["abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ", "abcdefghijkmnpqrstuvwxyz0123456789ABCDEFGHJKLMNPQRSTUVWXYZ", "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ%.!~", "abcdefghijkmnpqrstuvwxyz0123456789ABCDEFGHJKLMNPQRSTUVWXYZ%.!~"])
+def test_long_values_are_taken_whole(alphabet):
+    rng, m = random.Random(4), pii.fit_pii()
+    for n in (190, 201, 450, 3000):
+        value = "".join(rng.choice(alphabet) for _ in range(n))
+        t = f'set token="{value}" and go on'
+        spans = pii.added_spans(t, [], m, 0.8)
+        assert value not in t[: spans[0][0]] and pii.redact(t, spans).endswith('" and go on')
+        assert not any(value[i : i + 6] in pii.redact(t, spans) for i in range(n - 5)), (n, spans)
+    assert len(pii.values("token=" * 50_000)) == 49_999  # linear
+
+
 # --- licenses -------------------------------------------------------------------------------------------------
 
 

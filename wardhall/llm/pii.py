@@ -96,6 +96,8 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 # --- candidates beyond the base -------------------------------------------------------------------------------
 
 _VALUE = re.compile(r"\s{0,2}[=:]\s{0,2}[\"']?([^\s\"',;]{6,200})")
+_REST = re.compile(r"[^\s\"',;]*+")
+_OPENING = 200
 _NAME = re.compile(r"(?i:password|passwd|secret|token|api[_-]?key|access[_-]?key|credential)s?[\"']?\Z")
 _DIGITS = re.compile(r"[0-9]++")
 _TOKEN_CHAR = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_/+=-")
@@ -104,16 +106,25 @@ _SECRET_WORDS = ("pass", "secret", "token", "key", "credential", "auth")
 _ACCOUNT_WORDS = ("ssn", "social", "iban", "account", "passport", "tel", "phone", "fax", "call", "card")
 
 
-def candidates(text: str) -> list[tuple[int, int, str]]:
-    """Overlapping proposals of high recall: values after a key word, long tokens with a digit and a letter, digit groups."""
+def values(text: str) -> list[tuple[int, int]]:
+    """Whole values after a key word, up to a blank, quote, comma or semicolon; the end of a run is looked for once."""
     out = []
     for sign in "=:":
-        at = text.find(sign)
+        at, run_end = text.find(sign), 0
         while at >= 0:
             name = text[max(0, at - 20) : at].rstrip()
             if _NAME.search(name) and (m := _VALUE.match(text, at)):
-                out.append((*m.span(1), "secret"))
+                start, end = m.span(1)
+                if end - start == _OPENING:
+                    end = run_end = run_end if start < run_end else _REST.match(text, end).end()
+                out.append((start, end))
             at = text.find(sign, at + 1)
+    return out
+
+
+def candidates(text: str) -> list[tuple[int, int, str]]:
+    """Overlapping proposals of high recall: values after a key word, long tokens with a digit and a letter, digit groups."""
+    out = [(*v, "secret") for v in values(text)]
     end = 0
     for m in _DIGITS.finditer(text):
         if m.start() >= end:
@@ -244,16 +255,26 @@ def fit_pii(examples: int = 1600, seed: int = 7) -> BoostedTrees:
 
 
 def added_spans(text: str, base: list[tuple[int, int, str]], model: BoostedTrees, threshold: float) -> list[tuple[int, int, str]]:
-    """Candidates over the threshold that overlap no base span; of overlapping ones the likeliest, then the first."""
-    some = [c for c in candidates(text) if not any(a < c[1] and c[0] < b for a, b, _ in base)]
+    """Candidates over the threshold that overlap no base span; of overlapping ones the likeliest, then the first.
+
+    A value after a key word is taken whole: spans taken before that cover a part of it become one with it.  It is judged
+    by its first ``_OPENING`` characters, in bounded time where many values share an end.
+    """
+    whole = {(*v, "secret") for v in values(text)}
+    judged = {c: (c[0], min(c[1], c[0] + _OPENING), c[2]) if c in whole else c for c in candidates(text)}
+    some = [c for c, j in judged.items() if not any(a < j[1] and j[0] < b for a, b, _ in base)]
     if not some:
         return []
-    p = model.probability(np.array([features(text, *c) for c in some]))
+    p = model.probability(np.array([features(text, *judged[c]) for c in some]))
     taken: list[tuple[int, int, str]] = []
     for i in sorted(range(len(some)), key=lambda i: (-p[i], some[i])):
         c = some[i]
-        if p[i] >= threshold and not any(a < c[1] and c[0] < b for a, b, _ in taken):
-            taken.append(c)
+        if p[i] >= threshold:
+            met = [t for t in taken if t[0] < c[1] and c[0] < t[1]]
+            if not met:
+                taken.append(c)
+            elif c in whole and not any(t[0] <= c[0] and c[1] <= t[1] for t in met):
+                taken = [t for t in taken if t not in met] + [(min(c[0], *(t[0] for t in met)), max(c[1], *(t[1] for t in met)), "secret")]
     return taken
 
 
