@@ -326,6 +326,25 @@ def test_templates():
     assert found("Copyright (c) 2020 Somebody and Sons. All rights reserved") == "proprietary"
 
 
+def test_full_texts_are_compared_whole():
+    autos = [licenses.compile_template(*t) for t in licenses.TEMPLATES]
+    found = lambda t: licenses.scan(utf8(t), {}, autos)
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
+        to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+        The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL
+        THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+    assert (found(mit)["labels"], found(mit)["score"]) == ("mit", 1.0) and found(mit.replace("AUTHORS OR COPYRIGHT HOLDERS", "X Consortium"))["labels"] == "mit"
+    assert found(mit.replace("The above copyright notice", "The Software shall not be used commercially. The above copyright notice"))["score"] == 0.0
+    full = {label: t for label, t in licenses.TEMPLATES if len(t.split()) > 90}
+    assert set(full) == {"mit", "bsd", "isc", "unlicense", "apache"}
+    for label, template in full.items():
+        words = re.sub(r"<[^<>]*>", "the owner", re.sub(r"\{([^{}|]*)[^{}]*\}", r"\1", template).replace("[[", " ").replace("]]", " ")).split()
+        assert found(" ".join(words))["labels"] == label
+        for i in range(20, len(words) - 10, 40):  # words of regions and optional wording apart
+            assert found(" ".join([*words[:i], "not", "never", *words[i:]]))["labels"] != label or "owner" in words[i - 20 : i + 20]
+
+
 def test_license_edges(edges, empty):
     got = licenses.scan_licenses(edges)
     assert got.count() == edges.count() and licenses.scan_licenses(empty).count() == 0
