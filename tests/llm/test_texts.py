@@ -9,9 +9,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from wardhall.llm import licenses, packing, pii, quality
-from wardhall.llm.langid import LanguageFilters, identify_language, keep_identified, op6_language_id
+from wardhall.llm.langid import LanguageFilters, fit_languages, identify_language, keep_identified, op6_language_id
 from wardhall.llm.packing import Tournament, first_fit_decreasing, pack
 from wardhall.llm.quality import LineField, op3_quality_rules, quality_rules
 from wardhall.llm.toxicity import SubwordSoftmax, fit_toxicity, op2_toxicity, score_toxicity, subwords
@@ -229,6 +230,16 @@ def test_packing_edges(edges):
     assert got.groupby(got.doc_id.fillna(-1)).length.sum().to_dict()[1] == 1 and got.doc_id.isna().sum() == 1
 
 
+def test_languages_of_long_texts_are_learned_and_none_drops_no_text(spark):
+    rows = [(i, "the cat and the dog went home " * 10, "en") for i in range(40)] + [(100 + i, "der hund und die katze gehen heim " * 700, "de") for i in range(40)] + [(200, "1 2 3", None), (201, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit_languages(docs)
+    assert model.languages == ["de", "en"]
+    assert keep_identified(docs, model).count() == 80
+    unknown = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert keep_identified(unknown, fit_languages(unknown)).count() == 80
+
+
 # --- personal data --------------------------------------------------------------------------------------------
 
 PATTERNS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]

@@ -79,11 +79,13 @@ def _spread(rows: DataFrame, label: str, per_label: int) -> DataFrame:
 def fit_sample(rows: DataFrame, label: str, per_label: int, max_chars: int) -> list:
     """A bounded sample to fit on, of rows with the columns doc_id, text and ``label``.
 
-    Texts that are null or longer than ``max_chars`` are left out, so the driver gets at most
-    2 * per_label * labels * max_chars characters.
+    Texts that are null or longer than ``max_chars`` are left out before rows are drawn; a label with longer texts only
+    gives their first ``max_chars`` characters.  So the driver gets at most 2 * per_label * labels * max_chars characters.
     """
-    drawn = _spread(rows, label, per_label)
-    return drawn.filter(F.col("text").isNotNull() & (F.length("text") <= max_chars)).select("doc_id", "text", label).collect()
+    rows = rows.filter(F.col("text").isNotNull()).select("doc_id", "text", label)
+    found = _spread(rows.filter(F.length("text") <= max_chars), label, per_label).collect()
+    rest = rows.filter(~F.col(label).isin(sorted({r[label] for r in found}))).withColumn("text", F.substring("text", 1, max_chars))
+    return found + _spread(rest, label, per_label).collect()
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int, max_chars: int) -> list:

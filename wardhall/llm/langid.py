@@ -114,8 +114,13 @@ class LanguageFilters:
         return langs, np.where(letters, np.clip(score, 0, 1), 0.0).tolist()
 
     def identified(self, texts: list[str | None], min_fit: float) -> list[bool]:
-        """Whether a text has letters and hits some language's n-grams at ``min_fit`` of that language's own rate or more."""
+        """Whether a text has letters and hits some language's n-grams at ``min_fit`` of that language's own rate or more.
+
+        Without a learned language nothing can be told apart, and letters alone decide.
+        """
         texts = [t or "" for t in texts]
+        if not self.languages:
+            return [any(map(str.isalpha, t)) for t in texts]
         total, hits = self._counted(texts, 1 << 19)
         share = hits / np.maximum(total, 1)[:, None]
         fair = (share - self.false_rate) / (1 - self.false_rate) / self.hit_rate
@@ -123,7 +128,10 @@ class LanguageFilters:
 
 
 def fit_languages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 400, max_chars: int = 20_000) -> LanguageFilters:
-    """Fits on a bounded sample: about ``per_language`` documents of each language, of ``max_chars`` characters at most, none held out."""
+    """Fits on a bounded sample: about ``per_language`` documents of each language, of ``max_chars`` characters at most, none held out.
+
+    Longer texts are learned from, by their first ``max_chars`` characters, only where a language has no shorter one.
+    """
     rows = docs.select(docs[key].alias("doc_id"), docs[text].alias("text"), docs[lang].alias("lang"))
     return LanguageFilters.fit([(r["text"], r["lang"]) for r in fit_sample(rows, "lang", per_language, max_chars)])
 
@@ -150,7 +158,7 @@ def keep_identified(docs: DataFrame, model: LanguageFilters, text: str = "text",
     """Rows of ``docs`` whose language is identified, with all columns as they are.
 
     Rejected: null texts, texts without a letter, and texts that hit no language's n-grams at a fifth of the rate
-    of that language's own texts.  Mixed languages stay.
+    of that language's own texts.  Mixed languages stay.  Where no language was learned, every text with a letter stays.
     """
     names = docs.columns
     packed = docs.select(F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)]).alias("row"))
