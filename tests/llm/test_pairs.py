@@ -198,6 +198,13 @@ def test_winnowing_keeps_one_of_every_window():
     assert all(at & set(range(i, i + 6)) for i in range(195))
 
 
+def test_documents_with_items_without_an_id_go(spark, frame):
+    passage = " ".join(f"w{i}" for i in range(20))
+    bench = spark.createDataFrame([(None, passage), (None, "two words"), (3, " ".join(f"v{i}" for i in range(20)))], "item_id long, text string")
+    docs = frame([(1, f"before {passage} after"), (2, "these two words"), (3, "none of them")])
+    assert [r["doc_id"] for r in without_contaminated(docs, bench).collect()] == [3]
+
+
 def test_line_dedup(frame, edges, empty):
     common, local = "this line is on every site", "this line is on few sites"
     body = lambda i: "\n".join(f"its own line number {j} of document {i}" for j in range(6))

@@ -125,9 +125,9 @@ def _tagged(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(docs[key].cast("string").alias("doc_id"), F.xxhash64(docs[text], docs[key]).alias("tag"), docs[text].cast("binary").alias("text"))
 
 
-def contaminated_runs(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
-    """Runs of a document's words that hold windows of an item: doc_id (string), tag, lo, hi, item_id."""
-    items = bench.select(bench[item].cast("string").alias("doc_id"), F.lit(0).cast("long").alias("tag"), bench[item_text].cast("binary").alias("text")).filter("doc_id is not null and text is not null")
+def contaminated_runs(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = K, unnamed: bool = False) -> DataFrame:
+    """Runs of a document's words that hold windows of an item: doc_id (string), tag, lo, hi, item_id; items without id only if ``unnamed``."""
+    items = bench.select(bench[item].cast("string").alias("doc_id"), F.lit(0).cast("long").alias("tag"), bench[item_text].cast("binary").alias("text")).filter("text is not null" if unnamed else "doc_id is not null and text is not null")
     marks = _emit(items, window, k, [], True, None)
     shorts = [r[0] for r in marks.filter("short > 0").select("short").distinct().collect()]  # fewer than a window has words
     bitmap = np.zeros(_BITS, dtype=bool)
@@ -166,8 +166,8 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_contaminated(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with its columns, without the rows that hold a window of a benchmark item."""
-    runs = contaminated_runs(docs, bench, key, text).select(F.col("doc_id").alias("hit_id"), F.col("tag").alias("hit_tag")).distinct()
+    """``docs`` with its columns, without the rows that hold a window of a benchmark item, with an id or without."""
+    runs = contaminated_runs(docs, bench, key, text, unnamed=True).select(F.col("doc_id").alias("hit_id"), F.col("tag").alias("hit_tag")).distinct()
     names = docs.columns
     whole = docs.select(docs[key].cast("string").alias("doc_id"), F.xxhash64(docs[text], docs[key]).alias("tag"), F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)]).alias("row"))
     left = whole.join(runs, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("tag") == F.col("hit_tag")), "left_anti")
