@@ -205,6 +205,13 @@ def test_documents_with_items_without_an_id_go(spark, frame):
     assert [r["doc_id"] for r in without_contaminated(docs, bench).collect()] == [3]
 
 
+def test_unsettled_components_raise(spark):
+    path = spark.range(40).selectExpr("id as a", "id + 1 as b")
+    assert {r["component"] for r in components(path).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        components(path, rounds=1)
+
+
 def test_line_dedup(frame, edges, empty):
     common, local = "this line is on every site", "this line is on few sites"
     body = lambda i: "\n".join(f"its own line number {j} of document {i}" for j in range(6))

@@ -43,7 +43,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     ``edges`` has the columns a and b.  Alternates the large star and the small star: each moves edges towards the
     least neighbour, and the number of rounds grows with the logarithm of the nodes.  Minima are aggregated before they
-    are joined, so a node with very many neighbours is never one group of rows.
+    are joined, so a node with very many neighbours is never one group of rows.  Raises if ``rounds`` don't settle them.
     """
     now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     last = None
@@ -59,4 +59,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         now = written(moved.union(least.select("u", F.col("m").alias("v"))).distinct())
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node").union(now.groupBy("v").agg(F.min("v")).join(now.select("u").distinct(), F.col("v") == F.col("u"), "left_anti"))
