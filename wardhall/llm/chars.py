@@ -32,14 +32,36 @@ def spaced_code_points(texts: Iterable[str], kind: str) -> tuple[np.ndarray, np.
     return np.where(good, cp, 32)[keep].astype(np.uint64), doc[keep]
 
 
-def pieces(texts: list[str], limit: int, overlap: int = 0) -> Iterator[tuple[list[int], list[str]]]:
-    """(owners, pieces) of about ``limit`` characters in all; a longer text comes in pieces that share ``overlap`` characters."""
+def decoded(raw: bytes | None) -> str:
+    """A text's characters; null is empty, and bytes that are no UTF-8 become replacement characters, so that one bad row ends no job."""
+    if raw is None:
+        return ""
+    try:
+        return raw.decode("utf-8", "surrogatepass")
+    except UnicodeDecodeError:
+        return raw.decode("utf-8", "replace")
+
+
+def cut(text: str, limit: int, kind: str) -> Iterator[str]:
+    """A text in pieces of ``limit`` characters or a little more: a piece ends at a blank, or else before an unmarked character, never within a word."""
+    at, test = 0, _TESTS[kind]
+    while len(text) - at > limit:
+        end = at + limit
+        blank = next((i for i in range(end, min(end + 4096, len(text))) if text[i].isspace()), None)
+        if blank is None:
+            blank = next((i for i in range(end, len(text)) if not test(text[i])), len(text))
+        yield text[at:blank]
+        at = blank
+    yield text[at:]
+
+
+def pieces(texts: list[str], limit: int, kind: str) -> Iterator[tuple[list[int], list[str]]]:
+    """(owners, pieces) of about ``limit`` characters in all; a longer text is cut between words."""
     owner: list[int] = []
     some: list[str] = []
     size = 0
     for i, text in enumerate(texts):
-        for at in range(0, len(text), limit):
-            piece = text[at : at + limit + overlap]
+        for piece in cut(text, limit, kind) if text else ():
             owner.append(i)
             some.append(piece)
             size += len(piece)

@@ -73,19 +73,20 @@ def _spread(rows: DataFrame, label: str, per_label: int) -> DataFrame:
     share = F.lit(0)
     for value, n in sizes.items():
         share = F.when(F.col(label) == F.lit(value), min(1_000_000, -(-per_label * 1_000_000 // n))).otherwise(share)
-    return rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).limit(2 * per_label * max(1, len(sizes)))
+    spread = F.xxhash64("doc_id")
+    return rows.filter(F.pmod(spread, F.lit(1_000_000)) < share).orderBy(spread, *rows.columns).limit(2 * per_label * max(1, len(sizes)))
 
 
 def fit_sample(rows: DataFrame, label: str, per_label: int, max_chars: int) -> list:
     """A bounded sample to fit on, of rows with the columns doc_id, text and ``label``.
 
-    Texts that are null or longer than ``max_chars`` are left out before rows are drawn; a label with longer texts only
+    Rows come in one order, however the table is split.  Texts that are null or longer than ``max_chars`` are left out before rows are drawn; a label with longer texts only
     gives their first ``max_chars`` characters.  So the driver gets at most 2 * per_label * labels * max_chars characters.
     """
     rows = rows.filter(F.col("text").isNotNull()).select("doc_id", "text", label)
     found = _spread(rows.filter(F.length("text") <= max_chars), label, per_label).collect()
     rest = rows.filter(~F.col(label).isin(sorted({r[label] for r in found}))).withColumn("text", F.substring("text", 1, max_chars))
-    return found + _spread(rest, label, per_label).collect()
+    return sorted(found + _spread(rest, label, per_label).collect(), key=lambda r: (r["doc_id"], r["text"]))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int, max_chars: int) -> list:
@@ -96,15 +97,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: i
     drawn = _spread(labels, label, per_label).select("doc_id", label).collect()
     ids = labels.sparkSession.createDataFrame([tuple(r) for r in drawn], labels.select("doc_id", label).schema)
     short = docs.filter(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    return short.join(F.broadcast(ids), "doc_id").select("doc_id", "text", label).limit(4 * per_label).collect()
-
-
-def filter_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
-    """``work`` returns some of a batch's rows; the columns stay."""
-
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            for at in range(0, batch.num_rows, ROWS):
-                yield work(batch.slice(at, ROWS))
-
-    return small_batches(df).mapInArrow(run, df.schema)
+    some = short.join(F.broadcast(ids), "doc_id").select("doc_id", "text", label)
+    return sorted(some.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(4 * per_label).collect(), key=lambda r: (r["doc_id"], r["text"]))

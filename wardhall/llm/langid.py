@@ -11,12 +11,13 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chars import pieces, spaced_code_points
-from .frames import by_batch, filter_batches, fit_sample, held_out, keys_and_text, table
+from .chars import cut, decoded, spaced_code_points
+from .frames import ROWS, by_batch, fit_sample, held_out, importable, keys_and_text, table
 from .words import _mix
 
 UNDETERMINED = "und"
@@ -81,28 +82,42 @@ class LanguageFilters:
         a, b = self._places(grams, len(self.slots))
         return self.slots[a] & self.slots[b]
 
-    def popcounts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(n-grams, hits by language) of each text."""
-        grams, doc = _ngrams(*_code_points(texts), self.n)
+    def _hits(self, grams: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         mask = self.masks(grams)
-        total = np.bincount(doc, minlength=len(texts))
-        hits = [np.bincount(doc, weights=_bit(mask, b), minlength=len(texts)) for b in range(len(self.languages))]
-        return total, np.stack(hits, axis=1) if hits else np.zeros((len(texts), 0))
+        hits = [np.bincount(doc, weights=_bit(mask, b), minlength=n) for b in range(len(self.languages))]
+        return np.bincount(doc, minlength=n).astype(float), np.stack(hits, axis=1) if hits else np.zeros((n, 0))
 
-    def _counted(self, texts: list[str], batch_chars: int) -> tuple[np.ndarray, np.ndarray]:
-        """Popcounts of each text, in pieces of bounded size; an n-gram at a piece's edge may count twice."""
+    def popcounts(self, texts: list[str], limit: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+        """(n-grams, hits by language) of each text; a text over ``limit`` is counted in pieces, each n-gram once."""
         total, hits = np.zeros(len(texts)), np.zeros((len(texts), len(self.languages)))
-        for owner, some in pieces(texts, batch_chars, self.n - 1):
-            t, h = self.popcounts(some)
-            np.add.at(total, owner, t)
-            np.add.at(hits, owner, h)
+        owner: list[int] = []
+        for i, text in enumerate(texts):
+            if len(text) > limit:
+                total[i], hits[i] = self._long(text, limit)
+            else:
+                owner.append(i)
+            if owner and (i + 1 == len(texts) or sum(len(texts[j]) for j in owner) > limit):
+                total[owner], hits[owner] = self._hits(*_ngrams(*_code_points(texts[j] for j in owner), self.n), len(owner))
+                owner = []
+        if owner:
+            total[owner], hits[owner] = self._hits(*_ngrams(*_code_points(texts[j] for j in owner), self.n), len(owner))
+        return total, hits
+
+    def _long(self, text: str, limit: int) -> tuple[float, np.ndarray]:
+        """One text's counts: the last code points of a piece lead the next, whose first blank they end with."""
+        total, hits, tail = 0.0, np.zeros(len(self.languages)), np.empty(0, np.uint64)
+        for piece in cut(text, limit, "letters"):
+            cp = _code_points([piece])[0]
+            cp = np.concatenate([tail, cp[1:]]) if len(tail) else cp
+            t, h = self._hits(_ngrams(cp, np.zeros(len(cp), np.int64), self.n)[0], np.zeros(max(0, len(cp) - self.n + 1), np.int64), 1)
+            total, hits, tail = total + t[0], hits + h[0], cp[-(self.n - 1) :]
         return total, hits
 
     def predict(self, texts: list[str | None], batch_chars: int = 1 << 19) -> tuple[list[str], list[float]]:
         """(language or ``und``, share of the evidence) of each text; a longer text is counted piece by piece."""
         texts = [t or "" for t in texts]
         letters = np.array([any(map(str.isalpha, t)) for t in texts], dtype=bool)
-        total, hits = self._counted(texts, batch_chars)
+        total, hits = self.popcounts(texts, batch_chars)
         if not self.languages:
             return [UNDETERMINED] * len(texts), [0.0] * len(texts)
         share = hits / np.maximum(total, 1)[:, None]
@@ -121,7 +136,7 @@ class LanguageFilters:
         texts = [t or "" for t in texts]
         if not self.languages:
             return [any(map(str.isalpha, t)) for t in texts]
-        total, hits = self._counted(texts, 1 << 19)
+        total, hits = self.popcounts(texts)
         share = hits / np.maximum(total, 1)[:, None]
         fair = (share - self.false_rate) / (1 - self.false_rate) / self.hit_rate
         return [any(map(str.isalpha, t)) and bool(ok) for t, ok in zip(texts, (fair >= min_fit).any(axis=1), strict=True)]
@@ -139,14 +154,16 @@ def fit_languages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
 def identify_language(docs: DataFrame, model: LanguageFilters, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, lang_pred, score.
 
-    Reads the whole text.  ``lang_pred`` is ``und`` with score 0 where the text is null or has no letter; where
-    letters match no language's n-grams, the first language with score 1 / languages.  Repeated ids give
-    repeated rows; a null id is kept and not held out; an empty table gives no rows; other columns are not read.
+    Reads the whole text, however long, in pieces that count every n-gram once.  ``lang_pred`` is ``und`` with score 0
+    where the text is null or has no letter; where letters match no language's n-grams, the first language with score
+    1 / languages; of languages that fit equally well the first in order.  Bytes that are no UTF-8 count as replacement
+    characters.  Repeated ids give repeated rows; a null id is kept and not held out; an empty table gives no rows; other
+    columns are not read.
     """
     source = keys_and_text(docs, key, text, held_out(docs[key]).alias("held_out"))
 
     def work(batch: pa.RecordBatch) -> dict[str, list]:
-        texts = [None if t is None else t.decode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
+        texts = [decoded(t) for t in batch.column("text").to_pylist()]
         langs, scores = model.predict(texts)
         return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "lang_pred": langs, "score": scores}
 
@@ -155,21 +172,22 @@ def identify_language(docs: DataFrame, model: LanguageFilters, key: str = "doc_i
 
 
 def keep_identified(docs: DataFrame, model: LanguageFilters, text: str = "text", min_fit: float = 0.2) -> DataFrame:
-    """Rows of ``docs`` whose language is identified, with all columns as they are.
+    """Rows of ``docs`` whose language is identified, with all columns as they are; only texts travel to be judged.
 
     Rejected: null texts, texts without a letter, and texts that hit no language's n-grams at a fifth of the rate
     of that language's own texts.  Mixed languages stay.  Where no language was learned, every text with a letter stays.
+    Repeated rows are kept or rejected alike, an empty table gives no rows, and columns may have any name.
     """
-    names = docs.columns
-    packed = docs.select(F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)]).alias("row"))
-    place = names.index(text)
+    importable(docs.sparkSession)
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column("row").field(place).to_pylist()
-        return batch.filter(pa.array(model.identified(texts, min_fit), type=pa.bool_()))
+    @F.pandas_udf("boolean")
+    def known(texts: pd.Series) -> pd.Series:
+        out: list[bool] = []
+        for at in range(0, len(texts), ROWS):
+            out += model.identified([decoded(t) for t in texts.iloc[at : at + ROWS]], min_fit)
+        return pd.Series(out, dtype=bool)
 
-    kept = filter_batches(packed, work)
-    return kept.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)])
+    return docs.filter(known(docs[text].cast("binary")))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

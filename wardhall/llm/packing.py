@@ -19,20 +19,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chars import decoded
 from .frames import by_batch, keys_and_text, table
+from .shared import written
 
 LENGTH = 1024
 END = 0
 GROUP = 4096
 _TOKENIZERS: dict = {}
-_BEYOND_LATIN = re.compile("[^\\x00-\u024f]")
+_BEYOND_LATIN = "[^\\x00-\u024f]"
 
 
 class _Ids:
-    """Ids of texts by a tokenizer file; None is the public 50k byte-level one.
+    """Ids of texts by a tokenizer file, as its own library gives them; None is the public 50k byte-level one.
 
-    That vocabulary also exists as ranks, whose encoder gives the same ids several times as fast.  It takes texts of
-    Latin letters only, where both libraries' Unicode classes agree beyond doubt; the tokenizer file takes all others.
+    That vocabulary also exists as ranks, whose encoder gives the same ids more than three times as fast.  It takes texts
+    of Latin letters only, where both libraries' Unicode classes agree beyond doubt, and none that spells out a token
+    which the file adds to the vocabulary (such as an end mark); the tokenizer file takes all others.
     """
 
     def __init__(self, path: str | None):
@@ -49,10 +52,10 @@ class _Ids:
                 ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
+        self.beyond = re.compile("|".join([_BEYOND_LATIN, *(re.escape(t.content) for t in self.slow.get_added_tokens_decoder().values())]))
 
     def ids(self, text: str) -> list[int]:
-        if self.fast is not None and not _BEYOND_LATIN.search(text):
+        if self.fast is not None and not self.beyond.search(text):
             return self.fast.encode_ordinary(text)
         return self.slow.encode(text, add_special_tokens=False).ids
 
@@ -105,7 +108,7 @@ def tokenized(docs: DataFrame, key: str, text: str, length: int, tokenizer: str
         tok = _tokenizer(tokenizer)
         tokens, crcs = [], []
         for t in batch.column("text").to_pylist():
-            ids = np.array([*tok.ids((t or b"").decode("utf-8", "surrogatepass")), END], dtype="<u4")
+            ids = np.array([*tok.ids(decoded(t)), END], dtype="<u4")
             tokens.append(len(ids))
             crcs.append([zlib.crc32(ids[at : at + length].tobytes()) for at in range(0, len(ids), length)])
         return {"doc_id": batch.column("doc_id"), "doc_tokens": tokens, "crcs": crcs}
@@ -117,13 +120,16 @@ def tokenized(docs: DataFrame, key: str, text: str, length: int, tokenizer: str
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, group: int = GROUP, tokenizer: str | None = None, seed: int = 3) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Every id of every row lies in one piece.  Null and empty texts have the end id only.  Rows with the same id are
-    documents of their own; a null id is kept; an empty table gives no rows; other columns are not read.  Groups hold
-    about ``group`` documents whatever their ids, so that none grows with the table or with a repeated key.
+    Every id of every row lies in one piece.  Null and empty texts have the end id only; a text of any length is
+    tokenized whole and fills sequences of its own; bytes that are no UTF-8 count as replacement characters.  Of pieces
+    of equal size, that of the smaller id is placed first.  Rows with the same id are documents of their own; a null id is
+    kept; an empty table gives no rows; other columns are not read.  Groups hold about ``group`` documents whatever their
+    ids, so that none grows with the table or with a repeated key.  Tokenized rows are written with their group before
+    they are dealt, so a lost executor can't move a document to another group.
     """
     groups = max(1, -(-docs.count() // group))
     kind = docs.schema[key].dataType.simpleString()
-    rows = tokenized(docs, key, text, length, tokenizer).withColumn("grp", F.floor(F.rand(seed) * groups).cast("long"))
+    rows = written(tokenized(docs, key, text, length, tokenizer).withColumn("grp", F.floor(F.rand(seed) * groups).cast("long")))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_tokens", "doc_id"], kind="stable").reset_index(drop=True)

@@ -15,10 +15,12 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of this process only where that is unset, as in tests."""
+    """``spark.checkpoint.dir`` of the session; a folder of this process only where that is unset and the master is local, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="wardhall-"))
         atexit.register(shutil.rmtree, _OWN[0], True)
@@ -26,7 +28,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder: lineage ends here, and a lost executor costs no earlier step."""
+    """The rows as a table in the shared folder: lineage ends here, and a lost executor costs no earlier step.
+
+    The folder stays until ``spent`` deletes it, for a result that is not read yet may need it.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, None)
@@ -35,7 +40,18 @@ def written(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._step_folder = path
+    return out
+
+
+def spent(*tables: DataFrame) -> None:
+    """Deletes the folders of ``written`` tables that nothing reads any more."""
+    for table in tables:
+        path = table._step_folder
+        jvm = table.sparkSession._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -58,7 +74,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        now = written(moved.union(least.select("u", F.col("m").alias("v"))).distinct())
+        before, now = now, written(moved.union(least.select("u", F.col("m").alias("v"))).distinct())
+        spent(before)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node").union(now.groupBy("v").agg(F.min("v")).join(now.select("u").distinct(), F.col("v") == F.col("u"), "left_anti"))
