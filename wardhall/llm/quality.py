@@ -2,15 +2,22 @@
 
 The field labels each line content or boilerplate: emissions are weights of discretised line features, one weight
 for each pair of neighbouring labels, decoded by Viterbi.  The share of words in content lines decides retention.
+
+Lines are labelled one by one for the fit.  Lines of documents of good quality are content, but those that several of
+them hold between different neighbours are boilerplate, as are lines of documents of bad quality and generated menus,
+notices and markup.  Runs of the latter are set into, before and after the former, so that the field learns where a text
+changes from one to the other.
 """
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .frames import by_batch, keys_and_text, labelled_sample, table
+from .frames import by_batch, held_out, keys_and_text, labelled_sample, table
 from .words import SPACED, Words, batches, grams
 
 CONTENT, BOILERPLATE = 0, 1
@@ -80,14 +87,14 @@ class LineField:
         self.emit = np.zeros((WIDTH, 2))
         self.move = np.zeros((2, 2))
 
-    def fit(self, texts: list[bytes], labels: list[int], rounds: int = 60, rate: float = 1.5, ridge: float = 1e-3) -> LineField:
-        """Maximum likelihood by gradient ascent; every line of a text carries the text's label."""
+    def fit(self, texts: list[bytes], labels: list[list[int]], rounds: int = 60, rate: float = 1.5, ridge: float = 1e-3) -> LineField:
+        """Maximum likelihood by gradient ascent; ``labels`` has a label for each line with a word of each text."""
         if not texts:
             return self
         lines = Lines(texts)
         lo, hi = lines.of()
         longest = 64
-        runs = [(at, min(at + longest, b), y) for a, b, y in zip(lo.tolist(), hi.tolist(), labels, strict=True) for at in range(a, b, longest)]
+        runs = [(at, min(at + longest, b), y[at - a : at - a + longest]) for a, b, y in zip(lo.tolist(), hi.tolist(), labels, strict=True) for at in range(a, b, longest)]
         if not runs:
             return self
         n, t = len(runs), max(b - a for a, b, _ in runs)
@@ -114,9 +121,8 @@ class LineField:
             z = _logsum(fore[:, -1], 1)
             p = np.exp(fore + back - z[:, None, None])
             diff = (np.eye(2)[gold] - p) * weight[:, :, None]
-            step = np.zeros_like(self.emit)
-            for c in range(cells.shape[2]):
-                np.add.at(step, cells[:, :, c].ravel(), diff.reshape(-1, 2))
+            some = diff[live]
+            step = sum(np.stack([np.bincount(on, some[:, k], minlength=WIDTH) for k in (0, 1)], axis=1) for on in cells[live].T)
             both = np.exp(fore[:, :-1, :, None] + self.move + (scores[:, 1:] + back[:, 1:])[:, :, None, :] - z[:, None, None, None])
             seen = np.eye(2)[gold[:, :-1]][:, :, :, None] * np.eye(2)[gold[:, 1:]][:, :, None, :]
             pair = ((seen - both) * (weight[:, 1:] * live[:, 1:])[:, :, None, None]).sum(axis=(0, 1))
@@ -187,15 +193,66 @@ def judge(texts: list[bytes], field: LineField, min_words: int, max_repeat: int,
     return out
 
 
+def _lines(text: str) -> list[str]:
+    return [x for x in text.split("\n") if x.strip(" \t\r\x0b\x0c")]
+
+
+def planted_line(rng: random.Random) -> str:
+    """An invented menu, notice, link list or line of markup."""
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8)))
+    title = lambda: word().capitalize()
+    return rng.choice((
+        lambda: " | ".join(title() for _ in range(rng.randint(3, 14))), lambda: " > ".join(title() for _ in range(rng.randint(2, 5))), lambda: f"<div class=\"{word()}\"><a href=\"/{word()}\">{title()}</a></div>",
+        lambda: f"\u00a9 {rng.randint(1998, 2030)} {title()} {title()} | {title()} & {title()}", lambda: "*** " + " ".join(word().upper() for _ in range(rng.randint(2, 8))) + "!!! ***", lambda: " ".join(f"#{word()}" for _ in range(rng.randint(3, 9))),
+        lambda: "| " + " | ".join(str(rng.randint(0, 9999)) for _ in range(rng.randint(3, 8))) + " |", lambda: "$$$ " + " $$$ ".join(word() for _ in range(rng.randint(2, 8))) + " $$$",
+    ))()
+
+
+def line_examples(good: list[str], bad: list[str], seed: int = 17, spread: int = 3) -> tuple[list[str], list[list[int]]]:
+    """Texts and a label for each of their lines.  A line of ``spread`` good texts with as many different neighbours is boilerplate."""
+    rng = random.Random(seed)
+    places: dict[str, set] = {}
+    for t in dict.fromkeys(good):
+        lines = _lines(t)
+        for before, line, after in zip([None, *lines], lines, [*lines[1:], None], strict=False):
+            places.setdefault(line, set()).add((before, after))
+    junk = [_lines(t) for t in dict.fromkeys(bad)]
+    junk = [x for x in junk if x]
+
+    def run() -> list[str]:
+        if junk and rng.random() < 0.6:
+            lines = rng.choice(junk)
+            at = rng.randrange(len(lines))
+            return lines[at : at + rng.randint(1, 8)]
+        return [planted_line(rng) for _ in range(rng.randint(1, 6))]
+
+    texts, labels = [], []
+    for t in good:
+        lines = _lines(t)
+        own = [BOILERPLATE if len(places[x]) >= spread else CONTENT for x in lines]
+        for at in sorted({*rng.sample(range(len(lines) + 1), min(len(lines) + 1, rng.randint(0, 2)))}, reverse=True):
+            more = run()
+            lines[at:at], own[at:at] = more, [BOILERPLATE] * len(more)
+        texts.append("\n".join(lines))
+        labels.append(own)
+    for t in bad:
+        texts.append("\n".join(_lines(t)))
+        labels.append([BOILERPLATE] * len(_lines(t)))
+    return texts, labels
+
+
 def fit_field(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", per_label: int = 300, max_chars: int = 20_000) -> LineField:
-    """Fits on a bounded sample of documents with a quality label, none held out; lines take their document's label."""
-    labels = labels.select("doc_id", "quality").filter("quality in (0, 1)")
-    some = labelled_sample(docs.select(docs[key].alias("doc_id"), docs[text].alias("text")), labels, "quality", per_label, max_chars)
-    field = LineField().fit([r["text"].encode("utf-8", "surrogatepass") for r in some], [CONTENT if r["quality"] == 1 else BOILERPLATE for r in some])
-    good = sum(r["quality"] for r in some) / max(1, len(some))
-    share = labels.agg({"quality": "avg"}).first()[0]
-    if share and 0 < share < 1 and 0 < good < 1:  # the sample is even; the documents are not
-        field.emit[WIDTH - 1, CONTENT] += float(np.log(share / (1 - share)) - np.log(good / (1 - good)))
+    """Fits on a bounded sample of about ``per_label`` documents of each quality label, of ``max_chars`` characters at most, none held out; their lines are labelled one by one.
+
+    Rows of ``labels`` without id or with another label than 0 or 1 are left out; of an id's several labels the least holds.
+    """
+    known = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg({"quality": "min"}).toDF("doc_id", "quality")
+    some = labelled_sample(docs.select(docs[key].alias("doc_id"), docs[text].alias("text")), known, "quality", per_label, max_chars)
+    texts, gold = line_examples([r["text"] for r in some if r["quality"] == 1], [r["text"] for r in some if r["quality"] == 0])
+    field = LineField().fit([t.encode("utf-8", "surrogatepass") for t in texts], gold)
+    share = known.filter(~held_out("doc_id")).agg({"quality": "avg"}).first()[0]
+    if share and 0.5 < share < 1:  # the fit weighs both labels alike; most documents are content, but not most lines of the examples
+        field.emit[WIDTH - 1, CONTENT] += 0.75 * float(np.log(share / (1 - share)))
     return field
 
 
@@ -205,7 +262,8 @@ def quality_rules(docs: DataFrame, field: LineField, key: str = "doc_id", text:
     A text fails the base with fewer than ``min_words`` words or with more than ``max_repeat`` per cent of its words
     in repeated windows; one that passes is kept if ``min_content`` of its words stand in content lines.  Null and
     empty texts have no words and fail.  Rows with the same id stay apart; a null id is kept; an empty table gives no
-    rows; other columns are not read.
+    rows; other columns are not read.  A text of any length is read and decoded whole; of equally likely labellings that
+    with earlier content lines wins.
     """
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
 
