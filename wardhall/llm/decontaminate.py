@@ -1,12 +1,14 @@
 """Benchmark decontamination by winnowing.
 
 Of every six neighbouring 5-gram hashes the least is kept, so any ten words that two texts share have a kept
-fingerprint in common.  Training and benchmark fingerprints are joined; each carries the hashes of the words around
-it, and a hit is extended over them in both directions.  Ten equal words or more are a contaminated run.  Items
-shorter than a window are one fingerprint of their own length.
-
-A bitmap of fixed size over the benchmark's fingerprints drops most training fingerprints where they arise; what
-passes goes through an ordinary join, so neither side is ever held by one machine.
+fingerprint in common.  Of the other five shared words at least three stand on one side of it: a fingerprint is joined
+with the three words after it, and with the three before, so that a 5-gram which is common everywhere meets only where it
+goes on alike.  Each carries the hashes of the words around it, and a hit is extended over them in both directions.  Ten
+equal words or more are a contaminated run.  Items shorter than a window are one fingerprint of their own length.
+
+A bitmap over the benchmark's fingerprints, sized by their number up to a bound, drops most training fingerprints where
+they arise; what passes goes through an ordinary join, so neither side is ever held by one machine.  Items that agree in
+all words around a fingerprint are one row of that join.
 """
 
 from __future__ import annotations
@@ -15,15 +17,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frames import ROWS, by_batch, small_batches, table
+from .shared import written
 from .words import ALNUM, Words, batches, grams
 
 WINDOW = 10
 K = 5
-_BITS = 1 << 22
+#: Least and most bits of the bitmap; 16 for each fingerprint of the benchmark between them.
+_BITS, _MOST_BITS = 1 << 16, 1 << 27
+_SIDES = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0676A9A99))
 _HIT = "doc_id string, tag long, key long, pos long, short long, ctx binary"
 
 
@@ -42,17 +48,20 @@ def winnow(g: np.ndarray, width: int) -> np.ndarray:
 
 
 def fingerprints(h: np.ndarray, window: int, k: int, shorts: list[int], whole: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(words of a short one or 0, keys, positions, context) of one text's word hashes: the winnowed k-grams, and the grams of each short length.
+    """(words of a short one or 0, keys, positions, context) of one text's word hashes: the winnowed k-grams with half of a window's other words on either side, and the grams of each short length.
 
     ``whole``: a text shorter than a window is one fingerprint of its own length (a benchmark item), else each of
     ``shorts`` is looked for at every place (a document).
     """
     n, reach = len(h), window - k
     if n >= window:
-        g = grams(h, k)
-        at = winnow(g, reach + 1)
+        at = winnow(grams(h, k), reach + 1)
+        half = -(-reach // 2)
+        wide = grams(h, k + half)
         padded = np.concatenate([np.zeros(reach, np.uint64), h, np.zeros(reach, np.uint64)])
-        yield 0, g[at], at, padded[at[:, None] + np.arange(2 * reach + k)]
+        for first, salt in ((at, _SIDES[0]), (at - half, _SIDES[1])):
+            ok = (first >= 0) & (first < len(wide))
+            yield 0, wide[first[ok]] ^ salt, at[ok], padded[at[ok, None] + np.arange(2 * reach + k)]
     for m in [n] if whole and 0 < n < window else [] if whole else [s for s in shorts if s <= n]:
         g = grams(h, m) ^ np.uint64(0x5851F42D4C957F2D * m & (1 << 64) - 1)
         ctx = np.zeros((len(g), 2 * reach + k), np.uint64)
@@ -66,11 +75,11 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, Words]]:
         yield first, Words(some, ALNUM, lower=True)
 
 
-def _emit(df: DataFrame, window: int, k: int, shorts: list[int], whole: bool, packed: np.ndarray | None) -> DataFrame:
+def _emit(df: DataFrame, window: int, k: int, shorts: list[int], whole: bool, packed: Broadcast | None) -> DataFrame:
     """Fingerprints of a table with doc_id (string), tag and text; with a bitmap, those that it marks."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = None if packed is None else np.unpackbits(packed).astype(bool)
+        bitmap = None if packed is None else packed.value
         for big in stream:
             for cut in range(0, big.num_rows, ROWS):
                 batch = big.slice(cut, ROWS)
@@ -80,7 +89,8 @@ def _emit(df: DataFrame, window: int, k: int, shorts: list[int], whole: bool, pa
                     for i, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)):
                         for m, g, at, around in fingerprints(h[a:b], window, k, shorts, whole):
                             if bitmap is not None:
-                                ok = np.flatnonzero(bitmap[(g % np.uint64(_BITS)).astype(np.int64)])
+                                slot = (g % np.uint64(8 * len(bitmap))).astype(np.int64)
+                                ok = np.flatnonzero(bitmap[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
                                 g, at, around = g[ok], at[ok], around[ok]
                             if len(g):
                                 row.append(np.full(len(g), first + i))
@@ -96,7 +106,7 @@ def _emit(df: DataFrame, window: int, k: int, shorts: list[int], whole: bool, pa
 
 
 def _extended(joined: DataFrame, window: int, k: int) -> DataFrame:
-    """Runs of equal words around each joined pair: doc_id, tag, lo, hi, item_id."""
+    """Runs of equal words around each joined pair: doc_id, tag, lo, hi, items."""
     reach = window - k
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -111,13 +121,13 @@ def _extended(joined: DataFrame, window: int, k: int) -> DataFrame:
         lo = np.where(short > 0, pos, pos - left)
         hi = np.where(short > 0, pos + short, pos + k + right)
         keep = pa.array(np.flatnonzero(long | brief))
-        columns = [batch.column("doc_id"), batch.column("tag"), pa.array(lo), pa.array(hi), batch.column("item_id")]
-        return pa.RecordBatch.from_arrays([c.take(keep) for c in columns], names=["doc_id", "tag", "lo", "hi", "item_id"])
+        columns = [batch.column("doc_id"), batch.column("tag"), pa.array(lo), pa.array(hi), batch.column("items")]
+        return pa.RecordBatch.from_arrays([c.take(keep) for c in columns], names=["doc_id", "tag", "lo", "hi", "items"])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from map(work, (b for b in stream if b.num_rows))
 
-    return small_batches(joined).mapInArrow(run, "doc_id string, tag long, lo long, hi long, item_id string")
+    return small_batches(joined).mapInArrow(run, "doc_id string, tag long, lo long, hi long, items array<string>")
 
 
 def _tagged(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -126,16 +136,19 @@ def _tagged(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def contaminated_runs(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = K, unnamed: bool = False) -> DataFrame:
-    """Runs of a document's words that hold windows of an item: doc_id (string), tag, lo, hi, item_id; items without id only if ``unnamed``."""
+    """Runs of a document's words that hold windows of an item: doc_id (string), tag, lo, hi, items; items without id only if ``unnamed``."""
     items = bench.select(bench[item].cast("string").alias("doc_id"), F.lit(0).cast("long").alias("tag"), bench[item_text].cast("binary").alias("text")).filter("text is not null" if unnamed else "doc_id is not null and text is not null")
-    marks = _emit(items, window, k, [], True, None)
+    marks = written(_emit(items, window, k, [], True, None))
     shorts = [r[0] for r in marks.filter("short > 0").select("short").distinct().collect()]  # fewer than a window has words
-    bitmap = np.zeros(_BITS, dtype=bool)
-    # At most as many rows as the bitmap has bits, whatever the benchmark's size.
-    bitmap[marks.select(F.pmod("key", F.lit(_BITS)).alias("slot")).distinct().toPandas()["slot"].to_numpy(np.int64)] = True
-    mine = _emit(_tagged(docs, key, text), window, k, shorts, False, np.packbits(bitmap))
-    theirs = marks.select("key", "short", F.col("doc_id").alias("item_id"), F.col("ctx").alias("item_ctx"))
-    return _extended(mine.join(theirs, ["key", "short"]).select("doc_id", "tag", "pos", "ctx", "item_ctx", "short", "item_id"), window, k)
+    bits = min(_MOST_BITS, max(_BITS, 1 << (16 * marks.count()).bit_length()))
+    slot = F.pmod("key", F.lit(bits)) + 1
+    parts = marks.groupBy(F.bitmap_bucket_number(slot).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()  # bits / 8 bytes at most
+    bitmap = np.zeros(bits // 8, dtype=np.uint8)
+    for part, some in parts:
+        bitmap[(part - 1) * len(some) : part * len(some)] = np.frombuffer(some, np.uint8)
+    mine = _emit(_tagged(docs, key, text), window, k, shorts, False, docs.sparkSession.sparkContext.broadcast(bitmap))
+    theirs = marks.groupBy("key", "short", F.col("ctx").alias("item_ctx")).agg(F.collect_set("doc_id").alias("items"))
+    return _extended(mine.join(theirs, ["key", "short"]).select("doc_id", "tag", "pos", "ctx", "item_ctx", "short", "items"), window, k)
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
@@ -143,12 +156,13 @@ def decontaminate(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text:
 
     Null and empty texts have no words; null items and items without id or words have no window.  Rows with the same
     id stay apart, equal rows get equal results, a null id is kept; an item_id that several items share counts once;
-    an empty table or an empty benchmark gives no rows or no hits; other columns are not read.
+    an empty table or an empty benchmark gives no rows or no hits; other columns are not read.  A text of any length is
+    read whole; of equal least hashes in a run the last is the fingerprint, on both sides alike.
     """
     runs = contaminated_runs(docs, bench, key, text, item, item_text, window, k)
     spans = F.array_sort(F.collect_set(F.struct("lo", "hi")))
     ends = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")), lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0).cast("long"), s["hi"] - F.greatest(s["lo"], a["end"]))).alias("n"), F.greatest(a["end"], s["hi"]).alias("end")))
-    hits = runs.groupBy("doc_id", "tag").agg(spans.alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items")).select("doc_id", "tag", ends["n"].alias("n_hit"), "items")
+    hits = runs.groupBy("doc_id", "tag").agg(spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")).select("doc_id", "tag", ends["n"].alias("n_hit"), "items")
     kind = docs.schema[key].dataType.simpleString()
 
     def count(batch: pa.RecordBatch) -> dict[str, list]:
@@ -166,7 +180,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_contaminated(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with its columns, without the rows that hold a window of a benchmark item, with an id or without."""
+    """``docs`` with its columns, without the rows that hold a window of a benchmark item, with an id or without.
+
+    Null and empty texts hold none and stay; repeated rows go or stay alike, a null id is judged as any other; an empty
+    table gives no rows, an empty benchmark takes none; columns may have any name.
+    """
     runs = contaminated_runs(docs, bench, key, text, unnamed=True).select(F.col("doc_id").alias("hit_id"), F.col("tag").alias("hit_tag")).distinct()
     names = docs.columns
     whole = docs.select(docs[key].cast("string").alias("doc_id"), F.xxhash64(docs[text], docs[key]).alias("tag"), F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)]).alias("row"))
