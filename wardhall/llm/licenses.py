@@ -285,7 +285,7 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", base
 
     The base counts the places where a phrase's words stand one after another, overlaps included; labels adds those
     of the accepting automata.  The score is 1 where an automaton accepts, 0.5 where only a base phrase stands, else
-    0.  Null and empty texts have no words, empty labels and score 0; rows with the same id stay apart; a null id is
+    0.  A text of any length is scanned whole; of several templates of one label the first that accepts is enough.  Null and empty texts have no words, empty labels and score 0; rows with the same id stay apart; a null id is
     kept; an empty table gives no rows; other columns are not read.
     """
     base = BASE if base is None else base
