@@ -77,7 +77,7 @@ def test_similar_edges(frame, edges, empty):
     assert {(1, 0, 1), (2, 0, 2), (3, 0, 3), (None, 2, None), (5, 1, 5), (6, 1, 6), (7, 1, 7)} == rows
     assert similar_components(empty).count() == 0
     assert one_of_each(frame([(9, "a b c d e f g"), (4, "a b c d e f g"), (None, "a b c d e f g"), (2, None)])).orderBy("doc_id").select("doc_id").collect() == [(None,), (2,), (4,)]
-    assert one_of_each(edges).columns == edges.columns
+    assert one_of_each(edges).columns == edges.columns and one_of_each(empty).count() == 0
 
 
 def test_tree_loses_nothing():
@@ -94,6 +94,32 @@ def test_tree_loses_nothing():
         assert all(j in near for j, o in enumerate(sets) if jaccard.linked(s, o, 70))
     found = spanning_links(sets, 70)
     assert all(jaccard.linked(sets[a], sets[b], 70) for a, b in found)
+    side = rng.random(len(sets)) < 0.4
+    partner = jaccard.with_partner(points, sizes, 70, side)
+    cross = [(a, b) for a in range(len(sets)) for b in range(len(sets)) if side[a] and not side[b] and jaccard.linked(sets[a], sets[b], 70)]
+    assert cross and all(partner[a] and partner[b] for a, b in cross)
+    found = spanning_links(sets, 70, side=side)
+    assert all(side[a] != side[b] and jaccard.linked(sets[a], sets[b], 70) for a, b in found)
+    root = list(range(len(sets)))
+    for a, b in found:
+        root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    assert all(root[a] == root[b] for a, b in cross)
+
+
+def test_steps_need_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from wardhall.llm.shared import shared_folder, spent, written
+
+    conf = SimpleNamespace(get=lambda name, default: default)
+    with pytest.raises(RuntimeError):
+        shared_folder(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
+    step = written(spark.range(3))
+    assert step.count() == 3
+    spent(step)
+    import os
+
+    assert not os.path.exists(step._step_folder)
 
 
 def test_components(spark):
@@ -188,6 +214,9 @@ def test_decontamination_edges(spark, edges, empty):
     assert got == [(0, 5, 1), (1, 0, 0), (2, 0, 0), (3, 0, 0), (5, 2, 1), (5, 2, 1), (6, 0, 0), (7, 0, 0)]
     assert decontaminate(empty, bench).count() == 0
     assert decontaminate(edges, bench.limit(0)).filter("contaminated").count() == 0
+    kept = without_contaminated(edges, bench.filter("item_id is not null"))
+    assert kept.columns == edges.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3, 6, 7]
+    assert without_contaminated(empty, bench).count() == 0 and without_contaminated(edges, bench.limit(0)).count() == edges.count()
 
 
 def test_winnowing_keeps_one_of_every_window():
