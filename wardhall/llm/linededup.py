@@ -15,7 +15,10 @@ from .frames import table
 from .shared import written
 
 MIN_SITES, MIN_WORDS, MAX_SHARE = 10, 4, 0.5
-_BLANKS = r"[ \t\r\f\x0B]+"
+#: Runs of blanks other than a single space.
+_BLANKS = r" [ \t\r\f\x0B]+|[\t\r\f\x0B][ \t\r\f\x0B]*"
+#: A line with more than this share of all lines is hot: at most 1000 are.
+_HOT = 1000
 
 
 def _line_key(line: Column) -> Column:
@@ -23,33 +26,50 @@ def _line_key(line: Column) -> Column:
     return F.trim(F.regexp_replace(line, _BLANKS, " "))
 
 
-def boilerplate_lines(lines: DataFrame, min_sites: int) -> DataFrame:
+def hot_lines(lines: DataFrame) -> DataFrame:
+    """(h1, h2) of the lines that make up a thousandth of all or more: a thousand rows at most, so they may be broadcast."""
+    counts = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"))
+    return written(counts.filter(F.col("n") * _HOT >= lines.count()).select("h1", "h2"))
+
+
+def matching(lines: DataFrame, keys: DataFrame, hot: DataFrame) -> DataFrame:
+    """Rows of ``lines`` whose (h1, h2) is among ``keys``; hot lines are matched where they lie, only the others are dealt by key."""
+    here = keys.join(F.broadcast(hot), ["h1", "h2"], "left_semi")  # no more than the hot ones
+    apart = lines.join(F.broadcast(hot), ["h1", "h2"], "left_anti").join(keys, ["h1", "h2"], "left_semi")
+    return lines.join(F.broadcast(here), ["h1", "h2"], "left_semi").union(apart)
+
+
+def boilerplate_lines(lines: DataFrame, min_sites: int, hot: DataFrame) -> DataFrame:
     """(h1, h2) of the lines found on ``min_sites`` sites or more; ``lines`` has h1, h2 and site.
 
     Sketches err by about 1.6 per cent, and hardly at all when small: lines within a tenth of the threshold, and
-    within two sites, are counted exactly.
+    within two sites, are counted exactly, from one row for each of their sites.
     """
     band = max(2.0, 0.1 * min_sites)
     spread = lines.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(12))).alias("sites")).filter(F.col("sites") >= min_sites - band)
+    spread = written(spread)
     near = spread.filter(F.col("sites") <= min_sites + band).select("h1", "h2")
-    exact = lines.join(near, ["h1", "h2"], "left_semi").select("h1", "h2", "site").distinct().groupBy("h1", "h2").agg(F.count("site").alias("sites")).filter(F.col("sites") >= min_sites)
-    return spread.filter(F.col("sites") > min_sites + band).select("h1", "h2").union(exact.select("h1", "h2"))
+    sites = matching(lines.select("h1", "h2", "site"), near, hot).filter("site is not null").distinct()
+    exact = sites.groupBy("h1", "h2").agg(F.count("*").alias("sites")).filter(F.col("sites") >= min_sites)
+    return written(spread.filter(F.col("sites") > min_sites + band).select("h1", "h2").union(exact.select("h1", "h2")))
 
 
 def copied_rows(rows: DataFrame, min_sites: int) -> DataFrame:
     """(copy_id, copy_tag) of the rows whose whole text, blanks apart, is found on ``min_sites`` sites or more; ``rows`` has doc_id, tag, text and site."""
     whole = F.regexp_replace(_line_key(F.col("text")), " ?\n ?", "\n")
-    texts = rows.filter("text <> ''").select("doc_id", "tag", "site", F.xxhash64(whole).alias("h1"), F.xxhash64(F.lit(1), whole).alias("h2"))
-    return texts.join(boilerplate_lines(texts, min_sites), ["h1", "h2"]).select(F.col("doc_id").alias("copy_id"), F.col("tag").alias("copy_tag")).distinct()
+    texts = rows.filter("text <> ''").select("doc_id", "tag", "site", whole.alias("whole"))
+    texts = written(texts.select("doc_id", "tag", "site", F.xxhash64("whole").alias("h1"), F.xxhash64(F.lit(1), "whole").alias("h2")))
+    hot = hot_lines(texts)
+    return matching(texts, boilerplate_lines(texts, min_sites, hot), hot).select(F.col("doc_id").alias("copy_id"), F.col("tag").alias("copy_tag")).distinct()
 
 
-def _without_own_copies(cut: DataFrame, rows: DataFrame, min_sites: int) -> DataFrame:
+def _without_own_copies(cut: DataFrame, rows: DataFrame, min_sites: int, hot: DataFrame) -> DataFrame:
     """``cut`` without the lines of widely copied texts that are not on ``min_sites`` sites in other rows too."""
     copied = copied_rows(rows, min_sites)
     marked = written(cut.join(copied, cut["doc_id"].eqNullSafe(copied["copy_id"]) & (cut["tag"] == copied["copy_tag"]), "left").drop("copy_id"))
     apart = marked.filter("copy_tag is null")
-    spread = boilerplate_lines(apart, min_sites)
-    return apart.drop("copy_tag").unionByName(marked.filter("copy_tag is not null").drop("copy_tag").join(spread, ["h1", "h2"], "left_semi"))
+    spread = boilerplate_lines(apart, min_sites, hot)
+    return apart.drop("copy_tag").unionByName(matching(marked.filter("copy_tag is not null").drop("copy_tag"), spread, hot).select(*apart.drop("copy_tag").columns))
 
 
 def deduplicated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, max_share: float | None = MAX_SHARE) -> DataFrame:
@@ -59,19 +79,22 @@ def deduplicated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text",
     ``max_share`` of its characters.  With None every row loses them, but a line of a text that is itself on
     ``min_sites`` sites goes from there only if it is on as many in rows that are no such copies.  A null text has no lines and stays null; an empty text is one empty line.  Lines of
     rows with a null site count for no site.  Equal rows get equal results, rows with the same id stay apart, a null id
-    is kept, an empty table gives no rows, and columns of any name pass through in ``row``.
+    is kept, an empty table gives no rows, and columns of any name pass through in ``row``.  A text of any length is split
+    whole, once: its lines' hashes are written, and all counts and joins read those.
     """
     names = docs.columns
     whole = docs.select(
         F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)]).alias("row"), docs[key].alias("doc_id"), docs[text].alias("text"), docs[site].cast("string").alias("site"), F.xxhash64(docs[text], docs[key]).alias("tag")
     )
     lines = whole.select("doc_id", "tag", "site", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    lines = lines.select("doc_id", "tag", "site", "pos", F.length("line").alias("chars"), _line_key(F.col("line")).alias("line")).filter((F.col("line") != "") & (F.size(F.split("line", " ")) >= min_words))
-    lines = lines.select("doc_id", "tag", "site", "pos", "chars", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
-    found = boilerplate_lines(lines, min_sites)
-    cut = lines.join(found, ["h1", "h2"])
+    lines = lines.select("doc_id", "tag", "site", "pos", F.length("line").alias("chars"), _line_key(F.col("line")).alias("line")).filter("line <> ''")
+    if min_words > 0:
+        lines = lines.filter(F.size(F.split("line", " ")) >= min_words)
+    lines = written(lines.select("doc_id", "tag", "site", "pos", "chars", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")))
+    hot = hot_lines(lines)
+    cut = matching(lines, boilerplate_lines(lines, min_sites, hot), hot)
     if max_share is None:
-        cut = _without_own_copies(cut, whole, min_sites)
+        cut = _without_own_copies(cut, whole, min_sites, hot)
     cut = cut.select("doc_id", "tag", "pos", "chars").distinct()
     cut = cut.groupBy(F.col("doc_id").alias("cut_id"), F.col("tag").alias("cut_tag")).agg(F.collect_list("pos").alias("cut"), F.sum("chars").alias("cut_chars"))
     both = whole.join(cut, F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("tag") == F.col("cut_tag")), "left")
