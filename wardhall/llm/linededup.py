@@ -87,7 +87,7 @@ def deduplicated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text",
         F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)]).alias("row"), docs[key].alias("doc_id"), docs[text].alias("text"), docs[site].cast("string").alias("site"), F.xxhash64(docs[text], docs[key]).alias("tag")
     )
     lines = whole.select("doc_id", "tag", "site", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    lines = lines.select("doc_id", "tag", "site", "pos", F.length("line").alias("chars"), _line_key(F.col("line")).alias("line")).filter("line <> ''")
+    lines = lines.select("doc_id", "tag", "site", "pos", F.length("line").alias("chars"), F.explode(F.array(_line_key(F.col("line")))).alias("line")).filter("line <> ''")  # a generator, so that filters don't work the key out again
     if min_words > 0:
         lines = lines.filter(F.size(F.split("line", " ")) >= min_words)
     lines = written(lines.select("doc_id", "tag", "site", "pos", "chars", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")))
