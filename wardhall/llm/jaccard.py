@@ -227,7 +227,7 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     levels = shingle_levels(source, shingle)
     rows = written(_prefixes(source, kind, shingle, similarity, levels))
     usable = rows.filter("n > 0 and doc_id is not null")
-    classes = written(usable.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"), F.first("vec").alias("vec")))
+    classes = written(usable.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"), F.first("vec").alias("vec"), F.count("*").alias("c")))
     tokens = classes.select("rep", F.explode("tokens").alias("token"))
     counts = written(tokens.groupBy("token").agg(F.min("rep").alias("pivot"), F.count("*").alias("c")).filter("c > 1"))
     hot = counts.filter(F.col("c") * _HOT >= (counts.agg(F.sum("c")).first()[0] or 0)).select("token", "pivot")  # no more than _HOT
@@ -277,7 +277,10 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     edges = with_text.groupBy("bucket").applyInPandas(find, f"a {kind}, b {kind}")
     # Equal sets under several ids are links as well, from the class's first id to itself; ids with several sets are one node.
-    same = usable.select("doc_id", "s1", "s2", "n").join(classes.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
+    copied = classes.filter("c > 1").select("s1", "s2", "n", "rep", "c")
+    big = copied.filter(F.col("c") * _HOT >= usable.count()).drop("c")  # no more than _HOT
+    rest = usable.join(F.broadcast(big.drop("rep")), ["s1", "s2", "n"], "left_anti").join(copied.drop("c"), ["s1", "s2", "n"])
+    same = usable.join(F.broadcast(big), ["s1", "s2", "n"]).select("doc_id", "rep").union(rest.select("doc_id", "rep")).toDF("a", "b").filter("a <> b")
     found = components(edges.union(same))
     joined = rows.select("doc_id", F.col("n").alias("n_shingles")).join(found, rows["doc_id"] == found["node"], "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
