@@ -114,8 +114,10 @@ def test_erasure(engine):
     assert engine.meta()["erasures"].count() == 2
     with pytest.raises(GovernanceError):
         engine.erase_check(["id"], [])
-    with pytest.raises(GovernanceError):
-        engine.erase_check(["colour"], ["1"])
+    assert engine.erase_check(["colour"], ["1"]).count() == 0 and engine.erase_apply(["colour"], ["1"]) == []
+    with pytest.raises(AccessDenied):
+        engine.erase_apply(["id"], ["1"], principal="clerk")
+    assert engine.store.read(LOG).filter("action = 'erase' and principal = 'boss' and table_name = 'hr.people'").count() == 1
 
 
 @pytest.mark.filterwarnings("ignore")
@@ -199,6 +201,94 @@ def test_sql_and_questions(engine):
     assert "salary" in seen["context"] and nlq.interpret("how many?", found, model) == "three"
 
 
+@pytest.mark.filterwarnings("ignore")
+def test_writes_see_what_the_caller_sees(engine):
+    """Columns that are not granted cannot be copied, probed or reached by a star, a subquery or a function of the engine's machine."""
+    stored = rows(engine.raw("boss", "hr.people").select("id", "name", "team", "salary"))
+    for value in ("cast(salary as string)", "(select max(salary) from hr_people)", "to_json(struct(*))", "java_method('java.lang.System', 'getenv', 'HOME')", "reflect('java.lang.System', 'getenv', 'HOME')"):
+        with pytest.raises(GovernanceError):
+            engine.update("clerk", "hr.people", "true", {"team": value})
+    for where in ("salary > 5", "exists(select 1)", "to_json(struct(*)) like '%10%'"):
+        with pytest.raises(GovernanceError):
+            engine.update("clerk", "hr.people", where, {"team": "'x'"})
+        with pytest.raises(GovernanceError):
+            engine.delete("clerk", "hr.people", where)
+    from pyspark.sql import functions as F
+
+    with pytest.raises(GovernanceError):
+        engine.update("clerk", "hr.people", F.lit(True), {"team": F.to_json(F.struct("*"))})
+    engine.delete("clerk", "hr.people", "name = 'Ann'")  # a masked column has its masked value
+    assert rows(engine.raw("boss", "hr.people").filter("__valid_to__ > timestamp_ntz'9999-01-01'").select("id", "name", "team", "salary")) == stored
+    engine.update("clerk", "hr.people", "name = 'XXX'", {"team": "concat(team, '!')"})
+    assert (1, "Ann", "red!", 10) in rows(engine.raw("boss", "hr.people").select("id", "name", "team", "salary"))
+
+
+@pytest.mark.filterwarnings("ignore")
+def test_refusals_name_no_value(engine):
+    with pytest.raises(GovernanceError) as e:
+        engine.update("clerk", "hr.people", "true", {"id": "id + 10"})
+    assert "Ann" not in str(e.value) and "10" not in str(e.value)
+
+
+@pytest.mark.filterwarnings("ignore")
+def test_reads_by_sql_are_logged_and_take_no_version(engine):
+    version = engine.store.version()
+    before = engine.store.read(LOG).count() if engine.store.exists(LOG) else 0
+    engine.sql("clerk", "WITH c AS (SELECT id FROM hr_people) SELECT count(*) FROM c WHERE id IN (SELECT id FROM hr_people_current)").collect()
+    assert engine.store.version() == version and engine.store.read(LOG).count() == before + 1
+    for bad in ("SELECT java_method('java.lang.System', 'getenv', 'HOME')", "SELECT * FROM range(3)", "SELECT input_file_name() FROM hr_people", "SELECT (SELECT reflect('java.lang.System', 'getenv', 'HOME'))", "WITH c AS (SELECT try_reflect('java.lang.System', 'getenv', 'HOME')) SELECT * FROM c"):
+        with pytest.raises(GovernanceError):
+            engine.sql("clerk", bad)
+
+
+@pytest.mark.filterwarnings("ignore")
+def test_undeclared_columns_and_added_ones(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "store"))
+    people = spark.createDataFrame([(1, "Ann", "red", 10, "kept")], "id long, name string, team string, salary int, undeclared string")
+    e.store.commit({"hr.people": people, "hr.notes": spark.createDataFrame([(1, 1, "hello"), (2, 9, "you")], "note long, person long, body string")})
+    e.attach(e.build(shop(), str(tmp_path / "out"), "p"))
+    after = shop()
+    after.table("hr.people").columns[3].type = "int8"
+    after.table("hr.notes").columns[3].generated_expression = "length(body) + 1"
+    e.attach(e.migrate(after, str(tmp_path / "out"), "p"), principal="boss")
+    assert e.raw("boss", "hr.people").select("undeclared", "salary").first() == ("kept", 10)
+    assert rows(e.raw("boss", "hr.notes").select("note", "size")) == [(1, 6), (2, 4)]
+    linked = spec_with_key(after)
+    with pytest.raises(GovernanceError):  # person 9 is nobody
+        e.attach(e.migrate(linked, str(tmp_path / "out"), "p"))
+    with pytest.raises(AccessDenied):
+        e.detach("drop", confirmed=True, principal="clerk")
+    e.detach("drop", confirmed=True, principal="boss")
+    assert e.store.read("hr.notes").columns == ["note", "person", "body"] and "undeclared" in e.store.read("hr.people").columns
+
+
+def spec_with_key(project):
+    from wardhall.sources import spec
+
+    out = spec.loads(spec.dumps(project))
+    for c in out.table("hr.people").columns:
+        c.versioned = False
+    out.table("hr.notes").foreign_keys = [ForeignKey("notes_person", "person", "hr", "people", "id")]
+    return out
+
+
+def test_of_two_racing_writers_one_takes_the_number(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    s = Store(spark, str(tmp_path / "s"))
+
+    def publish(i):
+        try:
+            Store(spark, str(tmp_path / "s"))._publish({"version": 1, "tables": {}, "state": {"by": i}})
+            return i
+        except Conflict:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        won = [i for i in pool.map(publish, range(16)) if i is not None]
+    assert len(won) == 1 and s.state() == {"by": won[0]}
+
+
 def test_store_versions(spark, tmp_path):
     s = Store(spark, str(tmp_path / "s"))
     assert s.version() == 0 and s.tables() == []

@@ -7,19 +7,23 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-import re
+import uuid
 import warnings
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column as Col
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from .functions.policies import row_check
-from .model import GovernanceError, Project, Schema, Table
+from .functions.masks import masked
+from .functions.policies import row_check, row_filter
+from .model import AccessDenied, GovernanceError, Project, Schema, Table
 from .operators import audit, discover, dml, erase, reshape
 from .operators.diff import Change, diff
-from .plans.access import Access, access
+from .plans import plain
+from .plans.access import Access, access, membership
 from .plans.compile import governed
 from .sources import artifact, meta, spec
 from .sources.catalog import SHADOW, fingerprint, inspect_store
@@ -108,15 +112,17 @@ class Engine:
         }
         return artifact.write(folder, "migrate", profile, about, plan, self.clock())
 
-    def attach(self, path: str) -> int:
+    def attach(self, path: str, principal: str | None = None) -> int:
         """Applies an artifact, of either kind, as one commit; returns the build's number."""
         about, _ = artifact.read(path)
         project = spec.loads(about["specification"])
         if spec.checksum(project) != about["checksum"]:
             raise GovernanceError("the artifact's specification was changed")
-        return self._attach_build(project, about) if about["kind"] == "build" else self._attach_migration(project, about)
+        if about["kind"] == "build":
+            return self._attach_build(project, about, self._manager(principal, project))
+        return self._attach_migration(project, about, self._manager(principal))
 
-    def _attach_build(self, project: Project, about: dict) -> int:
+    def _attach_build(self, project: Project, about: dict, principal: str) -> int:
         seen = self.store.version()
         if self.build_id or any(n.startswith(SHADOW) for n in self.store.tables()):
             raise GovernanceError("a build is attached")
@@ -140,10 +146,11 @@ class Engine:
         append[meta.PREFIX + "builds"] = meta.frame(self.spark, "builds", [meta.build_row(project, 1, "build", now, self.store.state().get("audit", []))])
         levels = audit.merged_levels(self.store.state().get("audit", []), project.database.audit_logged if project.database.audit_enabled else [])
         state = {"specification": spec.dumps(project), "build_id": 1, "audit": levels, "audit_before": self.store.state().get("audit", []), "public_before": {n: manifest["tables"][n] for n in drop}}
+        append |= self._entries(project, principal, "attach", [f"{s.name}.{t.name}" for s, t in project.tables()])
         self.store.commit(replace, append, register, drop, state, expected=seen)
         return 1
 
-    def _attach_migration(self, project: Project, about: dict) -> int:
+    def _attach_migration(self, project: Project, about: dict, principal: str) -> int:
         seen = self.store.version()
         before = self.project
         if about["database"] != before.database.name:
@@ -161,31 +168,47 @@ class Engine:
                 if t.key and old[path].key != t.key:
                     dml.refuse(dml.duplicate_keys(t, df), f"{path}: the new key repeats")
                 replace[SHADOW + path] = df
+        for path, t in new.items():
+            known = {(f.column, f.referenced_schema, f.referenced_table, f.referenced_column) for f in old[path].foreign_keys} if path in old else set()
+            for fk in t.foreign_keys:
+                if (fk.column, fk.referenced_schema, fk.referenced_table, fk.referenced_column) not in known:
+                    target = f"{fk.referenced_schema}.{fk.referenced_table}"
+                    rows, there = (replace[SHADOW + p] if SHADOW + p in replace else self._raw(p) for p in (path, target))
+                    dml.refuse(dml.orphans(fk, rows, there), f"{path}: {fk.name} refers to nothing")
         append = meta.frames(self.spark, project, build, before)
         append[meta.PREFIX + "builds"] = meta.frame(self.spark, "builds", [meta.build_row(project, build, "migrate", now, self.store.state().get("audit_before", []))])
         append[meta.PREFIX + "migrations"] = meta.frame(self.spark, "migrations", [(build, *c) for c in about["changes"]])
         state = {"specification": spec.dumps(project), "build_id": build, "audit": audit.merged_levels(self.store.state().get("audit", []), project.database.audit_logged if project.database.audit_enabled else [])}
+        append |= self._entries(project, principal, "migrate", list(new))
         self.store.commit(replace, append, drop=drop, state=state, expected=seen)
         return build
 
-    def detach(self, history: str | None = None, confirmed: bool = False) -> None:
-        """Gives the tables back as plain ones.  ``history`` is ``keep`` or ``drop`` where a table is versioned."""
+    def detach(self, history: str | None = None, confirmed: bool = False, principal: str | None = None) -> None:
+        """Gives the tables back as plain ones, without the generated columns that governance added.
+
+        ``history`` is ``keep`` or ``drop`` where a table is versioned.  The access log stays.
+        """
         if not confirmed:
             raise GovernanceError("detaching needs confirmation")
         project = self.project
         if any(t.versioned for _, t in project.tables()) and history not in ("keep", "drop"):
             raise GovernanceError("say whether history is kept or dropped")
+        principal = self._manager(principal)
         seen, manifest = self.store.version(), self.store.manifest()
-        replace, register, drop = {}, {}, [n for n in manifest["tables"] if n.startswith((SHADOW, meta.PREFIX))]
+        before = manifest["state"].get("public_before") or {}
+        replace, register, drop = {}, {}, [n for n in manifest["tables"] if n.startswith((SHADOW, meta.PREFIX)) and n != audit.LOG]
         for s, t in project.tables():
             name = f"{s.name}.{t.name}"
             raw = self._raw(name)
-            plain = reshape.detached(raw, history == "drop")
-            if plain.columns == raw.columns:
+            had = {f["name"] for f in before[name]["schema"]["fields"]} if name in before else None
+            added = [c.name for c in t.columns if c.generated_expression and had is not None and c.name not in had]
+            bare = reshape.detached(raw, history == "drop").drop(*added)
+            if bare.columns == raw.columns:
                 register[name] = (manifest["tables"][SHADOW + name]["folders"], raw.schema)
             else:
-                replace[name] = plain
-        self.store.commit(replace, None, register, drop, {"specification": None, "build_id": 0, "audit": manifest["state"].get("audit_before", [])}, expected=seen)
+                replace[name] = bare
+        entries = self._entries(project, principal, "detach", [f"{s.name}.{t.name}" for s, t in project.tables()])
+        self.store.commit(replace, entries, register, drop, {"specification": None, "build_id": 0, "audit": manifest["state"].get("audit_before", [])}, expected=seen)
 
     def changes(self, after: Project) -> list[Change]:
         return diff(self.project, after)
@@ -206,10 +229,12 @@ class Engine:
     def sql(self, principal: str, text: str) -> DataFrame:
         """One query over the tables that a principal sees, as views ``schema_table`` and ``schema_table_current``.
 
-        The views live in a session of their own, and the text may only read.
+        The views live in a session of their own; the text may only read them, with functions of values alone.  The tables
+        that it names are logged.
         """
         session = self.spark.newSession()
         project = self.project
+        paths: dict[str, str] = {}
         for s, t in project.tables():
             path = f"{s.name}.{t.name}"
             try:
@@ -218,13 +243,33 @@ class Engine:
                         continue
                     seen = governed(project, principal, path, Store(session, self.store.root).read(SHADOW + path), current, self._key)
                     seen.createOrReplaceTempView(name)
+                    paths[name] = path
             except GovernanceError:
                 continue  # not granted: no view
-        return read_only(session, text)
+        out, read = plain.query(session, text)
+        for path in sorted({paths[n] for n in read}):
+            self._log(principal, "select", path)
+        return out
 
     def _log(self, principal: str, action: str, path: str, columns: list[str] | None = None) -> None:
         if audit.audited(self.project, path, action):
-            self.store.commit(append={audit.LOG: audit.entry(self.spark, self.clock(), principal, action, path, columns)})
+            self.store.record(audit.LOG, audit.entry(self.spark, self.clock(), principal, action, path, columns))
+
+    def _manager(self, principal: str | None, project: Project | None = None) -> str:
+        """Who acts on the whole store: the owner, its members, or an administrator; without a name, the owner."""
+        project = project or self.project
+        owner = project.database.owner or ""
+        if principal is None:
+            return owner
+        roles = membership(project, principal)
+        if not any(r.name == owner or r.can_admin for r in roles):
+            raise AccessDenied(f"{principal} neither owns nor administers {project.database.name}")
+        return principal
+
+    def _entries(self, project: Project, principal: str, action: str, paths: list[str]) -> dict[str, DataFrame]:
+        """Log entries of one action on several tables, for the commit that does it."""
+        some = [audit.entry(self.spark, self.clock(), principal, action, p) for p in paths if audit.audited(project, p, action)]
+        return {audit.LOG: reduce(DataFrame.unionByName, some)} if some else {}
 
     # -- writing -----------------------------------------------------------------------------------------------
     def _write(self, principal: str, action: str, path: str, new: DataFrame, expected: int, more: dict[str, DataFrame] | None = None) -> None:
@@ -233,14 +278,33 @@ class Engine:
             append[audit.LOG] = audit.entry(self.spark, self.clock(), principal, action, path)
         self.store.commit({SHADOW + path: new}, append, expected=expected)
 
-    def _visible(self, principal: str, path: str, found: Access, where: Col | str) -> Col:
-        """A condition on rows that the principal may reach, over stored values."""
-        from .functions.policies import row_filter
+    def _worked_out(self, principal: str, path: str, found: Access, exprs: dict[str, Col | str]) -> DataFrame:
+        """Stored rows with the values of callers' expressions under the given names.
 
+        The expressions see what the principal may select, masked: a column that is not granted is not there to be named,
+        and a masked one has its masked value.  Row policies apply where the rows are matched.
+        """
         _, t = self._place(path)
-        rows = row_filter(t, principal, found.roles, found.bypass_rows)
-        match = F.expr(where) if isinstance(where, str) else where
-        return match if rows is None else match & F.coalesce(rows, F.lit(False))
+        raw = self._raw(path)
+        for e in exprs.values():
+            if isinstance(e, str):
+                plain.expression(self.spark, e)
+        hidden = f"__{uuid.uuid4().hex}__"
+        shown = found.readable(t) if "select" in found.privileges else []
+        seen = raw.select(*[masked(F.col(f"`{c.name}`"), c.masking_strategy, c.mask_config, self._key).alias(c.name) for c in shown], F.struct(*[F.col(f"`{c}`") for c in raw.columns]).alias(hidden))
+        values = {n: (F.expr(e) if isinstance(e, str) else e).alias(n) for n, e in exprs.items()}
+        try:
+            used = seen.select(*values.values())._jdf.queryExecution().analyzed().references()
+            if any(a.name() == hidden for a in plain._each(used.toSeq())):
+                raise AccessDenied(f"{principal} may not name all columns of {path}")
+            return seen.select(F.col(f"{hidden}.*"), *values.values())
+        except AnalysisException as e:
+            raise AccessDenied(f"{path}: {principal} cannot use this expression ({e.getCondition() or 'not valid'})") from None
+
+    def _rows(self, principal: str, path: str, found: Access) -> Col:
+        """A condition on rows that the principal may reach, over stored values."""
+        rows = row_filter(self._place(path)[1], principal, found.roles, found.bypass_rows)
+        return F.lit(True) if rows is None else F.coalesce(rows, F.lit(False))
 
     def insert(self, principal: str, path: str, rows: DataFrame) -> None:
         """New rows: defaults, row policy, required values, references and the key are checked before anything is written."""
@@ -267,18 +331,23 @@ class Engine:
             dml.refuse(dml.orphans(fk, new, self._raw(f"{fk.referenced_schema}.{fk.referenced_table}")), f"{path}: {fk.name} refers to nothing")
 
     def update(self, principal: str, path: str, where: Col | str, changes: dict[str, Col | str]) -> None:
-        """Assigned columns only; immutable ones may not change; history is kept where declared."""
+        """Assigned columns only; immutable ones may not change; history is kept where declared.
+
+        ``where`` and the assigned expressions see what the principal may read, as it reads it.
+        """
         seen = self.store.version()
         found, (_, t) = self._access(principal, path), self._place(path)
         found.require("update", list(changes))
-        old = self._raw(path)
-        match = self._visible(principal, path, found, where)
+        stored = self._raw(path).columns
+        names = {c: f"__new_{i}__" for i, c in enumerate(changes)}
+        old = self._worked_out(principal, path, found, {"__hit__": where, **{n: changes[c] for c, n in names.items()}})
+        match, new_values = F.col("__hit__") & self._rows(principal, path, found), {c: F.col(n) for c, n in names.items()}
         kinds = {f.name: f.dataType for f in old.schema}
-        dml.refuse(dml.changed_immutable(t, old, match, dml.assigned(t, changes, kinds)), f"{path}: an immutable column would change")
-        new = dml.updated(t, old, match, changes, self.clock())
+        dml.refuse(dml.changed_immutable(t, old, match, dml.assigned(t, new_values, kinds)), f"{path}: an immutable column would change")
+        new = dml.updated(t, old, match, new_values, self.clock()).select(*stored)
         check = row_check(t, principal, found.roles, found.bypass_rows)
         if check is not None:
-            after = dml.updated(t, old.filter(F.coalesce(match, F.lit(False))), F.lit(True), changes, self.clock())
+            after = dml.updated(t, old.filter(F.coalesce(match, F.lit(False))), F.lit(True), new_values, self.clock())
             after = after.filter(dml.is_live()) if t.versioned else after
             dml.refuse(after.filter(~check), f"{path}: the row policy refuses a row")
         dml.refuse(dml.missing_values(t, new), f"{path}: a required value is missing")
@@ -292,14 +361,17 @@ class Engine:
         seen = self.store.version()
         found, (_, t) = self._access(principal, path), self._place(path)
         found.require("delete")
-        self._write(principal, "delete", path, dml.deleted(t, self._raw(path), self._visible(principal, path, found, where), self.clock()), seen)
+        rows = self._worked_out(principal, path, found, {"__hit__": where})
+        new = dml.deleted(t, rows, F.col("__hit__") & self._rows(principal, path, found), self.clock())
+        self._write(principal, "delete", path, new.drop("__hit__"), seen)
 
     # -- erasure -----------------------------------------------------------------------------------------------
     def erase_check(self, columns: list[str], values: list[str]) -> DataFrame:
         return erase.erase_check(self.project, self._raw, columns, values)
 
-    def erase_apply(self, columns: list[str], values: list[str]) -> list[dict]:
+    def erase_apply(self, columns: list[str], values: list[str], principal: str | None = None) -> list[dict]:
         """Erases a subject from every table that knows it, and logs each table, as one commit."""
+        principal = self._manager(principal)
         seen, project, now = self.store.version(), self.project, self.clock()
         counts = self.erase_check(columns, values).collect()
         replace, log = {}, []
@@ -310,11 +382,14 @@ class Engine:
             if r["rows_matched"]:
                 replace[SHADOW + path] = erase.erased(t, df, erase.subject_match(t, df, columns, values))
             log.append((self.build_id, now, r["schema_name"], r["table_name"], columns, values, r["erase_strategy"], r["rows_matched"], False))
-        self.store.commit(replace, {meta.PREFIX + "erasures": meta.frame(self.spark, "erasures", log)}, expected=seen)
+        if log:
+            entries = self._entries(project, principal, "erase", [f"{r['schema_name']}.{r['table_name']}" for r in counts])
+            self.store.commit(replace, {meta.PREFIX + "erasures": meta.frame(self.spark, "erasures", log), **entries}, expected=seen)
         return [{"schema_name": r["schema_name"], "table_name": r["table_name"], "erase_strategy": r["erase_strategy"], "rows_affected": r["rows_matched"]} for r in counts]
 
-    def sweep(self, as_of: dt.datetime | None = None) -> list[dict]:
+    def sweep(self, as_of: dt.datetime | None = None, principal: str | None = None) -> list[dict]:
         """Erases what has expired, table by table, as one commit; logs the tables that lost something."""
+        principal = self._manager(principal)
         seen, project = self.store.version(), self.project
         now = as_of or self.clock()
         replace, log, out = {}, [], []
@@ -328,7 +403,8 @@ class Engine:
                 log.append((self.build_id, now, s.name, t.name, [], [], t.erase_strategy, n, True))
                 out.append({"schema_name": s.name, "table_name": t.name, "erase_strategy": t.erase_strategy, "rows_affected": n})
         if log:
-            self.store.commit(replace, {meta.PREFIX + "erasures": meta.frame(self.spark, "erasures", log)}, expected=seen)
+            entries = self._entries(project, principal, "sweep", [f"{r['schema_name']}.{r['table_name']}" for r in out])
+            self.store.commit(replace, {meta.PREFIX + "erasures": meta.frame(self.spark, "erasures", log), **entries}, expected=seen)
         return out
 
     # -- discovery ---------------------------------------------------------------------------------------------
@@ -336,26 +412,5 @@ class Engine:
         return discover.context(self.meta(), principal)
 
 
-_RELATION = re.compile(r"'UnresolvedRelation \[([^\]]*)\]")
-_CTE = re.compile(r"'UnresolvedWith \[([^\]]*)\]|CTE \[([^\]]*)\]")
-
-
-def read_only(session: SparkSession, text: str) -> DataFrame:
-    """A query that only reads: one statement, no command, no path or table beyond the session's views."""
-    plan = session._jsparkSession.sessionState().sqlParser().parsePlan(text)
-    logical = "org.apache.spark.sql.catalyst.plans.logical."
-    loader = session._jvm.java.lang.Thread.currentThread().getContextClassLoader()
-    if any(loader.loadClass(logical + c).isInstance(plan) for c in ("Command", "ParsedStatement")):
-        raise GovernanceError("only queries are allowed")
-    tree = plan.treeString()
-    views = {t.name for t in session.catalog.listTables() if t.isTemporary}
-    ctes = {c.strip() for found in _CTE.findall(tree) for group in found for c in group.split(",")}
-    if beyond := set(_RELATION.findall(tree)) - {""} - {n for n in views | ctes}:
-        raise GovernanceError(f"not granted: {', '.join(sorted(beyond))}")
-    if "UnresolvedTableValuedFunction" in tree:
-        raise GovernanceError("table functions are not allowed")
-    return session.sql(text)
-
-
 def result_json(rows: list[dict]) -> str:
     return json.dumps(rows, indent=1, default=str)

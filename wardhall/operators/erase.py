@@ -6,7 +6,7 @@ import datetime as dt
 from functools import reduce
 
 from pyspark.sql import Column as Col
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.erasure import nullified, obfuscated
@@ -27,7 +27,9 @@ def subject_match(table: Table, df: DataFrame, columns: list[str], values: list[
 
 
 def erase_check(project: Project, read, columns: list[str], values: list[str]) -> DataFrame:
-    """(schema_name, table_name, erase_strategy, rows_matched) for every table of which a supplied column is an identifier, zeros included."""
+    """(schema_name, table_name, erase_strategy, rows_matched) for every table of which a supplied column is an identifier, zeros included; no rows if there is none."""
+    if len(columns) != len(values):
+        raise GovernanceError("as many values as columns are needed")
     out = None
     for s, t in subject_tables(project):
         df = read(f"{s.name}.{t.name}")
@@ -37,7 +39,7 @@ def erase_check(project: Project, read, columns: list[str], values: list[str]) -
         row = df.agg(F.count(F.when(match, 1)).alias("rows_matched")).select(F.lit(s.name).alias("schema_name"), F.lit(t.name).alias("table_name"), F.lit(t.erase_strategy).alias("erase_strategy"), "rows_matched")
         out = row if out is None else out.unionByName(row)
     if out is None:
-        raise GovernanceError("no table has one of these identifiers")
+        return SparkSession.active().createDataFrame([], "schema_name string, table_name string, erase_strategy string, rows_matched long")
     return out
 
 

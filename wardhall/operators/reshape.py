@@ -45,6 +45,8 @@ def steps(before: Table, after: Table) -> list[str]:
     for n in new.keys() & old.keys():
         if old[n].type != new[n].type:
             out.append(f"cast column {n} from {old[n].type} to {new[n].type}")
+        if old[n].generated_expression != new[n].generated_expression and new[n].generated_expression and not new[n].virtual:
+            out.append(f"compute column {n} anew")
         if old[n].nullable and not new[n].nullable:
             out.append(f"require a value in {n}")
     if before.versioned != after.versioned:
@@ -57,7 +59,7 @@ def steps(before: Table, after: Table) -> list[str]:
 
 
 def reshaped(before: Table, after: Table, df: DataFrame, now: dt.datetime) -> DataFrame:
-    """A stored table under a new declaration, in one pass."""
+    """A stored table under a new declaration, in one pass.  Columns that neither declaration names stay, at the end."""
     old = {c.name: c for c in before.columns}
     if before.versioned and not after.versioned:
         df = df.filter(is_live()).drop(VALID_FROM, VALID_TO)
@@ -68,14 +70,15 @@ def reshaped(before: Table, after: Table, df: DataFrame, now: dt.datetime) -> Da
         if c.virtual:
             continue
         kind = spark_type(c.type)
-        if c.generated_expression and c.name not in old:
+        if c.generated_expression and (c.name not in old or old[c.name].generated_expression != c.generated_expression):
             out[c.name] = F.expr(c.generated_expression).cast(kind)
         elif c.name in df.columns:
             out[c.name] = F.col(c.name).cast(kind) if old[c.name].type != c.type else F.col(c.name)
         else:
             out[c.name] = F.expr(c.default).cast(kind) if c.default is not None else F.lit(None).cast(kind)
     system = [c for c in (VALID_FROM, VALID_TO, EXPIRES, ON_EXPIRY) if c in df.columns]
-    df = df.select(*[v.alias(n) for n, v in out.items()], *system)
+    undeclared = [F.col(f"`{c}`") for c in df.columns if c not in out and c not in old and c not in system]
+    df = df.select(*[v.alias(n) for n, v in out.items()], *undeclared, *system)
     if after.retention_days and before.retention_days and after.retention_days != before.retention_days:
         df = df.withColumn(EXPIRES, F.col(EXPIRES) + F.expr(f"INTERVAL {after.retention_days - before.retention_days} DAYS"))
     df = attached(after, df, now)
