@@ -165,10 +165,54 @@ def test_suffix_edges(frame, edges, empty, monkeypatch):
     assert sorted((r[0] or 0, r[2]) for r in suffix_dedup(twice).collect()) == [(0, 0), (0, 0), (5, 0), (5, 0), (8, 60), (9, 0)]
     from wardhall.llm import suffixdedup
 
-    monkeypatch.setattr(suffixdedup, "_FILTER", -1)  # every anchor brings its context
+    monkeypatch.setattr(suffixdedup, "_FILTER_BITS", 8)  # a full bitmap: every key brings its context
     assert [r[2] for r in suffix_dedup(frame([(1, "ab" * 40), (2, "ab" * 40)])).orderBy("doc_id").collect()] == [0, 80]
 
 
+def test_suffix_dedup_takes_ids_of_any_type(spark):
+    rows = [("b", "x" * 60), ("a", "x" * 70), (None, "x" * 60), ("c", "y" * 60)]
+    got = {r[0]: r[2] for r in suffix_dedup(spark.createDataFrame(rows, "name string, text string"), "name").collect()}
+    assert got == {"a": 0, "b": 60, None: 0, "c": 0}
+
+
+@pytest.mark.parametrize("bits", [8, 1 << 29])
+def test_suffix_dedup_of_a_hot_anchor(frame, monkeypatch, bits):
+    """Thousands of different contexts of one gram, some of them shared: small buckets, against brute force."""
+    from wardhall.llm import suffixdedup
+
+    for name, value in (("_FILTER_BITS", bits), ("_BUCKET_BYTES", 50_000), ("_AT_ONCE", 100), ("_HELD", 500), ("_FLUSH", 2_000)):
+        monkeypatch.setattr(suffixdedup, name, value)
+    rng = random.Random(9)
+    word = lambda k: "".join(rng.choice("abcdefgh") for _ in range(k))
+    tails = [word(17) for _ in range(40)]
+    rows = [(i, " ".join(word(rng.randint(10, 20)) + "-" * 16 + (rng.choice(tails) if rng.random() < 0.3 else word(17)) + word(rng.randint(0, 20)) for _ in range(12))) for i in range(400)]
+    rng.shuffle(rows)
+    want = brute_suffixes([(i, t.encode()) for i, t in rows])
+    got = {r[0]: (r[1], r[2], r[3], bytes(r[4])) for r in suffix_dedup(frame(rows)).collect()}
+    assert got == want
+    assert max(suffixdedup.Anchors([t.encode() for _, t in rows], 50).halves(1)[0].tolist().count(k) for k in set(suffixdedup.Anchors([rows[0][1].encode()], 50).halves(1)[0].tolist()) - {0}) < 400  # the gram's places are many keys
+
+
+def test_refined_buckets_are_equal_strings():
+    import numpy as np
+
+    from wardhall.llm.suffixdedup import refine
+
+    rng = np.random.default_rng(2)
+    for width, length, letters in ((34, 17, 2), (34, 17, 1), (60, 40, 2), (16, 8, 3)):
+        rows = rng.integers(1, letters + 1, (80, width)).astype(np.uint8)
+        rows[40:] = rows[:40]
+        rows[40:, rng.integers(0, width, 40)] = 7
+        group = rng.integers(0, 3, 80)
+        for runs in (1, 16):
+            ids = refine(group, rows, length, runs)
+            classes = {}
+            for i in range(80):
+                for s in range(width - length + 1):
+                    assert classes.setdefault((group[i], s, rows[i, s : s + length].tobytes()), ids[i, s]) == ids[i, s]
+            assert len(set(classes.values())) == len(classes)
+
+
 def alnum(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
 

@@ -1,14 +1,20 @@
 """Suffix-array dedup by bucket-pointer refinement, over many machines.
 
 A byte goes if a string of ``length`` bytes that covers it also starts in a document with a smaller id.  Sorting all
-suffixes of a large corpus on one machine is out of reach, so equal strings first meet by an anchor: the least
-16-byte gram of the string, which both copies choose alike.  A string has at least half of its other bytes on one side
-of the anchor: an anchor whose half contexts are both found once is dropped.  Each of the others brings its context, the
-bytes that a string around it can reach.  Contexts are dealt out by anchor.
-
-There the suffixes of the contexts are sorted in buckets.  Buckets start from 8-byte grams; each is refined by the
-bucket identifiers of a later offset (8, 16, then 18 bytes on), reusing the refined identifiers at each step, until a
-bucket holds the suffixes that agree in ``length`` bytes.  A bucket's least document keeps its string.
+suffixes of a large corpus on one machine is out of reach, so equal strings first have to meet.  They do by an anchor, the
+least 16-byte gram of the string, which both copies choose alike, together with the half of the other bytes that stands
+after or before it: of the bytes around the anchor a string has at least half on one side.  Anchor and half are one key;
+a key that only one row has is dropped.  Each other key brings its context, the bytes that a string with this half can
+reach beyond it.  Contexts are dealt out by key, so that a gram which is common everywhere splits by what stands next to
+it.  The anchors only decide which suffixes meet; which strings are equal is the suffix order's to say.
+
+Where they meet the suffixes of the contexts are sorted in buckets.  Buckets start from 8-byte grams.  Each bucket of
+several suffixes is refined by the bucket pointers of a later offset, and its suffixes' pointers are updated before the
+next bucket is refined, which reads them, until a bucket holds the suffixes that agree in ``length`` bytes.  A bucket's
+least document keeps its string.
+
+Keys that several rows have are told by a bitmap, of a size bounded by ``_FILTER_BITS``; as it fills, more keys bring their
+contexts than need to, and nothing is lost.
 """
 
 from __future__ import annotations
@@ -20,18 +26,19 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .frames import ROWS, small_batches, table
-from .shared import written
+from .shared import spent, written
 from .words import _mix, batches
 
 LENGTH = 50
 _Q = 16
-#: Repeated half contexts that a filter may hold (8 bytes each); with more, every anchor brings its context.
-_FILTER = 8_000_000
+#: Bits of the bitmap of repeated keys, in all and for each bucket of keys at most.
+_FILTER_BITS, _BUCKET_BITS = 1 << 29, 1 << 24
 _LOW = np.uint64((1 << 40) - 1)
 _BUCKET_BYTES = 64_000_000
-_FLUSH, _HELD, _AT_ONCE = 1_000_000, 200_000, 20_000
+_FLUSH, _HELD, _AT_ONCE = 1_000_000, 200_000, 40_000
 
 
 def _slide(a: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
@@ -70,12 +77,9 @@ class Anchors:
         at = np.flatnonzero((most == h) & (most > 0))
         self.doc, self.place, self.hash = doc[at], place[at], h[at]
 
-    def only(self, keep: np.ndarray) -> None:
-        self.doc, self.place, self.hash = self.doc[keep], self.place[keep], self.hash[keep]
-
-    def halves(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of the anchor with half of the other bytes after it, and before it; 0 where the text has fewer."""
-        half = -(-self.reach // 2)
+    def halves(self, buckets: int) -> list[np.ndarray]:
+        """Keys of each anchor with the half after it, and before it; 0 where the text has fewer bytes."""
+        self.half = half = -(-self.reach // 2)
         width = _Q + half
         here = self.pad + self.start[self.doc] + self.place
         out = []
@@ -83,24 +87,36 @@ class Anchors:
             x = np.full(len(at), salt, dtype=np.uint64)
             for step in [*range(0, width - 7, 8), width - 8]:
                 x = _mix(x * np.uint64(0x100000001B3) + self.word[at + step])
-            out.append(np.where(ok, ((x >> np.uint64(40)) % np.uint64(buckets) << np.uint64(40)) | (x & _LOW) | np.uint64(1), np.uint64(0)))
-        return out[0], out[1]
-
-    def contexts(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(bytes before the anchor, bytes from it on, context rows with zeros outside the text, hash of all that)."""
-        lo = np.minimum(self.reach, self.place)
-        hi = np.minimum(length, self.sizes[self.doc] - self.place)
-        width = self.reach + length
-        rows = np.lib.stride_tricks.sliding_window_view(self.buf, width)[self.pad + self.start[self.doc] + self.place - self.reach]
-        step = np.arange(-self.reach, length)
-        edge = np.flatnonzero((lo < self.reach) | (hi < length))
+            out.append(np.where(ok, np.maximum(x, 1), np.uint64(0)))
+        return out
+
+    def contexts(self, side: int, which: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes before the key, bytes after it, both as rows with zeros outside the text, place of the key) of some anchors.
+
+        Side 0: the half after the anchor; side 1: before it.  A string with this half reaches ``length`` - key bytes
+        beyond the key on either side.
+        """
+        half, width = self.half, _Q + self.half
+        beyond = length - width
+        doc, at = self.doc[which], self.place[which] - (half if side else 0)
+        lo, hi = np.minimum(beyond, at), np.minimum(beyond, self.sizes[doc] - at - width)
+        place = self.pad + self.start[doc] + at
+        view = np.lib.stride_tricks.sliding_window_view(self.buf, beyond)
+        rows = np.concatenate([view[place - beyond], view[place + width]], axis=1)
+        step = np.concatenate([np.arange(-beyond, 0), np.arange(beyond)])
+        edge = np.flatnonzero((lo < beyond) | (hi < beyond))
         rows[edge] *= (step >= -lo[edge, None]) & (step < hi[edge, None])
-        wide = np.zeros((len(rows), -(-width // 8) * 8), dtype=np.uint8)
-        wide[:, :width] = rows
-        x = _mix((lo * 256 + hi).astype(np.uint64))
-        for column in wide.view("<u8").T:
-            x = _mix(x * np.uint64(0x100000001B3) + column)
-        return lo, hi, rows, x
+        return lo, hi, rows, at
+
+
+def context_hash(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """64 bits of a key and its context."""
+    wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), dtype=np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    x = _mix(h * np.uint64(0x100000001B3) + (lo * 256 + hi).astype(np.uint64))
+    for column in wide.view("<u8").T:
+        x = _mix(x * np.uint64(0x100000001B3) + column)
+    return x
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -113,22 +129,17 @@ def _source(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(docs[key].cast("long").alias("doc_id"), F.xxhash64(docs[text], docs[key]).alias("tag"), docs[text].cast("binary").alias("text"))
 
 
-def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
-    if not len(known):
-        return np.zeros(len(keys), dtype=bool)
-    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+def _slots(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:
+    """Place of each key in the bitmap; every bucket of keys has a run of ``bits`` there."""
+    return ((keys >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64) * bits + ((keys & _LOW) % np.uint64(bits)).astype(np.int64)
 
 
-def _anchored(batch: pa.RecordBatch, length: int, buckets: int, known: np.ndarray | None) -> Iterator[tuple[int, Anchors]]:
-    """Anchors by batch of texts; a row with a null id or text, or too short a text, has none.  ``known``: sorted half contexts, of which a kept one has one."""
+def _anchored(batch: pa.RecordBatch, length: int) -> Iterator[tuple[int, Anchors]]:
+    """Anchors by batch of texts; a row with a null id or text, or too short a text, has none."""
     ids = batch.column("doc_id")
     texts = [t if t is not None and ok and len(t) >= length else b"" for t, ok in zip(batch.column("text").to_pylist(), ids.is_valid().to_pylist(), strict=True)]
     for first, some in batches(texts):
-        a = Anchors(some, length)
-        if known is not None and len(a.hash):
-            after, before = a.halves(buckets)
-            a.only(_among(after, known) | _among(before, known))
-        yield first, a
+        yield first, Anchors(some, length)
 
 
 def _cuts(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,8 +159,8 @@ def _unpacked(parts: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def repeated_halves(source: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Half contexts, packed by bucket, that more than one row has.  Keys that clash only keep more anchors."""
+def repeated_keys(source: DataFrame, length: int, buckets: int, bits: int) -> DataFrame:
+    """A run of the bitmap for each bucket of keys: the slots of keys that more than one row has.  Keys that clash only keep more."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -157,7 +168,8 @@ def repeated_halves(source: DataFrame, length: int, buckets: int) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                h = np.sort(np.concatenate(held))
+                h = np.concatenate(held)
+                h = np.sort(((h >> np.uint64(40)) % np.uint64(buckets) << np.uint64(40)) | (h & _LOW))
                 third = np.zeros(len(h), dtype=bool)
                 third[2:] = h[2:] == h[:-2]
                 h = h[~third]  # twice says that it is repeated
@@ -167,7 +179,7 @@ def repeated_halves(source: DataFrame, length: int, buckets: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(some[i : i + 64], pa.int32()), pa.array(parts[i : i + 64], pa.binary())], names=["bucket", "part"])
 
         for batch in _cuts(stream):
-            for _, a in _anchored(batch, length, buckets, None):
+            for _, a in _anchored(batch, length):
                 after, before = a.halves(buckets)
                 edge = np.searchsorted(a.doc, np.arange(len(a.sizes) + 1))
                 for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
@@ -183,46 +195,83 @@ def repeated_halves(source: DataFrame, length: int, buckets: int) -> DataFrame:
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         h = np.sort(_unpacked(b"".join(pdf["part"])))
-        twice = np.unique(h[1:][h[1:] == h[:-1]])
-        return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "part": [_packed(twice)]})
+        marked = np.zeros(bits, dtype=bool)
+        marked[(h[1:][h[1:] == h[:-1]] % np.uint64(bits)).astype(np.int64)] = True
+        return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "part": [np.packbits(marked, bitorder="little").tobytes()]})
 
     return small_batches(source).mapInArrow(run, "bucket int, part binary").groupBy("bucket").applyInPandas(merge, "bucket int, part binary")
 
 
-def refine(rows: np.ndarray, length: int) -> np.ndarray:
-    """Bucket of each suffix start: equal where ``length`` bytes agree.  By bucket identifiers of later offsets, reused from step to step."""
+def refine(group: np.ndarray, rows: np.ndarray, length: int, runs: int = 16) -> np.ndarray:
+    """Class of each start of ``length`` bytes in the rows: equal where these bytes, the start and the row's group agree.
 
-    def buckets(values: np.ndarray) -> np.ndarray:
-        return np.unique(values.ravel(), return_inverse=True)[1].reshape(values.shape)
-
-    width = rows.shape[1]
+    Buckets start from 8-byte grams, in order, of one group and start.  A pass goes over the buckets of several suffixes,
+    a run of them at a time, sorts each by the pointers of the suffixes one offset further on, and writes the new pointers
+    at once, so that buckets refined earlier in a pass serve the later ones with their finer order.  A suffix alone in
+    its bucket is done.  In the order that comes of it, neighbours with equal bytes are one class.
+    """
+    m, width = rows.shape
+    places, n = width - 7, width - length + 1
     flat = np.ascontiguousarray(np.pad(rows, ((0, 0), (0, 8))))
-    word = np.ndarray((len(flat), width - 7), dtype="<u8", buffer=flat, strides=(flat.shape[1], 1))
-    ids, depth = buckets(word), 8
-    while depth < length:
-        ahead = min(depth, length - depth)
-        n = ids.shape[1] - ahead
-        ids = buckets(ids[:, :n].astype(np.int64) * (int(ids.max()) + 1) + ids[:, ahead : ahead + n])
-        depth += ahead
-    return ids
+    word = np.ndarray((m, places), dtype=">u8", buffer=flat, strides=(flat.shape[1], 1)).astype(np.uint64).ravel()
+    own = (group[:, None] * places + np.arange(places)).ravel()
+    order = np.lexsort((word, own))
+    word, own = word[order], own[order]
+    new = np.concatenate([[True], (word[1:] != word[:-1]) | (own[1:] != own[:-1])])
+    head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))  # first rank of the bucket of each rank
+    pointer = np.empty(len(order), dtype=np.int64)
+    pointer[order] = head
+    for offset in [*range(8, length - 7, 8), *([length - 8] if length % 8 else [])]:
+        several = ~new
+        several[:-1] |= ~new[1:]
+        todo = np.flatnonzero(several)
+        todo = todo[order[todo] % places + offset < places]  # whole buckets, for a bucket has one start
+        if not len(todo):
+            continue
+        heads = head[todo]
+        cut = np.unique(np.searchsorted(heads, heads[np.linspace(0, len(todo) - 1, runs + 1).astype(np.int64)]))
+        for a, b in zip(cut, [*cut[1:], len(todo)], strict=True):
+            ranks, some, bucket = todo[a:b], order[todo[a:b]], heads[a:b]
+            by = np.lexsort((pointer[some + offset], bucket))
+            some, later = some[by], pointer[some[by] + offset]
+            split = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (later[1:] != later[:-1])])
+            order[ranks], new[ranks] = some, split
+            head[ranks] = ranks[np.maximum.accumulate(np.where(split, np.arange(len(some)), 0))]
+            pointer[some] = head[ranks]
+    whole = order[order % places < n]
+    text = np.lib.stride_tricks.sliding_window_view(flat, length, axis=1)[whole // places, whole % places]
+    own = group[whole // places] * places + whole % places
+    fresh = np.concatenate([[True], (own[1:] != own[:-1]) | (text[1:] != text[:-1]).any(axis=1)])
+    out = np.empty(m * places, dtype=np.int64)
+    out[whole] = np.cumsum(fresh) - 1
+    return out.reshape(m, places)[:, :n]
 
 
 def first_owners(h: np.ndarray, x: np.ndarray, lo: np.ndarray, hi: np.ndarray, rows: np.ndarray, dmin: np.ndarray, dmax: np.ndarray, length: int) -> dict[str, np.ndarray]:
-    """For each context that loses strings: its least document, first and last start that even that document loses (or -1), first and last start of all."""
-    order = np.argsort(x)  # the hash of a context, in which the anchor stands
-    at = np.flatnonzero(np.concatenate([[True], x[order[1:]] != x[order[:-1]]]))
+    """For each context that loses strings: its least document, first and last start that even that document loses (or -1), first and last start of all.
+
+    ``rows`` leave out the bytes of the key, which are the same in its whole group: a string is the key and ``beyond``
+    bytes that stand together in its row.
+    """
+    order = np.lexsort((x, h))
+    at = np.flatnonzero(np.concatenate([[True], (x[order[1:]] != x[order[:-1]]) | (h[order[1:]] != h[order[:-1]])]))
     dmin, dmax = np.minimum.reduceat(dmin[order], at), np.maximum.reduceat(dmax[order], at)
     h, x, lo, hi, rows = (a[order[at]] for a in (h, x, lo, hi, rows))
-    reach = length - _Q
-    ids = refine(rows, length)[:, : reach + 1]
-    start = np.arange(reach + 1)
-    valid = (start >= reach - lo[:, None]) & (start + length <= reach + hi[:, None])
-    owner = np.full(int(ids.max()) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(owner, ids[valid], np.broadcast_to(dmin[:, None], ids.shape)[valid])
-    less = valid & (owner[ids] < dmin[:, None])
+    beyond = rows.shape[1] // 2
+    start = np.arange(beyond + 1)
+    valid = (start >= beyond - lo[:, None]) & (start <= hi[:, None])
+    less = np.zeros(valid.shape, dtype=bool)
+    same = h[1:] == h[:-1]
+    met = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same]))  # contexts that share their key with another
+    if len(met):
+        ids = refine(np.unique(h[met], return_inverse=True)[1], rows[met], beyond)
+        ok = valid[met]
+        owner = np.full(int(ids.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(owner, ids[ok], np.broadcast_to(dmin[met, None], ids.shape)[ok])
+        less[met] = ok & (owner[ids] < dmin[met, None])
     some = less.any(axis=1)
-    keep = some | (dmax > dmin)
-    last = lambda a: reach - a[:, ::-1].argmax(axis=1)
+    keep = valid.any(axis=1) & (some | (dmax > dmin))
+    last = lambda a: beyond - a[:, ::-1].argmax(axis=1)
     out = {"h": h, "x": x, "dmin": dmin, "a1": np.where(some, less.argmax(axis=1), -1), "b1": np.where(some, last(less), -1), "a2": valid.argmax(axis=1), "b2": last(valid)}
     return {k: v[keep] for k, v in out.items()}
 
@@ -230,15 +279,27 @@ def first_owners(h: np.ndarray, x: np.ndarray, lo: np.ndarray, hi: np.ndarray, r
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """(doc_id, tag, lo, hi): bytes of a row that a string of an earlier document covers; spans of a row may overlap."""
     source = _source(docs, key, text)
+    spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(docs[text].cast("binary")))).first()[0] or 0
-    buckets = max(1, -(-size // _BUCKET_BYTES))
-    twice = written(repeated_halves(source, length, buckets))
-    count = (twice.agg(F.sum(F.octet_length("part"))).first()[0] or 0) // 5
-    known = None
-    if count <= _FILTER:
-        parts = [_unpacked(r["part"]) | np.uint64(r["bucket"] << 40) for r in twice.toLocalIterator()]
-        known = docs.sparkSession.sparkContext.broadcast(np.sort(np.concatenate(parts)) if parts else np.empty(0, np.uint64))
-    spread = max(1, min(count, size // 18) // 10_000, size // 8 // _BUCKET_BYTES)
+    buckets = min(1 << 24, max(1, -(-size // _BUCKET_BYTES)))
+    bits = max(8, min(_BUCKET_BITS, _FILTER_BITS // buckets) // 8 * 8)
+    bitmap = np.zeros(buckets * bits // 8, dtype=np.uint8)  # _FILTER_BITS / 8 bytes at most
+    marks = written(repeated_keys(source, length, buckets, bits))
+    for r in marks.toLocalIterator():
+        bitmap[r["bucket"] * bits // 8 : (r["bucket"] + 1) * bits // 8] = np.frombuffer(r["part"], np.uint8)
+    spent(marks)
+    known = spark.sparkContext.broadcast(bitmap)
+    spread = max(1, size // 4 // _BUCKET_BYTES, size // 200_000_000 * 8)
+    half = -(-(length - _Q) // 2)
+    beyond = length - _Q - half
+
+    def found_keys(a: Anchors) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(side, anchors, keys) of the anchors whose key the bitmap marks, some at a time."""
+        for side, keys in enumerate(a.halves(buckets)):
+            slot = _slots(keys, buckets, bits)
+            which = np.flatnonzero((keys > 0) & (known.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 > 0))
+            for cut in range(0, len(which), _HELD):
+                yield side, which[cut : cut + _HELD], keys[which[cut : cut + _HELD]]
 
     def collapsed(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         """One row for each context, with its least and greatest document."""
@@ -248,23 +309,21 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         rest, doc = order[at], doc[order]
         h, x = h[rest], x[rest]
         columns = {
-            "bucket": pa.array((h % np.uint64(spread)).astype(np.int32)), "h": pa.array(h.view(np.int64)), "x": pa.array(x.view(np.int64)), "lo": pa.array(lo[rest].astype(np.int32)), "hi": pa.array(hi[rest].astype(np.int32)),
+            "bucket": pa.array((h % np.uint64(spread)).astype(np.int32)), "h": pa.array(h.view(np.int64)), "x": pa.array(x.view(np.int64)), "lo": pa.array(lo[rest].astype(np.int8)), "hi": pa.array(hi[rest].astype(np.int8)),
             "ctx": _binary(rows[rest]), "dmin": pa.array(np.minimum.reduceat(doc, at)), "dmax": pa.array(np.maximum.reduceat(doc, at)),
         }
         return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     def contexts(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = None if known is None else known.value
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
         for batch in _cuts(stream):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for first, a in _anchored(batch, length, buckets, keep):
-                for cut in range(0, len(a.hash), _HELD):
-                    part = _part(a, cut)
-                    lo, hi, rows, x = part.contexts(length)
-                    held.append((part.hash, x, lo.astype(np.int16), hi.astype(np.int16), rows, ids[first + part.doc].astype(np.int64)))
-                    size += len(x)
+            for first, a in _anchored(batch, length):
+                for side, which, h in found_keys(a):
+                    lo, hi, rows, _ = a.contexts(side, which, length)
+                    held.append((h, context_hash(h, lo, hi, rows), lo.astype(np.int8), hi.astype(np.int8), rows, ids[first + a.doc[which]].astype(np.int64)))
+                    size += len(h)
                     if size > _HELD:
                         yield collapsed(held)
                         held, size = [], 0
@@ -275,38 +334,31 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         pdf = pdf.sort_values("h", kind="stable")
         h = pdf["h"].to_numpy()
         edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        cuts = [0, *edge[np.flatnonzero(np.diff(edge // _AT_ONCE)) + 1].tolist(), len(h)]  # whole anchors, about so many rows
+        cuts = [0, *edge[np.flatnonzero(np.diff(edge // _AT_ONCE)) + 1].tolist(), len(h)]  # whole keys, about so many rows
         out = []
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             if hi > lo:
                 part = pdf.iloc[lo:hi]
                 rows = np.frombuffer(b"".join(part["ctx"]), dtype=np.uint8).reshape(len(part), -1)
-                out.append(pd.DataFrame(first_owners(h[lo:hi], part["x"].to_numpy(), part["lo"].to_numpy(), part["hi"].to_numpy(), rows, part["dmin"].to_numpy(), part["dmax"].to_numpy(), length)))
+                out.append(pd.DataFrame(first_owners(h[lo:hi], part["x"].to_numpy(), part["lo"].to_numpy().astype(np.int64), part["hi"].to_numpy().astype(np.int64), rows, part["dmin"].to_numpy(), part["dmax"].to_numpy(), length)))
         return pd.concat(out)
 
-    found = written(small_batches(source).mapInArrow(contexts, "bucket int, h long, x long, lo int, hi int, ctx binary, dmin long, dmax long").groupBy("bucket").applyInPandas(owners, "h long, x long, dmin long, a1 int, b1 int, a2 int, b2 int"))
+    dealt = small_batches(source).mapInArrow(contexts, "bucket int, h long, x long, lo tinyint, hi tinyint, ctx binary, dmin long, dmax long")
+    found = written(dealt.groupBy("bucket").applyInPandas(owners, "h long, x long, dmin long, a1 tinyint, b1 tinyint, a2 tinyint, b2 tinyint"))
 
     def places(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = None if known is None else known.value
         for batch in _cuts(stream):
-            for first, a in _anchored(batch, length, buckets, keep):
-                if len(a.hash):
-                    x = np.concatenate([_part(a, cut).contexts(length)[3] for cut in range(0, len(a.hash), _HELD)])
-                    rows = pa.array(first + a.doc)
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("tag").take(rows), pa.array(a.place.astype(np.int64)), pa.array(a.hash.view(np.int64)), pa.array(x.view(np.int64))], names=["doc_id", "tag", "pos", "h", "x"])
+            for first, a in _anchored(batch, length):
+                for side, which, h in found_keys(a):
+                    lo, hi, rows, at = a.contexts(side, which, length)
+                    row = pa.array(first + a.doc[which])
+                    columns = [batch.column("doc_id").take(row), batch.column("tag").take(row), pa.array((at - beyond).astype(np.int64)), pa.array(h.view(np.int64)), pa.array(context_hash(h, lo, hi, rows).view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", "pos", "h", "x"])
 
-    reach = length - _Q
     hits = small_batches(source).mapInArrow(places, "doc_id long, tag long, pos long, h long, x long").join(found, ["h", "x"])
     later = F.col("doc_id") > F.col("dmin")
     lo, hi = F.when(later, F.col("a2")).otherwise(F.col("a1")), F.when(later, F.col("b2")).otherwise(F.col("b1"))
-    return hits.filter(later | (F.col("b1") >= 0)).select("doc_id", "tag", (F.col("pos") - reach + lo).alias("lo"), (F.col("pos") - reach + hi + length).alias("hi"))
-
-
-def _part(a: Anchors, cut: int, size: int = _HELD) -> Anchors:
-    """A run of a batch's anchors, so that contexts take bounded memory."""
-    out = Anchors.__new__(Anchors)
-    out.__dict__ = a.__dict__ | {"doc": a.doc[cut : cut + size], "place": a.place[cut : cut + size], "hash": a.hash[cut : cut + size]}
-    return out
+    return hits.filter(later | (F.col("b1") >= 0)).select("doc_id", "tag", (F.col("pos") + lo).alias("lo"), (F.col("pos") + hi + length).alias("hi"))
 
 
 def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -315,8 +367,15 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     ``kept`` is the remaining bytes, n_spans the maximal removed runs.  Strings lie within one text and are judged on the
     input.  Null and empty texts have no bytes; texts shorter than ``length`` lose none.  Rows with the same id don't
     remove from each other; a row with a null id neither removes nor loses; an empty table gives no rows; other columns
-    are not read.  Ids are integers.
+    are not read.  Ids may be of any type that has an order.  A text of any length is read whole; of equal grams in a
+    window all are anchors.
     """
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        ranks = docs.select(docs[key].alias("own_id")).filter("own_id is not null").distinct().orderBy("own_id")
+        ranks = written(ranks.withColumn("rank", F.monotonically_increasing_id()))  # ascending as the ids are
+        ranked = docs.select(docs[key].alias("own_id"), docs[text].alias("text")).join(ranks, "own_id", "left").select("rank", "text")
+        out = suffix_dedup(ranked, "rank", "text", length).withColumnRenamed("doc_id", "rank").join(ranks, "rank", "left")
+        return out.select(F.col("own_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
     spans = repeated_spans(docs, key, text, length)
     merged = spans.groupBy(F.col("doc_id").alias("cut_id"), F.col("tag").alias("cut_tag")).agg(F.collect_set(F.struct("lo", "hi")).alias("cut"))
     merged = written(merged.select("cut_id", "cut_tag", F.col("cut.lo").alias("lo"), F.col("cut.hi").alias("hi")))
