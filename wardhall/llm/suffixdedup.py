@@ -38,6 +38,8 @@ _Q = 16
 _FILTER_BITS, _BUCKET_BITS = 1 << 29, 1 << 24
 _LOW = np.uint64((1 << 40) - 1)
 _BUCKET_BYTES = 64_000_000
+#: Contexts of one call at most, on average.
+_GROUP_ROWS = 200_000
 _FLUSH, _HELD, _AT_ONCE = 1_000_000, 200_000, 40_000
 
 
@@ -289,7 +291,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         bitmap[r["bucket"] * bits // 8 : (r["bucket"] + 1) * bits // 8] = np.frombuffer(r["part"], np.uint8)
     spent(marks)
     known = spark.sparkContext.broadcast(bitmap)
-    spread = max(1, size // 4 // _BUCKET_BYTES, size // 200_000_000 * 8)
+    spread = max(1, size // 9 // _GROUP_ROWS)  # keys are no more than one for 9 bytes
     half = -(-(length - _Q) // 2)
     beyond = length - _Q - half
 
