@@ -236,9 +236,11 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     members = met.join(classes.select("rep", "n", "vec"), "rep")
     members = written(members.select("pivot", "rep", "n", "vec"))
     tiles = F.ceil(F.greatest(F.count("*") / _TILE_ROWS, F.sum("n") / _TILE_SHINGLES)).cast("long")
-    groups = members.groupBy("pivot").agg(tiles.alias("tiles"), F.count("*").alias("c")).filter("c > 1").select("pivot", "tiles")
+    groups = members.groupBy("pivot").agg(tiles.alias("tiles"), F.count("*").alias("c")).filter("c > 1")
     mine = F.pmod(F.xxhash64("rep"), F.col("tiles"))
-    dealt = members.join(groups, "pivot").select("pivot", "rep", "n", "vec", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
+    large = groups.filter(F.col("c") * _HOT >= members.count())  # no more than _HOT
+    sized = members.join(F.broadcast(large), "pivot").unionByName(members.join(F.broadcast(large.select("pivot")), "pivot", "left_anti").join(groups, "pivot"))
+    dealt = sized.select("pivot", "rep", "n", "vec", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
     dealt = dealt.select("pivot", "rep", "n", "vec", "mine", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"))
     dealt = _bucketed(dealt, members.count(), 4000)
 
