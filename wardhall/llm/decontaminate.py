@@ -13,7 +13,7 @@ all words around a fingerprint are one row of that join.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +47,8 @@ def winnow(g: np.ndarray, width: int) -> np.ndarray:
     return np.unique(at)
 
 
-def fingerprints(h: np.ndarray, window: int, k: int, shorts: list[int], whole: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(words of a short one or 0, keys, positions, context) of one text's word hashes: the winnowed k-grams with half of a window's other words on either side, and the grams of each short length.
+def fingerprints(h: np.ndarray, window: int, k: int, shorts: list[int], whole: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, Callable[[np.ndarray], np.ndarray]]]:
+    """(words of a short one or 0, keys, positions, contexts of positions) of one text's word hashes: the winnowed k-grams with half of a window's other words on either side, and the grams of each short length.
 
     ``whole``: a text shorter than a window is one fingerprint of its own length (a benchmark item), else each of
     ``shorts`` is looked for at every place (a document).
@@ -61,13 +61,11 @@ def fingerprints(h: np.ndarray, window: int, k: int, shorts: list[int], whole: b
         padded = np.concatenate([np.zeros(reach, np.uint64), h, np.zeros(reach, np.uint64)])
         for first, salt in ((at, _SIDES[0]), (at - half, _SIDES[1])):
             ok = (first >= 0) & (first < len(wide))
-            yield 0, wide[first[ok]] ^ salt, at[ok], padded[at[ok, None] + np.arange(2 * reach + k)]
+            yield 0, wide[first[ok]] ^ salt, at[ok], lambda some: padded[some[:, None] + np.arange(2 * reach + k)]
     for m in [n] if whole and 0 < n < window else [] if whole else [s for s in shorts if s <= n]:
         g = grams(h, m) ^ np.uint64(0x5851F42D4C957F2D * m & (1 << 64) - 1)
-        ctx = np.zeros((len(g), 2 * reach + k), np.uint64)
-        for j in range(m):
-            ctx[:, j] = h[j : j + len(g)]
-        yield m, g, np.arange(len(g)), ctx
+        wide = np.arange(m)
+        yield m, g, np.arange(len(g)), lambda some, wide=wide: np.pad(h[some[:, None] + wide], ((0, 0), (0, 2 * reach + k - len(wide))))
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, Words]]:
@@ -91,13 +89,13 @@ def _emit(df: DataFrame, window: int, k: int, shorts: list[int], whole: bool, pa
                             if bitmap is not None:
                                 slot = (g % np.uint64(8 * len(bitmap))).astype(np.int64)
                                 ok = np.flatnonzero(bitmap[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
-                                g, at, around = g[ok], at[ok], around[ok]
+                                g, at = g[ok], at[ok]
                             if len(g):
                                 row.append(np.full(len(g), first + i))
                                 key.append(g.view(np.int64))
                                 pos.append(at)
                                 short.append(np.full(len(g), m))
-                                ctx += [c.tobytes() for c in around]
+                                ctx += [c.tobytes() for c in around(at)]
                 if row:
                     rows = pa.array(np.concatenate(row))
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("tag").take(rows), pa.array(np.concatenate(key)), pa.array(np.concatenate(pos)), pa.array(np.concatenate(short)), pa.array(ctx, pa.binary())], names=["doc_id", "tag", "key", "pos", "short", "ctx"])
