@@ -31,7 +31,7 @@ def parser() -> argparse.ArgumentParser:
     add("help")
     add("validate", "specification")
     add("diff", "before", "after", output={"default": None})
-    add("inspect", store=store, name={"default": "store"}, output={"default": None})
+    add("inspect", store={"default": None}, jdbc={"default": None}, owner={"default": None}, name={"default": "store"}, output={"default": None})
     for name in ("build", "migrate"):
         add(name, "specification", store=store, profile={"default": "default"}, output=out)
     add("attach", store=store, profile={"default": "default"}, output=out, artifact={"default": None})
@@ -80,6 +80,12 @@ def _run(args: argparse.Namespace) -> int:
         _emit(render(diff(spec.load(args.before), spec.load(args.after))), args.output)
     elif args.command == "purge":
         print("purged" if artifact.purge(args.output, args.yes) else "nothing purged")
+    elif args.command == "inspect" and args.jdbc:
+        from .sources import information_schema
+
+        _emit(spec.dumps(information_schema.inspect_database(information_schema.jdbc(_spark(), args.jdbc), args.name, args.owner)), args.output)
+    elif not args.store:
+        raise GovernanceError("give a store or a database")
     else:
         from .engine import Engine, result_json
 
@@ -87,7 +93,7 @@ def _run(args: argparse.Namespace) -> int:
         if args.command == "inspect":
             from .sources.catalog import inspect_store
 
-            _emit(spec.dumps(inspect_store(engine.store, args.name)), args.output)
+            _emit(spec.dumps(inspect_store(engine.store, args.name, args.owner)), args.output)
         elif args.command in ("build", "migrate"):
             print(getattr(engine, args.command)(spec.load(args.specification), args.output, args.profile))
         elif args.command == "attach":

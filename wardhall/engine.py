@@ -26,7 +26,7 @@ from .plans import plain
 from .plans.access import Access, access, membership
 from .plans.compile import governed
 from .sources import artifact, meta, spec
-from .sources.catalog import SHADOW, fingerprint, inspect_store
+from .sources.catalog import SHADOW, fingerprint, inspect_store, plain_table
 from .sources.store import Conflict, Store
 from .validate import validate
 
@@ -78,6 +78,11 @@ class Engine:
     def _raw(self, path: str) -> DataFrame:
         return self.store.read(SHADOW + path)
 
+    @property
+    def capabilities(self) -> dict[str, bool]:
+        """What builds may rely on: an access log, and a clock that calls ``sweep``."""
+        return {"audit": True, "schedule": False}
+
     # -- lifecycle ---------------------------------------------------------------------------------------------
     def build(self, project: Project, folder: str, profile: str) -> str:
         """An artifact that attaches a specification to the store's public tables."""
@@ -86,6 +91,8 @@ class Engine:
             raise GovernanceError("a build is attached: migrate or detach it")
         if not project.database.owner:
             raise GovernanceError("the database needs an owner")
+        if project.database.retention_schedule and not self.capabilities["schedule"]:
+            warnings.warn("the retention schedule is kept, not run: call sweep at its times", stacklevel=2)
         current = inspect_store(self.store, project.database.name)
         have = {f"{s.name}.{t.name}" for s, t in current.tables()}
         plan = [{"step": "shadow" if f"{s.name}.{t.name}" in have else "create", "table": f"{s.name}.{t.name}", "adds": [n for n, yes in (("history", t.versioned), ("retention", bool(t.retention_days))) if yes]} for s, t in project.tables()]
@@ -186,7 +193,8 @@ class Engine:
     def detach(self, history: str | None = None, confirmed: bool = False, principal: str | None = None) -> None:
         """Gives the tables back as plain ones, without the generated columns that governance added.
 
-        ``history`` is ``keep`` or ``drop`` where a table is versioned.  The access log stays.
+        Keys, references, policies, roles and grants are again those that were declared before; of tables that were not
+        declared, and of those that governance created, what the specification says of them is kept.  ``history`` is ``keep`` or ``drop`` where a table is versioned.  The access log stays.
         """
         if not confirmed:
             raise GovernanceError("detaching needs confirmation")
@@ -208,7 +216,21 @@ class Engine:
             else:
                 replace[name] = bare
         entries = self._entries(project, principal, "detach", [f"{s.name}.{t.name}" for s, t in project.tables()])
-        self.store.commit(replace, entries, register, drop, {"specification": None, "build_id": 0, "audit": manifest["state"].get("audit_before", [])}, expected=seen)
+        state = {"specification": None, "build_id": 0, "audit": manifest["state"].get("audit_before", []), "declared": spec.dumps(self._declared_again(project, before))}
+        self.store.commit(replace, entries, register, drop, state, expected=seen)
+
+    def _declared_again(self, project: Project, before: dict) -> Project:
+        text = self.store.state().get("declared")
+        out = spec.loads(text) if text else Project(project.database)
+        known = {(s.name, t.name) for s, t in out.tables()}
+        for s, t in project.tables():
+            if (s.name, t.name) in known:
+                continue
+            if not any(x.name == s.name for x in out.schemas):
+                out.schemas.append(Schema(s.name))
+            entry = before.get(f"{s.name}.{t.name}")
+            out.schema(s.name).tables.append(plain_table(t, entry and [f["name"] for f in entry["schema"]["fields"]]))
+        return out
 
     def changes(self, after: Project) -> list[Change]:
         return diff(self.project, after)
@@ -365,6 +387,12 @@ class Engine:
         new = dml.deleted(t, rows, F.col("__hit__") & self._rows(principal, path, found), self.clock())
         self._write(principal, "delete", path, new.drop("__hit__"), seen)
 
+    def truncate(self, principal: str, path: str) -> None:
+        """All rows go, of all versions; row policies have no say, as the privilege is on the whole table."""
+        seen = self.store.version()
+        self._access(principal, path).require("truncate")
+        self._write(principal, "truncate", path, self._raw(path).limit(0), seen)
+
     # -- erasure -----------------------------------------------------------------------------------------------
     def erase_check(self, columns: list[str], values: list[str]) -> DataFrame:
         return erase.erase_check(self.project, self._raw, columns, values)

@@ -12,7 +12,7 @@ from ..model import AUDIT_LEVELS, Project
 
 LOG = "__wardhall__.access_log"
 SCHEMA = T.StructType([T.StructField(n, t) for n, t in (("at", T.TimestampType()), ("principal", T.StringType()), ("action", T.StringType()), ("level", T.StringType()), ("table_name", T.StringType()), ("columns", T.ArrayType(T.StringType())))])
-_LEVEL = {"select": "read", "insert": "write", "update": "write", "delete": "write", "erase": "write", "sweep": "write", "attach": "ddl", "migrate": "ddl", "detach": "ddl"}
+_LEVEL = {"select": "read", "insert": "write", "update": "write", "delete": "write", "truncate": "write", "erase": "write", "sweep": "write", "attach": "ddl", "migrate": "ddl", "detach": "ddl"}
 
 
 def merged_levels(before: Iterable[str], added: Iterable[str]) -> list[str]:

@@ -45,6 +45,22 @@ def roles(meta: dict[str, DataFrame], principal: str) -> DataFrame:
     return every.join(admin, F.lit(True), "left_semi").unionByName(own).dropDuplicates(["name"]).select("name", "description", "clearance", "can_login", "can_admin", "member_of").orderBy("name")
 
 
+def listed(df: DataFrame, by: str, what: str, name: str) -> DataFrame:
+    """The different values of each group as one text, in order."""
+    return df.groupBy(by).agg(F.array_join(F.array_sort(F.collect_set(what)), ", ").alias(name))
+
+
+def members(meta: dict[str, DataFrame]) -> DataFrame:
+    """Roles that have members, with those as one text."""
+    links = _of_latest(meta, "roles").select(F.explode("member_of").alias("role_name"), F.col("name").alias("member"))
+    return listed(links, "role_name", "member", "members")
+
+
+def clearances(meta: dict[str, DataFrame]) -> DataFrame:
+    """Least and greatest clearance of each table's columns; 0 where none is set."""
+    return _of_latest(meta, "columns").groupBy("schema_name", "table_name").agg(F.coalesce(F.min("clearance"), F.lit(0)).alias("least"), F.coalesce(F.max("clearance"), F.lit(0)).alias("most"))
+
+
 def as_json(df: DataFrame, what: str) -> DataFrame:
     """One row with a JSON array, ordered by the columns, or a message where there is nothing."""
     found = df.agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias("rows"))

@@ -289,12 +289,13 @@ def erase_nullify(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "erase_obfuscate",
     """SELECT c_custkey, CASE WHEN hit THEN sha256(c_name) ELSE c_name END AS c_name,
+  CASE WHEN hit THEN (h::HUGEINT - CASE WHEN h >= 9223372036854775808 THEN 18446744073709551616::HUGEINT ELSE 0 END)::BIGINT::DOUBLE ELSE c_acctbal END AS c_acctbal,
   CASE WHEN hit THEN (('0x' || left(sha256(c_nationkey::VARCHAR), 8))::BIGINT % 2147483648)::INT ELSE c_nationkey END AS c_nationkey,
   CASE WHEN hit THEN sha256(c_mktsegment) ELSE c_mktsegment END AS c_mktsegment
-FROM (SELECT *, c_custkey = 42 AS hit FROM customer)""",
+FROM (SELECT *, c_custkey = 42 AS hit, ('0x' || left(sha256(c_acctbal::VARCHAR), 16))::UBIGINT AS h FROM customer)""",
 )
 def erase_obfuscate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _subject("sales.customer", spark, sf_dir, "obfuscate", "c_custkey", 42).drop("c_acctbal")
+    return _subject("sales.customer", spark, sf_dir, "obfuscate", "c_custkey", 42)
 
 
 def _retained(spark: SparkSession, sf_dir: str, hold: str | None = None) -> DataFrame:
@@ -405,7 +406,7 @@ def change_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("clearance_rollup", _values("schema_name, table_name, least, most", ("ops", "events", 0, 0), ("sales", "customer", 0, 2), ("sales", "lineitem", 0, 0), ("sales", "orders", 0, 1), ("sales", "supplier", 0, 0)))
 def clearance_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _meta(spark)["columns"].groupBy("schema_name", "table_name").agg(F.coalesce(F.min("clearance"), F.lit(0)).alias("least"), F.coalesce(F.max("clearance"), F.lit(0)).alias("most"))
+    return discover.clearances(_meta(spark))
 
 
 @query("grants_matrix", _values("role, schema", *[(r, s) for r in ("a", "b") for s in ("ops", "sales")]).replace("SELECT *", "SELECT role, schema, privilege") + " CROSS JOIN (VALUES ('create'), ('usage')) AS p(privilege)")
@@ -438,7 +439,7 @@ def audit_level_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("members_listed", "SELECT n_regionkey, string_agg(DISTINCT n_name, ', ' ORDER BY n_name) AS nations FROM nation GROUP BY n_regionkey")
 def members_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_set("n_name")), ", ").alias("nations"))
+    return discover.listed(read(spark, sf_dir, "nation"), "n_regionkey", "n_name", "nations")
 
 
 @query("retention_stream")

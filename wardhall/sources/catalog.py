@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..model import SYSTEM_COLUMNS, Column, Database, Index, Project, Role, Schema, SchemaGrant, Table, TableGrant
+from . import spec
 from .store import Store
 
 SHADOW = "__shadow__."
@@ -43,7 +44,11 @@ def _project(database: str, found: list[tuple[str, str, T.StructType]], owner: s
 
 
 def inspect_store(store: Store, database: str = "store", owner: str | None = None, shadow: bool = False) -> Project:
-    """Public tables of a store; with ``shadow`` the governed ones instead.  The first column stands in for an unknown key."""
+    """Public tables of a store; with ``shadow`` the governed ones instead.
+
+    Defaults, keys, references, policies, names, roles and grants are those that were declared for the store, or that
+    govern it; the first column stands in for an unknown key, and one owner for unknown roles.
+    """
     found = []
     for name, entry in store.manifest()["tables"].items():
         hidden = name.startswith(SHADOW)
@@ -51,7 +56,43 @@ def inspect_store(store: Store, database: str = "store", owner: str | None = Non
         if hidden == shadow and not public.startswith("__") and "." in public:
             schema, _, table = public.partition(".")
             found.append((schema, table, T.StructType.fromJson(entry["schema"])))
-    return _project(database, found, owner)
+    out = _project(database, found, owner)
+    text = store.state().get("specification" if shadow else "declared")
+    return _as_declared(out, spec.loads(text), owner) if text else out
+
+
+def declare(store: Store, project: Project) -> None:
+    """Keeps what a database would know of a store's plain tables beside their rows: keys, references, defaults, policies, roles, grants."""
+    store.commit(state={"declared": spec.dumps(project)})
+
+
+def plain_table(table: Table, columns: list[str] | None = None) -> Table:
+    """What a database itself knows of a table: no clearances, masks, policies, history, erasure or retention."""
+    shown = [c for c in table.columns if not c.virtual and (columns is None or c.name in columns)]
+    names = {c.name for c in shown}
+    return Table(
+        table.name, [Column(c.name, c.type, nullable=c.nullable, default=c.default, unique=c.unique) for c in shown],
+        indexes=[i for i in table.indexes if set(i.columns) <= names], foreign_keys=[f for f in table.foreign_keys if f.column in names],
+    )
+
+
+def _as_declared(found: Project, known: Project, owner: str | None) -> Project:
+    """The tables that are there, with what is declared of their columns."""
+    declared = {(s.name, t.name): t for s, t in known.tables()}
+    for s in found.schemas:
+        s.names = next((k.names for k in known.schemas if k.name == s.name), {})
+        for i, t in enumerate(s.tables):
+            if old := declared.get((s.name, t.name)):
+                have, about = {c.name for c in t.columns}, {c.name: c for c in old.columns}
+                old.columns = [about.get(c.name, c) for c in t.columns]
+                old.indexes = [x for x in old.indexes if set(x.columns) <= have]
+                s.tables[i] = old
+    there = {(s.name, t.name): {c.name for c in t.columns} for s, t in found.tables()}
+    for _, t in found.tables():
+        t.foreign_keys = [f for f in t.foreign_keys if f.column in {c.name for c in t.columns} and f.referenced_column in there.get((f.referenced_schema, f.referenced_table), ())]
+    if known.roles:
+        found.roles, found.database.owner = known.roles, owner or known.database.owner
+    return found
 
 
 def inspect_catalog(spark: SparkSession, database: str = "catalog", owner: str | None = None) -> Project:
