@@ -11,6 +11,7 @@ from .jaccard import op1_jaccard_join
 from .langid import op6_language_id
 from .licenses import op10_license_scan
 from .linededup import OP8_SQL, op8_line_dedup
+from .oracles import OP1_SQL, OP4_SQL, OP5_SQL
 from .packing import op7_packing
 from .pii import op9_pii
 from .quality import op3_quality_rules
@@ -30,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scan": op10_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_line_dedup": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_jaccard_join": OP1_SQL, "op4_decontamination": OP4_SQL, "op5_suffix_dedup": OP5_SQL, "op8_line_dedup": OP8_SQL}
