@@ -13,6 +13,7 @@ from .licenses import op10_license_scan
 from .linededup import OP8_SQL, op8_line_dedup
 from .lloyd import OP13_SQL, op13_centroid_clustering
 from .oracles import OP1_SQL, OP4_SQL, OP5_SQL
+from .negatives import OP12_SQL, op12_hard_negatives
 from .packing import op7_packing
 from .pii import op9_pii
 from .quality import op3_quality_rules
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_license_scan": op10_license_scan,
     "op11_topk_search": op11_topk_search,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_centroid_clustering": op13_centroid_clustering,
 }
 
@@ -41,5 +43,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_suffix_dedup": OP5_SQL,
     "op8_line_dedup": OP8_SQL,
     "op11_topk_search": OP11_SQL,
+    "op12_hard_negatives": OP12_SQL,
     "op13_centroid_clustering": OP13_SQL,
 }
