@@ -59,7 +59,8 @@ def _sums(rows: DataFrame, centroids: np.ndarray, scale: int) -> dict[int, tuple
                 total[c] += (own.sum(axis=0) if small else np.array(own.tolist(), dtype=object).sum(axis=0)).astype(object)
                 count[c] += len(own)
         some = [c for c, n in enumerate(count) if n]
-        yield pd.DataFrame({"cluster": some, "n": [count[c] for c in some], "total": [[Decimal(int(v)) for v in total[c]] for c in some]})
+        if some:
+            yield pd.DataFrame({"cluster": some, "n": [count[c] for c in some], "total": [[Decimal(int(v)) for v in total[c]] for c in some]})
 
     parts = rows.select("x").mapInPandas(run, "cluster int, n long, total array<decimal(38,0)>")
     summed = parts.select("cluster", "n", F.posexplode("total").alias("at", "v")).groupBy("cluster", "at").agg(F.sum("n").alias("n"), F.sum("v").cast("decimal(38,0)").alias("v"))

@@ -115,13 +115,13 @@ def _reached(q: np.ndarray, radius2: float, d: np.ndarray, near: np.ndarray, far
     return (base - high**2) / 2 - slack, (base - low**2) / 2 + slack
 
 
-def _tree(m: np.ndarray, radius2: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(order of rows by leaf, ends of leaves, vantage points by leaf and level, their least and greatest distances): halves until ``LEAF``."""
+def _tree(m: np.ndarray, radius2: float, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order of rows by leaf, ends of leaves, vantage points by leaf and level, their least and greatest distances): halves until ``leaf`` rows."""
     added, parts = _added(m, radius2), [(np.arange(len(m)), [])]
     leaves = []
     while parts:
         at, way = parts.pop()
-        if len(at) <= LEAF:
+        if len(at) <= leaf:
             leaves.append((at, way))
             continue
         d = _apart(m[at], added[at], m[at[:1]], added[at[:1]])[:, 0]
@@ -153,7 +153,7 @@ class Index:
         sample = [r["z"] for r in found.select("h", "z").orderBy("h", "z").limit(SAMPLE).collect()]
         width = max(map(len, sample), default=0)
         upper = Upper.fit(np.array([z + [0] * (width - len(z)) for z in sample], np.int64).reshape(len(sample), width), min(LEVELS, max(0, math.ceil(math.log2(max(1, rows) / BLOCK)))), float(radius2 or 0) * (1 + 1e-9))
-        spark = found.sparkSession
+        spark, small = found.sparkSession, LEAF
 
         def measured(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in stream:
@@ -183,7 +183,7 @@ class Index:
                 for at, m in by_length(batch.column("z")):
                     own = batch.take(pa.array(at))
                     first = own.column("first")
-                    (z, kind), (order, ends, points, near, far) = packed(m), _tree(m, upper.radius2)
+                    (z, kind), (order, ends, points, near, far) = packed(m), _tree(m, upper.radius2, small)
                     out.append(_row(_TREE, [leaf, salt, len(at), m.shape[1], own.column("cid").to_numpy().astype("<i8").tobytes(), first.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes(), first.is_null().to_numpy(zero_copy_only=False).tobytes(), own.column("label").to_numpy().astype("<i8").tobytes(), z, kind, order.tobytes(), ends.tobytes(), points.astype("<i4").tobytes(), near.tobytes(), far.tobytes()]))
             return pa.Table.from_batches(out)
 

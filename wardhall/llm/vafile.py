@@ -30,13 +30,13 @@ _BLOCK = "block long, n int, width int, keys binary, cells binary, low binary, h
 _QUERIES = "block long, n int, width int, keys binary, z binary, kind string"
 
 
-def _cells(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _cells(m: np.ndarray, cells_each: int = CELLS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(cell of each component, least value of each cell of each component, greatest value)."""
     wide = m.astype(float)
     low, span = wide.min(axis=0), wide.max(axis=0) - wide.min(axis=0) + 1
-    cells = np.clip((wide - low) / span * CELLS, 0, CELLS - 1).astype(np.uint8)
-    flat = (cells + np.arange(m.shape[1]) * CELLS).ravel()
-    least, most = (np.full(m.shape[1] * CELLS, v, np.int64) for v in (np.iinfo(np.int64).max, np.iinfo(np.int64).min))
+    cells = np.clip((wide - low) / span * cells_each, 0, cells_each - 1).astype(np.uint8)
+    flat = (cells + np.arange(m.shape[1]) * cells_each).ravel()
+    least, most = (np.full(m.shape[1] * cells_each, v, np.int64) for v in (np.iinfo(np.int64).max, np.iinfo(np.int64).min))
     np.minimum.at(least, flat, m.ravel())
     np.maximum.at(most, flat, m.ravel())
     unused = least > most
@@ -46,10 +46,11 @@ def _cells(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def approximations(found: DataFrame) -> DataFrame:
     """Classes (cid, z) as blocks of cells."""
+    cells_each, rows = CELLS, ROWS
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for m, (keys,) in gathered(stream, ROWS, "cid"):
-            cells, low, high = _cells(m)
+        for m, (keys,) in gathered(stream, rows, "cid"):
+            cells, low, high = _cells(m, cells_each)
             (low, low_kind), (high, high_kind) = packed(low), packed(high)
             values = [int(keys[0]), len(keys), m.shape[1], keys.astype("<i8").tobytes(), cells.tobytes(), low, high, low_kind, high_kind]
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, [pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4, pa.string(), pa.string()], strict=True)], names=[f.split()[0] for f in _BLOCK.split(", ")])
@@ -71,6 +72,7 @@ def query_blocks(queries: DataFrame) -> DataFrame:
 
 def _scan(k: int):
     """For a pair of groups of blocks: (qid, cid, ub, lb) of all vectors that may be among a query's k best of the group."""
+    cells_each = CELLS
 
     def run(asking: pa.Table, blocks: pa.Table) -> pa.Table:
         out: list[list[np.ndarray]] = [[], [], [], []]
@@ -79,8 +81,8 @@ def _scan(k: int):
             best = np.full((len(q), k), -np.inf)
             for b in blocks.to_pylist():
                 cids, width = np.frombuffer(b["keys"], "<i8"), b["width"]
-                cells = np.frombuffer(b["cells"], np.uint8).reshape(b["n"], width) + np.arange(width) * CELLS
-                low, high = (unpacked(b[n], b[f"{n}_kind"], width, CELLS).astype(float).ravel()[cells[:, : q.shape[1]]] for n in ("low", "high"))
+                cells = np.frombuffer(b["cells"], np.uint8).reshape(b["n"], width) + np.arange(width) * cells_each
+                low, high = (unpacked(b[n], b[f"{n}_kind"], width, cells_each).astype(float).ravel()[cells[:, : q.shape[1]]] for n in ("low", "high"))
                 mine = q[:, :width]
                 middle, reach = mine @ (low + high).T / 2, np.abs(mine) @ (high - low).T / 2
                 size = np.abs(mine) @ np.maximum(np.abs(low), np.abs(high)).T
