@@ -28,6 +28,7 @@ END = 0
 GROUP = 4096
 _TOKENIZERS: dict = {}
 _BEYOND_LATIN = "[^\\x00-\u024f]"
+_LONG_BLANK = r"\s{1000}"
 
 
 class _Ids:
@@ -35,7 +36,8 @@ class _Ids:
 
     That vocabulary also exists as ranks, whose encoder gives the same ids more than three times as fast.  It takes texts
     of Latin letters only, where both libraries' Unicode classes agree beyond doubt, and none that spells out a token
-    which the file adds to the vocabulary (such as an end mark); the tokenizer file takes all others.
+    which the file adds to the vocabulary (such as an end mark), nor a run of a thousand blanks, whose pattern goes back
+    over the whole run and fails on very long ones; the tokenizer file takes all others.
     """
 
     def __init__(self, path: str | None):
@@ -52,7 +54,7 @@ class _Ids:
                 ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.slow = Tokenizer.from_file(path)
-        self.beyond = re.compile("|".join([_BEYOND_LATIN, *(re.escape(t.content) for t in self.slow.get_added_tokens_decoder().values())]))
+        self.beyond = re.compile("|".join([_BEYOND_LATIN, _LONG_BLANK, *(re.escape(t.content) for t in self.slow.get_added_tokens_decoder().values())]))
 
     def ids(self, text: str) -> list[int]:
         if self.fast is not None and not self.beyond.search(text):
