@@ -59,7 +59,7 @@ class Lines:
             total = np.concatenate([[0], np.cumsum(mark[buf], dtype=np.int64)])
             ratios.append((total[self.end] - total[self.start]) / size)
         same = np.concatenate([[0], np.cumsum(np.concatenate([[0], (h[1:] == h[:-1]).astype(np.int64)]))]) if len(h) else np.zeros(1, np.int64)
-        ratios.append((same[last] - same[first]) / np.maximum(1, self.n_words))
+        ratios.append((same[last] - same[first + 1]) / np.maximum(1, self.n_words))
         cells = []
         base = 0
         for r in ratios:
