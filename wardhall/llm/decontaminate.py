@@ -133,9 +133,9 @@ def _tagged(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(docs[key].cast("string").alias("doc_id"), F.xxhash64(docs[text], docs[key]).alias("tag"), docs[text].cast("binary").alias("text"))
 
 
-def contaminated_runs(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = K, unnamed: bool = False) -> DataFrame:
-    """Runs of a document's words that hold windows of an item: doc_id (string), tag, lo, hi, items; items without id only if ``unnamed``."""
-    items = bench.select(bench[item].cast("string").alias("doc_id"), F.lit(0).cast("long").alias("tag"), bench[item_text].cast("binary").alias("text")).filter("text is not null" if unnamed else "doc_id is not null and text is not null")
+def contaminated_runs(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
+    """Runs of a document's words that hold windows of an item: doc_id (string), tag, lo, hi, items; an item without id adds none to items."""
+    items = bench.select(bench[item].cast("string").alias("doc_id"), F.lit(0).cast("long").alias("tag"), bench[item_text].cast("binary").alias("text")).filter("text is not null")
     marks = written(_emit(items, window, k, [], True, None))
     shorts = [r[0] for r in marks.filter("short > 0").select("short").distinct().collect()]  # fewer than a window has words
     bits = min(_MOST_BITS, max(_BITS, 1 << (16 * marks.count()).bit_length()))
@@ -152,7 +152,7 @@ def contaminated_runs(docs: DataFrame, bench: DataFrame, key: str = "doc_id", te
 def decontaminate(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
-    Null and empty texts have no words; null items and items without id or words have no window.  Rows with the same
+    Null and empty texts have no words; items without text or words have no window; words of an item without id are hit, but it counts among no items.  Rows with the same
     id stay apart, equal rows get equal results, a null id is kept; an item_id that several items share counts once;
     an empty table or an empty benchmark gives no rows or no hits; other columns are not read.  A text of any length is
     read whole; of equal least hashes in a run the last is the fingerprint, on both sides alike.
@@ -183,7 +183,7 @@ def without_contaminated(docs: DataFrame, bench: DataFrame, key: str = "doc_id",
     Null and empty texts hold none and stay; repeated rows go or stay alike, a null id is judged as any other; an empty
     table gives no rows, an empty benchmark takes none; columns may have any name.
     """
-    runs = contaminated_runs(docs, bench, key, text, unnamed=True).select(F.col("doc_id").alias("hit_id"), F.col("tag").alias("hit_tag")).distinct()
+    runs = contaminated_runs(docs, bench, key, text).select(F.col("doc_id").alias("hit_id"), F.col("tag").alias("hit_tag")).distinct()
     names = docs.columns
     whole = docs.select(docs[key].cast("string").alias("doc_id"), F.xxhash64(docs[text], docs[key]).alias("tag"), F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)]).alias("row"))
     left = whole.join(runs, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("tag") == F.col("hit_tag")), "left_anti")

@@ -27,7 +27,7 @@ lengths AS (SELECT DISTINCT n FROM wanted),
 windows AS (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS s FROM docs, lengths, unnest(range(1, greatest(1, len(w) - n + 2))) AS r(i)),
 found AS (SELECT doc_id, n, i, item FROM windows JOIN wanted USING (n, s)),
 hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, n, i FROM found), unnest(range(i, i + n)) AS r(p) GROUP BY doc_id),
-held AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+held AS (SELECT doc_id, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN held USING (doc_id)"""
 
