@@ -1,9 +1,8 @@
 """Line dedup by distinct-site spread.
 
 Every line's sites are counted with a HyperLogLog sketch that merges by aggregation.  A line well over the threshold
-is boilerplate by its sketch; one near the threshold gets an exact distinct count.  In the query, as in its SQL,
-boilerplate lines leave the documents in which they are the smaller part.  In the pipeline they leave every document;
-only lines that owe their spread to whole copies of one text stay in those copies.
+is boilerplate by its sketch; one near the threshold gets an exact distinct count.  Boilerplate lines leave every
+document; only lines that owe their spread to whole copies of one text stay in those copies.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from .frames import table
 from .shared import written
 
-MIN_SITES, MIN_WORDS, MAX_SHARE = 10, 4, 0.5
+MIN_SITES = 10
 #: Runs of blanks other than a single space.
 _BLANKS = r" [ \t\r\f\x0B]+|[\t\r\f\x0B][ \t\r\f\x0B]*"
 #: A line with more than this share of all lines is hot: at most 1000 are.
@@ -72,12 +71,12 @@ def _without_own_copies(cut: DataFrame, rows: DataFrame, min_sites: int, hot: Da
     return apart.drop("copy_tag").unionByName(matching(marked.filter("copy_tag is not null").drop("copy_tag"), spread, hot).select(*apart.drop("copy_tag").columns))
 
 
-def deduplicated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, max_share: float | None = MAX_SHARE) -> DataFrame:
+def deduplicated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """``row`` (all columns of ``docs`` as c0, c1, ...), doc_id, kept_text, n_lines, n_removed, removed_chars.
 
-    A line needs ``min_words`` words to be judged, and one character; with 0 every non-empty line is.  A row loses its boilerplate lines if they hold at most
-    ``max_share`` of its characters.  With None every row loses them, but a line of a text that is itself on
-    ``min_sites`` sites goes from there only if it is on as many in rows that are no such copies.  A null text has no lines and stays null; an empty text is one empty line.  Lines of
+    Every non-empty line is judged, however short and in whatever script, and every row loses its boilerplate lines,
+    whatever their share of it; but a line of a text that is itself on ``min_sites`` sites goes from there only if it is
+    on as many in rows that are no such copies.  A null text has no lines and stays null; an empty text is one empty line.  Lines of
     rows with a null site count for no site.  Equal rows get equal results, rows with the same id stay apart, a null id
     is kept, an empty table gives no rows, and columns of any name pass through in ``row``.  A text of any length is split
     whole, once: its lines' hashes are written, and all counts and joins read those.
@@ -88,17 +87,13 @@ def deduplicated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text",
     )
     lines = whole.select("doc_id", "tag", "site", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     lines = lines.select("doc_id", "tag", "site", "pos", F.length("line").alias("chars"), F.explode(F.array(_line_key(F.col("line")))).alias("line")).filter("line <> ''")  # a generator, so that filters don't work the key out again
-    if min_words > 0:
-        lines = lines.filter(F.size(F.split("line", " ")) >= min_words)
     lines = written(lines.select("doc_id", "tag", "site", "pos", "chars", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")))
     hot = hot_lines(lines)
-    cut = matching(lines, boilerplate_lines(lines, min_sites, hot), hot)
-    if max_share is None:
-        cut = _without_own_copies(cut, whole, min_sites, hot)
+    cut = _without_own_copies(matching(lines, boilerplate_lines(lines, min_sites, hot), hot), whole, min_sites, hot)
     cut = cut.select("doc_id", "tag", "pos", "chars").distinct()
     cut = cut.groupBy(F.col("doc_id").alias("cut_id"), F.col("tag").alias("cut_tag")).agg(F.collect_list("pos").alias("cut"), F.sum("chars").alias("cut_chars"))
     both = whole.join(cut, F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("tag") == F.col("cut_tag")), "left")
-    take = F.col("cut").isNotNull() if max_share is None else F.coalesce(F.col("cut_chars") <= F.length("text") * F.lit(max_share), F.lit(False))
+    take = F.col("cut").isNotNull()
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("cut", i)), "\n")
     return both.select(
         "row", "doc_id", F.when(take, kept).otherwise(F.col("text")).alias("kept_text"), F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"),
@@ -107,12 +102,8 @@ def deduplicated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def without_boilerplate(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", size: str | None = "n_chars") -> DataFrame:
-    """``docs`` with its columns, boilerplate lines taken out of the text; ``size``, if there, follows the text.
-
-    Every non-empty line is judged, however short and in whatever script: the spread over sites alone decides.  Every
-    row loses its boilerplate lines, whatever their share of it.
-    """
-    found = deduplicated_lines(docs, key, text, site, min_words=0, max_share=None)
+    """``docs`` with its columns, boilerplate lines taken out of the text; ``size``, if there, follows the text."""
+    found = deduplicated_lines(docs, key, text, site)
     out = []
     for i, c in enumerate(docs.columns):
         col = F.col(f"row.c{i}")
@@ -130,18 +121,16 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = f"""
-WITH l AS (
-  SELECT doc_id, source, length(text) AS total, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
-  FROM documents),
-k AS (SELECT *, trim(regexp_replace(line, '[ \\t\\r\\f\\v]+', ' ', 'g')) AS key FROM l),
-b AS (SELECT key FROM k WHERE len(string_split(key, ' ')) >= {MIN_WORDS} GROUP BY key HAVING count(DISTINCT source) >= {MIN_SITES}),
-m AS (SELECT k.*, b.key IS NOT NULL AS cut FROM k LEFT JOIN b ON k.key = b.key),
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, source, text, trim(regexp_replace(text, '[ \\t\\r\\f\\v]+', ' ', 'g')) AS flat FROM documents),
+w AS (SELECT r, source, regexp_replace(flat, ' ?\\n ?', chr(10), 'g') AS whole FROM docs WHERE text <> ''),
+copied AS (SELECT r FROM w WHERE whole IN (SELECT whole FROM w GROUP BY whole HAVING count(DISTINCT source) >= {MIN_SITES})),
+l AS (SELECT r, doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM docs WHERE text IS NOT NULL),
+k AS (SELECT l.*, trim(regexp_replace(line, '[ \\t\\r\\f\\v]+', ' ', 'g')) AS key, r IN (SELECT r FROM copied) AS copy FROM l),
+b AS (SELECT key, count(DISTINCT source) >= {MIN_SITES} AS anywhere, count(DISTINCT source) FILTER (NOT copy) >= {MIN_SITES} AS apart FROM k WHERE key <> '' GROUP BY key),
+m AS (SELECT k.*, coalesce(CASE WHEN copy THEN apart ELSE anywhere END, false) AS cut FROM k LEFT JOIN b ON k.key = b.key),
 d AS (
-  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (cut) AS n_cut, coalesce(sum(length(line)) FILTER (cut), 0) AS cut_chars, any_value(total) AS total,
-    string_agg(line, chr(10) ORDER BY pos) AS whole, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT cut), '') AS kept
-  FROM m GROUP BY doc_id)
-SELECT doc_id, n_lines::BIGINT AS n_lines, CASE WHEN cut_chars <= total * {MAX_SHARE} THEN n_cut ELSE 0 END::BIGINT AS n_removed,
-  CASE WHEN cut_chars <= total * {MAX_SHARE} THEN cut_chars ELSE 0 END::BIGINT AS removed_chars,
-  sha256(CASE WHEN cut_chars <= total * {MAX_SHARE} THEN kept ELSE whole END) AS kept_sha256
-FROM d
+  SELECT r, count(*) AS n_lines, count(*) FILTER (cut) AS n_removed, coalesce(sum(length(line)) FILTER (cut), 0) AS removed_chars, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT cut) AS kept
+  FROM m GROUP BY r)
+SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed_chars, 0)::BIGINT AS removed_chars, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN d USING (r)
 """
