@@ -7,6 +7,8 @@ and softmax are trained jointly in numpy.  A misspelt word shares most n-grams w
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -133,19 +135,34 @@ class SubwordSoftmax:
         return (1 / (1 + np.exp(-np.clip(self.logits(texts), -500, 500)))).tolist()
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", per_label: int = 2000, max_chars: int = 20_000, lean: float = 1.1) -> SubwordSoftmax:
+def lowest_cut(logits: np.ndarray, labels: np.ndarray, false_alarms: float) -> float:
+    """The log odds from which on a text is taken for toxic: as low as at most that share of the other texts allows."""
+    x = np.sort(logits[labels == 0])[::-1]
+    most = int(false_alarms * len(x))  # so many may stand above
+    return float((x[most - 1] + x[most]) / 2 if 0 < most < len(x) else x[0] + 1e-6)
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", per_label: int = 2000, max_chars: int = 20_000, threshold: float = THRESHOLD, false_alarms: float = 0.05) -> SubwordSoftmax:
     """Fits on a bounded sample: about ``per_label`` documents of each label, of ``max_chars`` characters at most, none held out.
 
-    ``lean`` is added to the log odds: averages over long texts dilute single words, and held-out texts with log odds
-    between -1.5 and the threshold's -0.85 are toxic more often than not.
+    The bias is set on a third of the sample, ids whose crc32 leaves 0 modulo 4, by a model trained on the others, so that
+    the share ``false_alarms`` of its other texts reaches ``threshold``, as averages over whole texts dilute single words.
+    Then all of the sample is trained on.  If either part lacks a label, the bias follows the table's share of toxic rows.
 
     Rows of ``labels`` without id or with another label than 0 or 1 are left out; of an id's several labels the largest holds.
     """
     known = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = labelled_sample(docs.select(docs[key].alias("doc_id"), docs[text].alias("text")), known, "toxic", per_label, max_chars)
+    apart = [zlib.crc32(str(r["doc_id"]).encode()) % 4 == 0 for r in some]
+    train, rest = ([r for r, a in zip(some, apart, strict=True) if a == side] for side in (False, True))
+    if all(len({r["toxic"] for r in part}) == 2 for part in (train, rest)):
+        model = SubwordSoftmax().fit([r["text"] for r in train], [int(r["toxic"]) for r in train])
+        cut = lowest_cut(model.logits([r["text"] for r in rest]), np.array([int(r["toxic"]) for r in rest]), false_alarms)
+        whole = SubwordSoftmax().fit([r["text"] for r in some], [int(r["toxic"]) for r in some])
+        whole.bias[1] += float(np.log(threshold / (1 - threshold))) - cut
+        return whole
     share = known.filter(~held_out("doc_id")).agg(F.avg("toxic")).first()[0] or 0.0
     model = SubwordSoftmax().fit([r["text"] for r in some], [int(r["toxic"]) for r in some])
-    model.bias[1] += lean
     return model.shift_prior(sum(r["toxic"] for r in some) / max(1, len(some)), share)
 
 
