@@ -11,7 +11,7 @@ from wardhall.llm.suffixdedup import op5_suffix_dedup
 
 TEXT = "one two three four five six seven eight nine ten eleven twelve thirteen"
 ODD = [(1, None), (2, ""), (3, " \t\n"), (4, "short"), (5, TEXT), (6, TEXT), (7, TEXT.upper() + " fourteen"), (8, "short"), (9, "ü" * 60), (10, "x" + "ü" * 60), (11, "- , ."), (12, "a" * 120), (13, "b" + "a" * 70 + "c" + "a" * 50)]
-ITEMS = [(1, TEXT), (2, "short"), (3, None), (4, "- ."), (10, TEXT)]
+ITEMS = [(1, TEXT), (2, "short"), (3, None), (4, "- ."), (10, TEXT), (None, "short"), (None, "ü ü"), (12, "-")]
 
 
 @pytest.fixture()

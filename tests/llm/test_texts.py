@@ -82,6 +82,17 @@ def test_invalid_utf8_ends_no_job(spark):
     assert pii.find_pii(docs, pii.fit_pii()).count() == 2
 
 
+@pytest.mark.parametrize("run", [" ", "\n", "a", "7", "-", " \n\t", "\u00a0", "\u65e5"], ids=["blank", "newline", "letter", "digit", "dash", "mixed", "fixed blank", "han"])
+def test_ids_of_long_runs(run):
+    """Both encoders agree up to where either may be taken, and no run ends the task."""
+    tok = packing._tokenizer(None)
+    for size in (900, 3000, 1_000_000):
+        text = f"x {run * (size // len(run))} y"
+        assert tok.ids(text) == tok.slow.encode(text, add_special_tokens=False).ids
+    if run == " ":
+        assert len(tok.ids(run * 10_000_000)) > 0
+
+
 def test_language_edges(edges, empty):
     got = identify_language(edges, model())
     assert got.columns == ["doc_id", "held_out", "lang_pred", "score"] and got.count() == edges.count()
@@ -158,6 +169,14 @@ def test_toxicity_edges(spark, frame, edges, empty):
     assert score_toxicity(empty, fit_toxicity(empty, labels.limit(0))).count() == 0
 
 
+def test_cut_leaves_the_share_of_false_alarms():
+    from wardhall.llm.toxicity import lowest_cut
+
+    logits, labels = np.arange(100.0), np.array([0] * 80 + [1] * 20)
+    assert 75 < lowest_cut(logits, labels, 0.05) < 76 and (logits[:80] > lowest_cut(logits, labels, 0.05)).sum() == 4
+    assert lowest_cut(logits, labels, 0.0) > 79 and lowest_cut(logits[:1], labels[:1], 0.5) > 0
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     got = op2_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").select("score", "predicted", "toxic").toPandas()
@@ -182,6 +201,16 @@ def brute_quality(t):
     return {"n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": len(re.findall(r"[#*$%&|<>]", t)), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(hit), "base_failed": failed}
 
 
+def test_a_text_is_judged_alike_alone_and_among_others():
+    """A field that weighs repeated words alone sees no word of the text before."""
+    texts = [b"z foo", b"foo bar baz\nbar bar x", b"x", b"x y", b"y"]
+    together = quality.Lines(texts)
+    kind = type(together)
+    lo, hi = together.of()
+    for i, t in enumerate(texts):
+        assert (together.cells[lo[i] : hi[i]] == kind([t]).cells).all()
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet="ab \n\t\r\x0b#|é日", max_size=120), max_size=4))
 def test_quality_counts(texts):
