@@ -9,7 +9,7 @@ import datetime as dt
 import json
 import uuid
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column as Col
@@ -265,7 +265,7 @@ class Engine:
                         continue
                     seen = governed(project, principal, path, Store(session, self.store.root).read(SHADOW + path), current, self._key)
                     seen.createOrReplaceTempView(name)
-                    paths[name] = path
+                    paths[name.lower()] = path
             except GovernanceError:
                 continue  # not granted: no view
         out, read = plain.query(session, text)
@@ -316,6 +316,7 @@ class Engine:
         seen = raw.select(*[masked(F.col(f"`{c.name}`"), c.masking_strategy, c.mask_config, self._key).alias(c.name) for c in shown], F.struct(*[F.col(f"`{c}`") for c in raw.columns]).alias(hidden))
         values = {n: (F.expr(e) if isinstance(e, str) else e).alias(n) for n, e in exprs.items()}
         try:
+            plain.columns_only(seen.select(*values.values()))
             used = seen.select(*values.values())._jdf.queryExecution().analyzed().references()
             if any(a.name() == hidden for a in plain._each(used.toSeq())):
                 raise AccessDenied(f"{principal} may not name all columns of {path}")
@@ -398,7 +399,7 @@ class Engine:
         return erase.erase_check(self.project, self._raw, columns, values)
 
     def erase_apply(self, columns: list[str], values: list[str], principal: str | None = None) -> list[dict]:
-        """Erases a subject from every table that knows it, and logs each table, as one commit."""
+        """Erases a subject from every table that knows it, and logs each table, as one commit; then older snapshots of these tables are removed."""
         principal = self._manager(principal)
         seen, project, now = self.store.version(), self.project, self.clock()
         counts = self.erase_check(columns, values).collect()
@@ -413,10 +414,15 @@ class Engine:
         if log:
             entries = self._entries(project, principal, "erase", [f"{r['schema_name']}.{r['table_name']}" for r in counts])
             self.store.commit(replace, {meta.PREFIX + "erasures": meta.frame(self.spark, "erasures", log), **entries}, expected=seen)
+            self._purge(replace)
         return [{"schema_name": r["schema_name"], "table_name": r["table_name"], "erase_strategy": r["erase_strategy"], "rows_affected": r["rows_matched"]} for r in counts]
 
+    def _purge(self, names: Iterable[str]) -> list[str]:
+        """Older snapshots of tables that were erased from, under the governed and under the plain name, leave the disk."""
+        return self.store.purge([n for full in names for n in (full, full.removeprefix(SHADOW))])
+
     def sweep(self, as_of: dt.datetime | None = None, principal: str | None = None) -> list[dict]:
-        """Erases what has expired, table by table, as one commit; logs the tables that lost something."""
+        """Erases what has expired, table by table, as one commit, then removes their older snapshots; logs the tables that lost something."""
         principal = self._manager(principal)
         seen, project = self.store.version(), self.project
         now = as_of or self.clock()
@@ -433,6 +439,7 @@ class Engine:
         if log:
             entries = self._entries(project, principal, "sweep", [f"{r['schema_name']}.{r['table_name']}" for r in out])
             self.store.commit(replace, {meta.PREFIX + "erasures": meta.frame(self.spark, "erasures", log), **entries}, expected=seen)
+            self._purge(replace)
         return out
 
     # -- discovery ---------------------------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column as Col
@@ -47,7 +48,7 @@ def erased(table: Table, df: DataFrame, match: Col, strategy: str | None = None,
     """The table after erasure of the matching rows.
 
     ``delete`` drops them.  ``nullify`` and ``obfuscate`` change the columns that are neither identifiers (unless
-    ``identifiers_too``), nor of the primary key, nor generated, nor the engine's own.  A table without such columns
+    ``identifiers_too``), nor of the primary key, nor generated, nor the engine's own; generated ones follow.  A table without such columns
     loses the rows.  One pass, no shuffle.
     """
     strategy = strategy or table.erase_strategy
@@ -61,7 +62,13 @@ def erased(table: Table, df: DataFrame, match: Col, strategy: str | None = None,
         kind = df.schema[c.name].dataType
         new = nullified(kind, c.nullable) if strategy == "nullify" else obfuscated(F.col(c.name), kind, c.type, c.nullable)
         values[c.name] = F.when(match, new).otherwise(F.col(c.name))
-    return df.select(*[values[c].alias(c) if c in values else F.col(c) for c in df.columns])
+    hidden = f"__{uuid.uuid4().hex}__"
+    out = df.withColumn(hidden, match).select(*[values[c].alias(c) if c in values else F.col(c) for c in df.columns], hidden)
+    for c in table.columns:  # what was worked out from erased values is worked out anew
+        if c.generated_expression and not c.virtual and c.name in df.columns:
+            again = F.expr(c.generated_expression).cast(df.schema[c.name].dataType)
+            out = out.withColumn(c.name, F.when(F.col(hidden), again).otherwise(F.col(c.name)))
+    return out.drop(hidden)
 
 
 def expired(df: DataFrame, as_of: dt.datetime | str) -> Col:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..model import AccessDenied, GovernanceError
@@ -67,10 +68,29 @@ def expression(session: SparkSession, text: str) -> None:
         _functions(kind, node)
 
 
+#: Expressions that reach beyond their arguments, whatever way they came into a column.
+_BEYOND = {"CallMethodViaReflection", "TryReflect", "PythonUDF", "PythonUDAF", "PythonUDTF", "ScalaUDF", "ScalaAggregator", "HiveGenericUDF", "HiveSimpleUDF", "InputFileName", "InputFileBlockStart", "InputFileBlockLength", "Invoke", "CurrentDatabase", "CurrentCatalog", "CurrentUser", "SessionUser"}
+
+
+def columns_only(df: DataFrame) -> None:
+    """Raises if a column of an analysed frame holds a subquery, code of others, or what tells of files and the session."""
+    session = df.sparkSession
+    subquery = session._jvm.java.lang.Thread.currentThread().getContextClassLoader().loadClass("org.apache.spark.sql.catalyst.expressions.PlanExpression")
+    for kind, node in _nodes(session, df._jdf.queryExecution().analyzed()):
+        if kind in _BEYOND or subquery.isInstance(node):
+            raise AccessDenied("expressions are of columns and functions of values only")
+
+
 def query(session: SparkSession, text: str) -> tuple[DataFrame, set[str]]:
-    """A query that only reads the session's views, and the names of those it reads; anything else raises."""
+    """A query that only reads the session's views, and the names of those it reads; anything else raises.
+
+    A relation is one part: neither a catalog, nor a database, nor a file format may stand before its name, however it is
+    quoted.  It is a view, or a common table expression that no table of the catalog shares its name with; so a name
+    outside the scope of its expression finds nothing.  The session itself takes no paths for tables.
+    """
+    session.conf.set("spark.sql.runSQLOnFiles", "false")
     parsed = session._jsparkSession.sessionState().sqlParser().parsePlan(text)
-    views, names, read = {t.name for t in session.catalog.listTables() if t.isTemporary}, set(), set()
+    views, names, read = {t.name.lower() for t in session.catalog.listTables() if t.isTemporary}, set(), set()
     for kind, node in _nodes(session, parsed):
         _functions(kind, node)
         if not kind.startswith("plan:"):
@@ -79,9 +99,17 @@ def query(session: SparkSession, text: str) -> tuple[DataFrame, set[str]]:
         if kind not in _PLANS:
             raise GovernanceError(f"only queries are allowed, not {kind}")
         if kind == "UnresolvedRelation":
-            read.add(node.multipartIdentifier().mkString("."))
+            parts = list(_each(node.multipartIdentifier()))
+            if len(parts) != 1:
+                raise GovernanceError(f"not granted: {' . '.join(parts)}")
+            read.add(parts[0].lower())
         elif kind == "UnresolvedWith":
-            names |= {pair._1() for pair in _each(node.cteRelations())}
+            names |= {pair._1().lower() for pair in _each(node.cteRelations())}
     if beyond := read - views - names:
         raise GovernanceError(f"not granted: {', '.join(sorted(beyond))}")
-    return session.sql(text), read & views
+    if shared := [n for n in read - views if session.catalog.tableExists("`" + n.replace("`", "``") + "`")]:
+        raise GovernanceError(f"not granted: {', '.join(sorted(shared))}")
+    try:
+        return session.sql(text), read & views
+    except AnalysisException as e:
+        raise GovernanceError(f"the query cannot be run ({e.getCondition() or 'not valid'})") from None

@@ -17,6 +17,7 @@ from .plans.access import grants
 from .plans.compile import governed, live, with_generated
 from .sources import meta
 from .sources.catalog import effective_grants, ordered_columns, own_column_grants
+from .sources.work import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -445,14 +446,9 @@ def members_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("retention_stream")
 def retention_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sweep as a stream over the events' file, into a folder of the session's own."""
-    import tempfile
-
     from .streaming.sweep import sweep_stream
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    import uuid
-
-    work = f"{shared}/retention-{uuid.uuid4().hex}"
+    work = new_folder(spark, "retention")
     events = read(spark, sf_dir, "events")
     events.write.parquet(f"{work}/in")
     sweep_stream(spark, f"{work}/in", events.schema, f"{work}/out", f"{work}/checkpoint", project().table("ops.events"), "ts", "2024-01-31 00:00:00").awaitTermination()
@@ -466,7 +462,6 @@ ORACLE_SQL["retention_stream"] = ORACLE_SQL["retention_sweep"]
 def lifecycle_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Build, attach, update with history, detach without it: the store's plain table afterwards."""
     import tempfile
-    import uuid
     import warnings
 
     from .engine import Engine
@@ -476,8 +471,7 @@ def lifecycle_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     for r in p.roles:
         r.member_of = [m for m in r.member_of if m != "reader"]
         r.on = [SchemaGrant("sales", tables=[TableGrant("customer", update=r.name == "boss")])]
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    engine = Engine(spark, f"{shared}/lifecycle-{uuid.uuid4().hex}", KEY)
+    engine = Engine(spark, new_folder(spark, "lifecycle"), KEY)
     engine.store.commit({"sales.customer": read(spark, sf_dir, "customer")})
     with warnings.catch_warnings(), tempfile.TemporaryDirectory() as out:
         warnings.simplefilter("ignore")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 import tempfile
-import uuid
 import warnings
 from collections.abc import Callable
 
@@ -23,6 +22,7 @@ from .plans.access import access
 from .plans.compile import governed
 from .queries import _HIDE, _IP, NOW, _mask, _meta, _retained, _values, project, query, read
 from .sources.catalog import declare, inspect_store
+from .sources.work import new_folder
 from .validate import problems
 
 # --- masks and reads ------------------------------------------------------------------------------------------
@@ -312,8 +312,7 @@ def _shop() -> Project:
 
 def _engine(spark: SparkSession, sf_dir: str, p: Project, tables: dict[str, DataFrame] | None = None, known: Project | None = None) -> tuple[Engine, str]:
     """A store of its own with a build attached, in the folder that the cluster shares."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    engine = Engine(spark, f"{shared}/scenario-{uuid.uuid4().hex}", clock=lambda: dt.datetime(2024, 2, 1))
+    engine = Engine(spark, new_folder(spark, "scenario"), clock=lambda: dt.datetime(2024, 2, 1))
     engine.store.commit(tables or {"sales.supplier": read(spark, sf_dir, "supplier")})
     if known:
         declare(engine.store, known)
