@@ -95,3 +95,112 @@ def test_failed_commits_leave_no_folder(spark, tmp_path):
         other.commit({"a.t": spark.range(2)})
     assert len(os.listdir(tmp_path / "s" / "tables" / "a.t")) == 1
     assert s.purge(["a.t"]) == [] and s.read("a.t").count() == 1
+
+
+# --- references, policies ---------------------------------------------------------------------------------------
+
+
+def _people_project(versioned=False):
+    from wardhall.model import Column, Database, ForeignKey, Index, Project, Role, Schema, SchemaGrant, Table, TableGrant
+
+    boss = Table("people", [Column("id", "int8", nullable=False), Column("chief", "int8"), Column("name", versioned=versioned)], indexes=[Index("p", ["id"], primary_key=True)], foreign_keys=[ForeignKey("chief", "chief", "hr", "people", "id")])
+    pets = Table("pets", [Column("pet", "int8", nullable=False), Column("owner", "int8"), Column("vet", "int8")], indexes=[Index("q", ["pet"], primary_key=True)], foreign_keys=[ForeignKey("owner", "owner", "hr", "people", "id"), ForeignKey("vet", "vet", "hr", "people", "id")])
+    every = [TableGrant(n, insert=True, update=True, delete=True, truncate=True) for n in ("people", "pets")]
+    return Project(Database("shop", owner="boss", version="16"), [Schema("hr", [boss, pets])], [Role("boss", can_login=True, can_admin=True, on=[SchemaGrant("hr", tables=every)])])
+
+
+def test_dependants_through_a_cycle(spark):
+    from wardhall.operators.references import children_first, dependants
+
+    people = spark.createDataFrame([(1, None, "a"), (2, 1, "b"), (3, 2, "c"), (4, None, "d"), (5, 6, "e"), (6, 5, "f"), (7, 7, "g")], "id long, chief long, name string")
+    pets = spark.createDataFrame([(1, 3, None), (2, None, 3), (3, 3, 2), (4, 4, 4), (5, None, None), (6, 6, 4)], "pet long, owner long, vet long")
+    tables = {"hr.people": people, "hr.pets": pets}
+    p = _people_project()
+    found = lambda where: {n: sorted(r[0] for r in df.collect()) for n, df in dependants(p, "hr.people", people.filter(where), tables.__getitem__).items()}
+    assert found("id = 1") == {"hr.people": [1, 2, 3], "hr.pets": [1, 2, 3]}
+    assert found("id = 5") == {"hr.people": [5, 6], "hr.pets": [6]}
+    assert found("id = 4") == {"hr.people": [4], "hr.pets": [4, 6]}
+    assert found("id = 9").get("hr.pets", people.limit(0)) is not None and children_first(p, ["hr.people", "hr.pets"]) == ["hr.pets", "hr.people"]
+
+
+@pytest.mark.filterwarnings("ignore")
+@pytest.mark.parametrize("versioned", [False, True])
+def test_referred_rows_stay(spark, tmp_path, versioned):
+    from wardhall.engine import Engine
+
+    e = Engine(spark, str(tmp_path / "s"))
+    e.store.commit({"hr.people": spark.createDataFrame([(1, None, "a"), (2, 1, "b"), (3, None, "c"), (4, 4, "d")], "id long, chief long, name string"), "hr.pets": spark.createDataFrame([(1, 3, None)], "pet long, owner long, vet long")})
+    e.attach(e.build(_people_project(versioned), str(tmp_path / "o"), "p")) if not versioned else None
+    if versioned:
+        p = _people_project(True)
+        for t in p.schemas[0].tables:
+            t.foreign_keys = []
+        e.attach(e.build(p, str(tmp_path / "o"), "p"))
+        return
+    for where in ("id = 1", "id = 3", "true"):
+        with pytest.raises(GovernanceError, match="refers to a row"):
+            e.delete("boss", "hr.people", where)
+    with pytest.raises(GovernanceError, match="hr.pets"):
+        e.update("boss", "hr.people", "id = 3", {"id": "30"})
+    e.delete("boss", "hr.people", "id in (1, 2)")  # both sides go at once
+    e.delete("boss", "hr.people", "id = 4")
+    assert [r[0] for r in rows(e.raw("boss", "hr.people"))] == [3]
+
+
+def _order_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_no_predicate_of_a_caller_stands_below_a_barrier(spark):
+    from wardhall.duties import _ordered
+    from wardhall.plans.compile import governed
+
+    orders = spark.createDataFrame([(1, 1, "O", "1-URGENT"), (2, 2, "F", "hidden"), (3, 3, None, "hidden too")], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string")
+    customer = spark.createDataFrame([(1, 2, 1.0), (None, 2, 1.0)], "c_custkey long, c_nationkey int, c_acctbal double")
+    for using in ("o_orderstatus = 'O'", "o_custkey IN (SELECT c_custkey FROM sales.customer)", "EXISTS (SELECT 1 FROM sales.customer WHERE c_custkey = o_custkey) ;; o_orderstatus = 'X'"):
+        seen = governed(_ordered(using, True), "clerk", "sales.orders", orders, read=lambda _: customer)
+        asked = seen.filter(F.left("o_orderpriority", F.lit(1)).cast("int") > 0).join(customer.withColumnRenamed("c_custkey", "k"), F.col("o_custkey") == F.col("k")).filter("o_orderkey < 99")
+        plan = _order_of(asked)
+        top, _, below = plan.partition("SPARK_PARTITION_ID")
+        assert "as int) > 0" in top and "as int) > 0" not in below and "99" not in below
+        assert [r["o_orderkey"] for r in asked.collect()] == [1]
+    open_ = governed(_ordered("o_orderstatus = 'O'"), "clerk", "sales.orders", orders)
+    assert "SPARK_PARTITION_ID" not in _order_of(open_)
+
+
+@pytest.mark.filterwarnings("ignore")
+def test_writes_behind_a_barrier(spark, tmp_path):
+    from wardhall.duties import _ordered
+    from wardhall.engine import Engine
+
+    e = Engine(spark, str(tmp_path / "s"))
+    p = _ordered("o_orderstatus = 'O'", True)
+    p.schemas[0].tables = [p.table("sales.orders")]
+    for r in p.roles:
+        r.on[0].tables = [t for t in r.on[0].tables if t.name == "orders"]
+    e.store.commit({"sales.orders": spark.createDataFrame([(1, 1, "O", "1-URGENT"), (2, 2, "F", "hidden")], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string")})
+    e.attach(e.build(p, str(tmp_path / "o"), "p"))
+    e.update("clerk", "sales.orders", "cast(left(o_orderpriority, 1) as int) > 0", {"o_custkey": "cast(left(o_orderpriority, 1) as int) + 8"})
+    assert rows(e.raw("boss", "sales.orders")) == [(1, 9, "O", "1-URGENT"), (2, 2, "F", "hidden")]
+
+
+@pytest.mark.filterwarnings("ignore")
+def test_policies_over_other_tables_in_the_engine(spark, tmp_path):
+    from wardhall.duties import _ordered
+    from wardhall.engine import Engine
+
+    e = Engine(spark, str(tmp_path / "s"))
+    p = _ordered("o_custkey IN (SELECT c_custkey FROM sales.customer WHERE c_nationkey = 1) ;; o_orderpriority = 'sales.customer' ;; o_orderstatus = current_principal()")
+    p.table("sales.lineitem").foreign_keys = []
+    e.store.commit({
+        "sales.customer": spark.createDataFrame([(1, 1, 1.0), (2, 2, 1.0), (None, 1, 1.0)], "c_custkey long, c_nationkey int, c_acctbal double"),
+        "sales.orders": spark.createDataFrame([(1, 1, "O", "x"), (2, 2, "O", "x"), (3, 2, "O", "sales.customer"), (4, 9, "clerk", "x")], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string"),
+        "sales.lineitem": spark.createDataFrame([(1, 1)], "l_orderkey long, l_linenumber long"),
+    })
+    e.attach(e.build(p, str(tmp_path / "o"), "p"))
+    assert [r[0] for r in rows(e.table("clerk", "sales.orders"))] == [1, 3, 4]
+    assert e.sql("clerk", "SELECT sum(o_orderkey) FROM sales_orders").first()[0] == 8
+    e.update("clerk", "sales.orders", "true", {"o_orderpriority": "concat(o_orderpriority, '')"})
+    with pytest.raises(GovernanceError, match="row policy"):
+        e.update("clerk", "sales.orders", "o_orderkey = 1", {"o_custkey": "2"})
+    assert not [v.name for v in spark.catalog.listTables() if "asked" in v.name]

@@ -43,7 +43,7 @@ def _people(strategy: str, **more: object) -> Project:
     for name, value in more.items():
         setattr(customer, name, value)
     grant = SchemaGrant("sales", create=True, tables=[TableGrant("customer", insert=True, update=True, delete=True, truncate=True)])
-    return Project(Database("shop", owner="boss", version="16"), [Schema("sales", [customer])], [Role("boss", 2, can_login=True, can_admin=True, on=[grant])])
+    return Project(Database("shop", owner="boss", version="16"), [Schema("sales", [customer])], [Role("boss", can_login=True, can_admin=True, on=[grant])])
 
 
 @query("erase_physical", "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_custkey <> 7")
@@ -62,3 +62,96 @@ def erase_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     t = _people("nullify").table("sales.customer")
     return erased(t, read(spark, sf_dir, "customer").withColumn("shout", F.upper("c_name")), F.col("c_custkey") % 5 == 0).select("c_custkey", "c_name", "shout")
+
+
+# --- references -----------------------------------------------------------------------------------------------
+
+
+def _linked() -> Project:
+    """Line items that refer to orders, and orders that refer to customers."""
+
+    def table(name: str, key: list[str], column: str | None = None, to: str = "", referred: str = "") -> Table:
+        return Table(name, [Column(c, "int8", nullable=False) for c in [*key, *([column] if column and column not in key else [])]], indexes=[Index(f"{name}_pkey", key, primary_key=True)], foreign_keys=[ForeignKey(f"{name}_{to}", column, "sales", to, referred)] if column else [])
+
+    tables = [table("customer", ["c_custkey"]), table("orders", ["o_orderkey"], "o_custkey", "customer", "c_custkey"), table("lineitem", ["l_orderkey", "l_linenumber"], "l_orderkey", "orders", "o_orderkey")]
+    grants = [TableGrant(t.name, insert=True, update=True, delete=True, truncate=True) for t in tables]
+    return Project(Database("shop", owner="boss", version="16"), [Schema("sales", tables)], [Role("boss", can_login=True, can_admin=True, on=[SchemaGrant("sales", tables=grants)])])
+
+
+def _stored(spark: SparkSession, sf_dir: str, p: Project) -> dict[str, DataFrame]:
+    return {f"sales.{t.name}": read(spark, sf_dir, t.name).select(*[c.name for c in t.columns]) for _, t in p.tables()}
+
+
+@query(
+    "fk_dependants",
+    """WITH RECURSIVE gone(name, a, b) AS (SELECT 'customer', c_custkey, 0 FROM customer WHERE c_custkey % 50 = 7
+UNION ALL SELECT * FROM (SELECT 'orders', o_orderkey, 0 FROM gone JOIN orders ON name = 'customer' AND a = o_custkey UNION ALL SELECT 'lineitem', l_orderkey, l_linenumber FROM gone JOIN lineitem ON name = 'orders' AND a = l_orderkey))
+SELECT name AS table_name, a AS key_value, b AS line FROM gone WHERE name <> 'customer'""",
+)
+def fk_dependants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows that refer to some customers, directly or through orders."""
+    from .operators.references import dependants
+
+    p = _linked()
+    tables = _stored(spark, sf_dir, p)
+    found = dependants(p, "sales.customer", tables["sales.customer"].filter("c_custkey % 50 = 7"), tables.__getitem__)
+    orders = found["sales.orders"].select(F.lit("orders").alias("table_name"), F.col("o_orderkey").alias("key_value"), F.lit(0).alias("line"))
+    return orders.union(found["sales.lineitem"].select(F.lit("lineitem"), "l_orderkey", F.col("l_linenumber").cast("int")))
+
+
+@query("delete_referenced", "SELECT c_custkey FROM customer WHERE c_custkey > 20 OR c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey <= 20) AND c_custkey > 20")
+def delete_referenced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers can't go before their orders, nor orders before their lines; then they can."""
+    p = _linked()
+    engine, _ = _engine(spark, sf_dir, p, _stored(spark, sf_dir, p))
+    _tried(lambda: engine.delete("boss", "sales.customer", "c_custkey <= 20"))
+    _tried(lambda: engine.truncate("boss", "sales.customer"))
+    _tried(lambda: engine.update("boss", "sales.customer", "c_custkey <= 20", {"c_custkey": "c_custkey + 1000000000"}))
+    some = ", ".join(str(r[0]) for r in read(spark, sf_dir, "orders").filter("o_custkey <= 20").select("o_orderkey").collect())
+    _tried(lambda: engine.delete("boss", "sales.orders", "o_custkey <= 20"))
+    engine.delete("boss", "sales.lineitem", f"l_orderkey in ({some})")
+    engine.delete("boss", "sales.orders", "o_custkey <= 20")
+    engine.delete("boss", "sales.customer", "c_custkey <= 20")
+    return engine.raw("boss", "sales.customer").select("c_custkey")
+
+
+# --- policies -------------------------------------------------------------------------------------------------
+
+
+def _ordered(using: str, barrier: bool = False) -> Project:
+    p = _linked()
+    t = p.table("sales.orders")
+    t.columns += [Column("o_orderstatus"), Column("o_orderpriority")]
+    t.foreign_keys, t.rls_enabled, t.rls_security_barrier = [], True, barrier
+    t.rls_policies = [RowPolicy(["clerk"], u) for u in using.split(" ;; ")]
+    p.table("sales.customer").columns += [Column("c_nationkey", "int4"), Column("c_acctbal", "float8")]
+    p.roles.append(Role("clerk", can_login=True, on=[SchemaGrant("sales", tables=[TableGrant("orders", update=True)])]))
+    return p
+
+
+@query("rls_barrier", "SELECT o_orderkey, left(o_orderpriority, 1)::INT AS urgency FROM orders WHERE o_orderstatus = 'O'")
+def rls_barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A caller's cast fails on every hidden row, and so must not see one."""
+    from .plans.compile import governed
+
+    raw = read(spark, sf_dir, "orders").withColumn("o_orderpriority", F.expr("if(o_orderstatus = 'O', o_orderpriority, 'secret')"))
+    seen = governed(_ordered("o_orderstatus = 'O'", True), "clerk", "sales.orders", raw)
+    return seen.filter(F.left("o_orderpriority", F.lit(1)).cast("int") >= 0).select("o_orderkey", F.left("o_orderpriority", F.lit(1)).cast("int").alias("urgency"))
+
+
+_FEW = "nullif(c_nationkey, 3) < 5"
+
+
+@query(
+    "rls_related",
+    f"""SELECT o_orderkey FROM (SELECT o_orderkey, nullif(o_custkey, 8) AS o_custkey FROM orders) o
+WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE {_FEW}) OR EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey AND c_acctbal < 0) OR (o_custkey IS NULL AND o_orderkey % 2 = 0)""",
+)
+def rls_related(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by what customers say of their buyers: three policies, two of which ask another table, with nulls on both sides."""
+    from .plans.compile import governed
+
+    customer = read(spark, sf_dir, "customer")
+    raw = read(spark, sf_dir, "orders").withColumn("o_custkey", F.expr("nullif(o_custkey, 8)"))
+    p = _ordered(f"o_custkey IN (SELECT c_custkey FROM sales.customer WHERE {_FEW}) ;; EXISTS (SELECT 1 FROM sales.customer WHERE sales.customer.c_custkey = o_custkey AND c_acctbal < 0) ;; o_custkey IS NULL AND o_orderkey % 2 = 0")
+    return governed(p, "clerk", "sales.orders", raw, read=lambda path: customer).select("o_orderkey")

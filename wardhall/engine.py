@@ -10,6 +10,7 @@ import json
 import uuid
 import warnings
 from collections.abc import Callable, Iterable
+from contextlib import AbstractContextManager
 from functools import reduce
 
 from pyspark.sql import Column as Col
@@ -18,9 +19,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from .functions.masks import masked
-from .functions.policies import row_check, row_filter
+from .functions.policies import related, row_check, row_filter
 from .model import AccessDenied, GovernanceError, Project, Schema, Table
-from .operators import audit, discover, dml, erase, reshape
+from .operators import audit, discover, dml, erase, references, reshape
 from .operators.diff import Change, diff
 from .plans import plain
 from .plans.access import Access, access, membership
@@ -238,7 +239,7 @@ class Engine:
     # -- reading -----------------------------------------------------------------------------------------------
     def table(self, principal: str, path: str, current: bool = False, columns: list[str] | None = None) -> DataFrame:
         """What a principal sees of a table."""
-        out = governed(self.project, principal, path, self._raw(path), current, self._key, columns)
+        out = governed(self.project, principal, path, self._raw(path), current, self._key, columns, self._raw)
         self._log(principal, "select", path, out.columns)
         return out
 
@@ -257,13 +258,15 @@ class Engine:
         session = self.spark.newSession()
         project = self.project
         paths: dict[str, str] = {}
+        own = Store(session, self.store.root)
+        stored = lambda path: own.read(SHADOW + path)
         for s, t in project.tables():
             path = f"{s.name}.{t.name}"
             try:
                 for name, current in ((f"{s.name}_{t.name}", False), (f"{s.name}_{t.name}_current", True)):
                     if current and not t.versioned:
                         continue
-                    seen = governed(project, principal, path, Store(session, self.store.root).read(SHADOW + path), current, self._key)
+                    seen = governed(project, principal, path, stored(path), current, self._key, read=stored)
                     seen.createOrReplaceTempView(name)
                     paths[name.lower()] = path
             except GovernanceError:
@@ -304,31 +307,46 @@ class Engine:
         """Stored rows with the values of callers' expressions under the given names.
 
         The expressions see what the principal may select, masked: a column that is not granted is not there to be named,
-        and a masked one has its masked value.  Row policies apply where the rows are matched.
+        and a masked one has its masked value.  Row policies apply where the rows are matched; behind a security barrier the
+        expressions are not worked out for hidden rows at all.
         """
         _, t = self._place(path)
         raw = self._raw(path)
         for e in exprs.values():
             if isinstance(e, str):
                 plain.expression(self.spark, e)
-        hidden = f"__{uuid.uuid4().hex}__"
+        hidden, ok = f"__{uuid.uuid4().hex}__", f"__{uuid.uuid4().hex}__"
+        with self._asked(t) as rename:
+            rows = raw.withColumn(ok, self._rows(principal, path, found, rename) if t.rls_security_barrier else F.lit(True))
         shown = found.readable(t) if "select" in found.privileges else []
-        seen = raw.select(*[masked(F.col(f"`{c.name}`"), c.masking_strategy, c.mask_config, self._key).alias(c.name) for c in shown], F.struct(*[F.col(f"`{c}`") for c in raw.columns]).alias(hidden))
-        values = {n: (F.expr(e) if isinstance(e, str) else e).alias(n) for n, e in exprs.items()}
+        seen = rows.select(*[masked(F.col(f"`{c.name}`"), c.masking_strategy, c.mask_config, self._key).alias(c.name) for c in shown], F.struct(*[F.col(f"`{c}`") for c in raw.columns]).alias(hidden), ok)
+        values = {n: F.expr(e) if isinstance(e, str) else e for n, e in exprs.items()}
+        if t.rls_security_barrier:
+            values = {n: F.when(F.col(ok), e) for n, e in values.items()}
+        values = {n: e.alias(n) for n, e in values.items()}
         try:
             plain.columns_only(seen.select(*values.values()))
             used = seen.select(*values.values())._jdf.queryExecution().analyzed().references()
-            if any(a.name() == hidden for a in plain._each(used.toSeq())):
+            if any(a.name() == hidden or a.name() == ok and not t.rls_security_barrier for a in plain._each(used.toSeq())):
                 raise AccessDenied(f"{principal} may not name all columns of {path}")
             return seen.select(F.col(f"{hidden}.*"), *values.values())
         except AnalysisException as e:
             raise AccessDenied(f"{path}: {principal} cannot use this expression ({e.getCondition() or 'not valid'})") from None
 
-    def _rows(self, principal: str, path: str, found: Access) -> Col:
+    def _rows(self, principal: str, path: str, found: Access, rename: Callable[[str], str]) -> Col:
         """A condition on rows that the principal may reach, over stored values."""
-        rows = row_filter(self._place(path)[1], principal, found.roles, found.bypass_rows)
+        rows = row_filter(self._place(path)[1], principal, found.roles, found.bypass_rows, rename)
         return F.lit(True) if rows is None else F.coalesce(rows, F.lit(False))
 
+    def _asked(self, t: Table) -> AbstractContextManager[Callable[[str], str]]:
+        """The tables that a table's policies ask, as long as plans with these policies are made."""
+        return related(self.project, t, self.spark, self._raw)
+
+    def _unreferred(self, path: str, gone: DataFrame, after: DataFrame, read: Callable[[str], DataFrame] | None = None) -> None:
+        """Refuses to take away rows that others refer to, in this table or in another."""
+        for child, fk, rows in references.still_referred(self.project, path, gone, after, read or self._raw):
+            dml.refuse(rows, f"{path}: {child} refers to a row that would go ({fk.name})")
+
     def insert(self, principal: str, path: str, rows: DataFrame) -> None:
         """New rows: defaults, row policy, required values, references and the key are checked before anything is written."""
         seen = self.store.version()
@@ -336,9 +354,10 @@ class Engine:
         found.require("insert", [c for c in rows.columns])
         old = self._raw(path)
         new = dml.inserted(t, old.limit(0), rows, self.clock())
-        check = row_check(t, principal, found.roles, found.bypass_rows)
-        if check is not None:
-            dml.refuse(new.filter(~check), f"{path}: the row policy refuses a row")
+        with self._asked(t) as rename:
+            check = row_check(t, principal, found.roles, found.bypass_rows, rename)
+            if check is not None:
+                dml.refuse(new.filter(~check), f"{path}: the row policy refuses a row")
         dml.refuse(dml.missing_values(t, new), f"{path}: a required value is missing")
         self._references(t, path, new)
         whole = old.unionByName(new)
@@ -364,20 +383,25 @@ class Engine:
         stored = self._raw(path).columns
         names = {c: f"__new_{i}__" for i, c in enumerate(changes)}
         old = self._worked_out(principal, path, found, {"__hit__": where, **{n: changes[c] for c, n in names.items()}})
-        match, new_values = F.col("__hit__") & self._rows(principal, path, found), {c: F.col(n) for c, n in names.items()}
+        with self._asked(t) as rename:
+            old = old.withColumn("__hit__", F.coalesce(F.col("__hit__"), F.lit(False)) & self._rows(principal, path, found, rename))
+        match, new_values = F.col("__hit__"), {c: F.col(n) for c, n in names.items()}
         kinds = {f.name: f.dataType for f in old.schema}
         dml.refuse(dml.changed_immutable(t, old, match, dml.assigned(t, new_values, kinds)), f"{path}: an immutable column would change")
         new = dml.updated(t, old, match, new_values, self.clock()).select(*stored)
-        check = row_check(t, principal, found.roles, found.bypass_rows)
-        if check is not None:
-            after = dml.updated(t, old.filter(F.coalesce(match, F.lit(False))), F.lit(True), new_values, self.clock())
-            after = after.filter(dml.is_live()) if t.versioned else after
-            dml.refuse(after.filter(~check), f"{path}: the row policy refuses a row")
+        with self._asked(t) as rename:
+            check = row_check(t, principal, found.roles, found.bypass_rows, rename)
+            if check is not None:
+                after = dml.updated(t, old.filter(match), F.lit(True), new_values, self.clock())
+                after = after.filter(dml.is_live()) if t.versioned else after
+                dml.refuse(after.filter(~check), f"{path}: the row policy refuses a row")
         dml.refuse(dml.missing_values(t, new), f"{path}: a required value is missing")
         if any(fk.column in changes for fk in t.foreign_keys):
             self._references(t, path, new)
         if set(t.key) & set(changes):
             dml.refuse(dml.duplicate_keys(t, new), f"{path}: the key repeats")
+        if any(fk.referenced_column in changes for _, fk in references.referencing(self.project, path)):
+            self._unreferred(path, old.filter(match), new)
         self._write(principal, "update", path, new, seen)
 
     def delete(self, principal: str, path: str, where: Col | str) -> None:
@@ -385,24 +409,30 @@ class Engine:
         found, (_, t) = self._access(principal, path), self._place(path)
         found.require("delete")
         rows = self._worked_out(principal, path, found, {"__hit__": where})
-        new = dml.deleted(t, rows, F.col("__hit__") & self._rows(principal, path, found), self.clock())
-        self._write(principal, "delete", path, new.drop("__hit__"), seen)
+        with self._asked(t) as rename:
+            rows = rows.withColumn("__hit__", F.coalesce(F.col("__hit__"), F.lit(False)) & self._rows(principal, path, found, rename))
+        new = dml.deleted(t, rows, F.col("__hit__"), self.clock()).drop("__hit__")
+        self._unreferred(path, rows.filter("__hit__"), new)
+        self._write(principal, "delete", path, new, seen)
 
     def truncate(self, principal: str, path: str) -> None:
         """All rows go, of all versions; row policies have no say, as the privilege is on the whole table."""
         seen = self.store.version()
         self._access(principal, path).require("truncate")
-        self._write(principal, "truncate", path, self._raw(path).limit(0), seen)
+        old = self._raw(path)
+        self._unreferred(path, old, old.limit(0))
+        self._write(principal, "truncate", path, old.limit(0), seen)
 
     # -- erasure -----------------------------------------------------------------------------------------------
     def erase_check(self, columns: list[str], values: list[str]) -> DataFrame:
         return erase.erase_check(self.project, self._raw, columns, values)
 
     def erase_apply(self, columns: list[str], values: list[str], principal: str | None = None) -> list[dict]:
-        """Erases a subject from every table that knows it, and logs each table, as one commit; then older snapshots of these tables are removed."""
+        """Erases a subject from every table that knows it, those that refer before what they refer to, and logs each table, as one commit; then older snapshots of these tables are removed."""
         principal = self._manager(principal)
         seen, project, now = self.store.version(), self.project, self.clock()
-        counts = self.erase_check(columns, values).collect()
+        counts = {f"{r['schema_name']}.{r['table_name']}": r for r in self.erase_check(columns, values).collect()}
+        counts = [counts[p] for p in references.children_first(project, list(counts))]
         replace, log = {}, []
         for r in counts:
             path = f"{r['schema_name']}.{r['table_name']}"
@@ -411,6 +441,10 @@ class Engine:
             if r["rows_matched"]:
                 replace[SHADOW + path] = erase.erased(t, df, erase.subject_match(t, df, columns, values))
             log.append((self.build_id, now, r["schema_name"], r["table_name"], columns, values, r["erase_strategy"], r["rows_matched"], False))
+        for full, new in replace.items():  # as all tables are afterwards
+            path = full.removeprefix(SHADOW)
+            df, t = self._raw(path), project.table(path)
+            self._unreferred(path, df.filter(erase.subject_match(t, df, columns, values)), new, lambda p: replace.get(SHADOW + p, self._raw(p)))
         if log:
             entries = self._entries(project, principal, "erase", [f"{r['schema_name']}.{r['table_name']}" for r in counts])
             self.store.commit(replace, {meta.PREFIX + "erasures": meta.frame(self.spark, "erasures", log), **entries}, expected=seen)

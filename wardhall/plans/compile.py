@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.masks import masked
-from ..functions.policies import row_filter
-from ..model import FOREVER, VALID_TO, AccessDenied, Project
+from ..functions.policies import barrier, related, row_filter
+from ..model import FOREVER, VALID_TO, AccessDenied, GovernanceError, Project
 from .access import Access, access
 
 
@@ -16,12 +18,14 @@ def live(df: DataFrame) -> DataFrame:
     return df.filter(F.col(VALID_TO) == F.lit(FOREVER).cast(df.schema[VALID_TO].dataType))
 
 
-def governed(project: Project, principal: str, path: str, raw: DataFrame, current: bool = False, key: str | None = None, columns: list[str] | None = None) -> DataFrame:
+def governed(project: Project, principal: str, path: str, raw: DataFrame, current: bool = False, key: str | None = None, columns: list[str] | None = None, read: Callable[[str], DataFrame] | None = None) -> DataFrame:
     """What ``principal`` sees of a table.
 
     Row policies see raw values, callers only the masked ones.  Without ``columns`` those that the principal may not see
     are left out; naming one of them raises.  System columns never show.  ``current`` keeps a versioned table's live
-    rows, else all versions are there.  Filters that a caller adds reach the scan unless they are on a masked value.
+    rows, else all versions are there.  Filters that a caller adds reach the scan unless they are on a masked value, or the
+    table has a security barrier: then they see only rows that the policy lets through.  ``read`` gives the stored rows of
+    other tables that a policy asks.
     """
     schema_name, _, table_name = path.partition(".")
     schema, table = project.schema(schema_name), project.table(path)
@@ -32,13 +36,20 @@ def governed(project: Project, principal: str, path: str, raw: DataFrame, curren
         raise AccessDenied(f"{principal} sees no column of {table_name}")
     if columns is not None:
         shown = [c for c in shown if c.name in columns]
-    rows = row_filter(table, principal, found.roles, found.bypass_rows)
-    df = raw if rows is None else raw.filter(rows)
+    with related(project, table, raw.sparkSession, read or _nowhere) as rename:
+        rows = row_filter(table, principal, found.roles, found.bypass_rows, rename)
+        df = raw if rows is None else raw.filter(rows)
     if current and table.versioned:
         df = live(df)
+    if rows is not None and table.rls_security_barrier:
+        df = barrier(df)
     return df.select(*[masked(F.col(f"`{c.name}`"), c.masking_strategy, c.mask_config, key).alias(c.name) for c in shown])
 
 
+def _nowhere(path: str) -> DataFrame:
+    raise GovernanceError(f"a row policy asks {path}, which cannot be read here")
+
+
 def with_generated(project: Project, path: str, df: DataFrame) -> DataFrame:
     """Stored generated columns, computed anew; virtual ones are not stored."""
     for c in project.table(path).columns:
