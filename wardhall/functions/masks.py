@@ -9,6 +9,7 @@ from pyspark.sql import Column as Col
 from pyspark.sql import functions as F
 
 from ..model import GovernanceError, Mask
+from .blockhash import hash64
 
 _BLOCK = 64
 
@@ -45,7 +46,7 @@ def hmac_sha256(c: Col, key: str) -> Col:
 def hashed(c: Col, algorithm: str, key: str | None = None) -> Col:
     if algorithm == "xxhash":
         warnings.warn("xxhash is not cryptographic: values can be recovered", stacklevel=3)
-        return F.when(c.isNotNull(), F.xxhash64(c).cast("string"))
+        return hash64(c).cast("string")
     if algorithm in ("sha256", "sha512"):
         warnings.warn(f"{algorithm} without a key can be reversed by dictionary", stacklevel=3)
         return F.sha2(c, int(algorithm[3:]))

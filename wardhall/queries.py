@@ -84,6 +84,37 @@ _EMAIL = "concat('user', c_custkey, '@ex', c_nationkey, '.com')"
 _IPAD, _OPAD = (bytes(b ^ x for b in KEY.encode().ljust(64, b"\0")).hex() for x in (0x36, 0x5C))
 
 
+def _block_hash_sql() -> str:
+    """The 64-bit hash of c_name in SQL: one row for each block of twelve bytes, each step of a round a column of its own."""
+
+    def steps(turns: tuple, form: str) -> list[tuple[str, str]]:
+        words, out = ["a", "b", "c"], []
+        for i, t in enumerate(turns):
+            if form == "mix":  # of three words in turn: x -= z, x ^= z turned, z += y
+                x, y, z = words[i % 3], words[(i + 1) % 3], words[(i + 2) % 3]
+                out.append((x, f"xor(({x} - {z} + 4294967296) % 4294967296, ({z} << {t}) % 4294967296 | ({z} >> {32 - t}))"))
+                out.append((z, f"({z} + {y}) % 4294967296"))
+            else:  # z ^= y, z -= y turned
+                z, y = ("c", "a", "b")[i % 3], ("b", "c", "a")[i % 3]
+                out.append((z, f"(xor({z}, {y}) - (({y} << {t}) % 4294967296 | ({y} >> {32 - t})) + 4294967296) % 4294967296"))
+        return out
+
+    def nested(source: str, assignments: list, keep: str) -> str:
+        for word, value in assignments:
+            source = f"(SELECT {keep}, {', '.join(f'{value} AS {w}' if w == word else w for w in 'abc')} FROM {source})"
+        return source
+
+    byte = lambda i: f"coalesce(('0x' || nullif(substr(h, 24 * i + {2 * i + 1}, 2), ''))::BIGINT, 0)"
+    word = lambda at, shift: " + ".join(f"({byte(at + j)} << {8 * j + shift})" for j in range(4 - shift // 8))
+    start = 0x9E3779B9 + 3923095
+    first = f"SELECT c_custkey, lower(hex(encode(c_name))) AS h, 0 AS i, ({start} + strlen(c_name)) % 4294967296 AS a, ({start} + strlen(c_name)) % 4294967296 AS b, ({start} + strlen(c_name)) % 4294967296 AS c FROM customer"
+    full = f"(SELECT c_custkey, h, i, (a + {word(0, 0)}) % 4294967296 AS a, (b + {word(4, 0)}) % 4294967296 AS b, (c + {word(8, 0)}) % 4294967296 AS c FROM r WHERE length(h) >= 24 * (i + 1))"
+    tail = f"(SELECT c_custkey, h, i, (a + {word(0, 0)}) % 4294967296 AS a, (b + {word(4, 0)}) % 4294967296 AS b, (c + {word(8, 8)}) % 4294967296 AS c FROM r WHERE length(h) < 24 * (i + 1))"
+    again = f"SELECT c_custkey, h, i + 1, a, b, c FROM {nested(full, steps((4, 6, 8, 16, 19, 4), 'mix'), 'c_custkey, h, i')}"
+    end = nested(tail, steps((14, 11, 25, 16, 4, 14, 24), "end"), "c_custkey, h, i")
+    return f"WITH RECURSIVE r AS ({first} UNION ALL {again}) SELECT c_custkey, (b::HUGEINT * 4294967296 + c - CASE WHEN b >= 2147483648 THEN 18446744073709551616::HUGEINT ELSE 0 END)::VARCHAR AS value FROM {end}"
+
+
 def _mask(name: str, mask: Mask, source: str = "c_name", sql: str | None = None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return read(spark, sf_dir, "customer").select("c_custkey", masked(F.expr(source), mask.strategy, mask, KEY).alias("value"))
@@ -97,6 +128,7 @@ _mask("mask_partial_left", Mask("partial", visible_side="left", visible_length=6
 _mask("mask_sha256", Mask("hash", algorithm="sha256"), sql="sha256(v)")
 _mask("mask_sha512", Mask("hash", algorithm="sha512"))
 _mask("mask_xxhash", Mask("hash"))
+ORACLE_SQL["mask_xxhash"] = _block_hash_sql()
 _mask("mask_hmac256", Mask("hash", algorithm="hmac256"), sql=f"sha256(unhex('{_OPAD}') || unhex(sha256(unhex('{_IPAD}') || encode(v))))")
 _mask("mask_email", Mask("email"), _EMAIL, "left(v, 1) || repeat('X', greatest(0, position('@' IN v) - 2)::INT) || substring(v, greatest(1, position('@' IN v)))")
 _mask("mask_phone", Mask("phone"), _PHONE, "repeat('X', greatest(0, length(regexp_replace(v, '[^0-9]', '', 'g')) - 4)::INT) || right(regexp_replace(v, '[^0-9]', '', 'g'), 4)")
