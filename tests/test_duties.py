@@ -204,3 +204,64 @@ def test_policies_over_other_tables_in_the_engine(spark, tmp_path):
     with pytest.raises(GovernanceError, match="row policy"):
         e.update("clerk", "sales.orders", "o_orderkey = 1", {"o_custkey": "2"})
     assert not [v.name for v in spark.catalog.listTables() if "asked" in v.name]
+
+
+# --- row images -------------------------------------------------------------------------------------------------
+
+
+def _brute_versions(images):
+    """(key, value, from, to) by going through each key's images in order."""
+    last = {}
+    for key, value, op, at, seq in sorted(images, key=lambda i: (i[3], i[4])):
+        last[key, at] = (value, op)
+    out = []
+    for key in {k for k, _ in last}:
+        times = sorted(at for k, at in last if k == key)
+        for at, to in zip(times, [*times[1:], "9999-12-31 23:59:59.999999"]):
+            value, op = last[key, at]
+            if op == "put":
+                out.append((key, value, at, to))
+    return sorted(out)
+
+
+def test_batches_of_images_fold_into_versions(spark):
+    """Out of order, several of one moment, late among stored versions, in one batch or in three."""
+    import random
+
+    from wardhall.model import VALID_FROM, VALID_TO, Column, Index, Table
+    from wardhall.operators.images import folded
+
+    rnd = random.Random(4)
+    t = Table("t", [Column("k", "int8"), Column("v", versioned=True)], indexes=[Index("p", ["k"], primary_key=True)])
+    images = [(rnd.randrange(4), f"v{i}", rnd.choice(["put", "put", "gone"]), f"2024-01-{rnd.randint(1, 9):02d} {rnd.randint(0, 3):02d}:00:00", i) for i in range(60)]
+    rnd.shuffle(images)
+    empty = spark.createDataFrame([], f"k long, v string, {VALID_FROM} timestamp_ntz, {VALID_TO} timestamp_ntz")
+    frame = lambda some: spark.createDataFrame(some, "k long, v string, op string, at string, seq long").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    got = lambda df: sorted((r[0], r[1], str(r[2]), str(r[3])) for r in df.filter(f"{VALID_FROM} < {VALID_TO}").select("k", "v", VALID_FROM, VALID_TO).collect())
+    assert got(folded(t, empty, frame(images))) == _brute_versions(images)
+    assert got(folded(t, empty, frame(images + images[:9]))) == _brute_versions(images)
+    one_each = list({(k, at): (k, v, op, at, s) for k, v, op, at, s in sorted(images, key=lambda i: i[4])}.values())  # later batches win a moment
+    rnd.shuffle(one_each)
+    df = empty
+    for part in (one_each[:10], one_each[10:25], one_each[25:]):
+        df = folded(t, df, frame(part))
+    assert got(df) == _brute_versions(one_each)
+
+
+@pytest.mark.filterwarnings("ignore")
+def test_images_in_the_engine(spark, engine):
+    frame = lambda *r: spark.createDataFrame(list(r), "id long, name string, team string, salary int, op string, at string, seq long").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    engine.apply("boss", "hr.people", frame((1, "Ann", "green", 11, "put", "2024-03-01", 2), (1, "Ann", "red", 10, "put", "2024-02-01", 1), (3, None, None, None, "gone", "2024-03-01", 3), (9, "New", None, 1, "put", "2024-02-02", 4)))
+    live = engine.raw("boss", "hr.people").filter("__valid_to__ > timestamp_ntz'9999-01-01'").select("id", "name", "team", "salary")
+    assert rows(live) == [(1, "Ann", "green", 11), (2, "Bob", "secret", 20), (9, "New", "none", 1)]
+    assert engine.raw("boss", "hr.people").filter("id = 1").count() == 3
+    clerk = lambda *r: frame(*r).drop("salary")
+    for bad in ((2, "Bob", "open", 1, "put", "2024-04-01", 1), (1, "Ann", "secret", 1, "put", "2024-04-01", 1), (None, "X", "red", 1, "put", "2024-04-01", 1), (1, "X", "red", 1, "swap", "2024-04-01", 1), (1, "X", "red", 1, "put", None, 1)):
+        with pytest.raises(GovernanceError):
+            engine.apply("clerk", "hr.people", clerk(bad))
+    with pytest.raises(AccessDenied):
+        engine.apply("clerk", "hr.people", frame((1, "Ann", "red", 1, "put", "2024-04-01", 1)))
+    with pytest.raises(AccessDenied):
+        engine.apply("self", "hr.people", clerk((1, "Ann", "red", 1, "gone", "2024-04-01", 1)))
+    with pytest.raises(GovernanceError):
+        engine.apply("boss", "hr.people", frame((1, "Ann", "red", 1, "put", "2024-04-01", 1)).withColumn("size", F.lit(1)))

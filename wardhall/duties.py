@@ -155,3 +155,39 @@ def rls_related(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = read(spark, sf_dir, "orders").withColumn("o_custkey", F.expr("nullif(o_custkey, 8)"))
     p = _ordered(f"o_custkey IN (SELECT c_custkey FROM sales.customer WHERE {_FEW}) ;; EXISTS (SELECT 1 FROM sales.customer WHERE sales.customer.c_custkey = o_custkey AND c_acctbal < 0) ;; o_custkey IS NULL AND o_orderkey % 2 = 0")
     return governed(p, "clerk", "sales.orders", raw, read=lambda path: customer).select("o_orderkey")
+
+
+# --- row images -----------------------------------------------------------------------------------------------
+
+
+@query(
+    "image_versions",
+    """WITH i AS (SELECT event_id, ts, user_id, event_type, value FROM events UNION ALL SELECT -1, TIMESTAMP '2023-12-31', user_id, 'signup', 0.0 FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 2 = 0)),
+n AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) = 1),
+v AS (SELECT user_id, event_type, value, ts AS valid_from, coalesce(lead(ts) OVER (PARTITION BY user_id ORDER BY ts), TIMESTAMP '9999-12-31 23:59:59.999999') AS valid_to FROM n)
+SELECT * FROM v WHERE event_type <> 'error'""",
+)
+def image_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users whose state is their latest event, and who are gone after an error; half of the events come late, in a second batch."""
+    from .model import VALID_FROM, VALID_TO
+    from .operators.images import folded
+
+    t = Table("users", [Column("user_id", "int8", nullable=False), Column("event_type", versioned=True), Column("value", "float8")], indexes=[Index("users_pkey", ["user_id"], primary_key=True)])
+    events = read(spark, sf_dir, "events")
+    images = events.select("user_id", "event_type", "value", F.when(F.col("event_type") == "error", "gone").otherwise("put").alias("op"), F.col("ts").alias("at"), F.col("event_id").alias("seq"))
+    start = F.lit("2023-12-31 00:00:00").cast("timestamp_ntz")
+    stored = events.filter("user_id % 2 = 0").select("user_id", F.lit("signup").alias("event_type"), F.lit(0.0).alias("value"), start.alias(VALID_FROM), F.lit("9999-12-31 23:59:59.999999").cast("timestamp_ntz").alias(VALID_TO)).distinct()
+    once = folded(t, stored, images.filter("seq % 2 = 1"))
+    return folded(t, once, images.filter("seq % 2 = 0")).filter(F.col(VALID_FROM) < F.col(VALID_TO)).withColumnsRenamed({VALID_FROM: "valid_from", VALID_TO: "valid_to"})
+
+
+@query("image_rows", "SELECT user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 AND event_type <> 'error'")
+def image_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without history, by the engine: the latest image of each user."""
+    t = Table("users", [Column("user_id", "int8", nullable=False), Column("event_type"), Column("value", "float8")], indexes=[Index("users_pkey", ["user_id"], primary_key=True)])
+    grant = SchemaGrant("ops", tables=[TableGrant("users", insert=True, update=True, delete=True)])
+    p = Project(Database("shop", owner="boss", version="16"), [Schema("ops", [t])], [Role("boss", can_login=True, can_admin=True, on=[grant])])
+    events = read(spark, sf_dir, "events")
+    engine, _ = _engine(spark, sf_dir, p, {"ops.users": events.filter("false").select("user_id", "event_type", "value")})
+    engine.apply("boss", "ops.users", events.select("user_id", "event_type", "value", F.when(F.col("event_type") == "error", "gone").otherwise("put").alias("op"), F.col("ts").alias("at"), F.col("event_id").alias("seq")))
+    return engine.raw("boss", "ops.users")

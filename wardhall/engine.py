@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .functions.masks import masked
 from .functions.policies import related, row_check, row_filter
 from .model import AccessDenied, GovernanceError, Project, Schema, Table
-from .operators import audit, discover, dml, erase, references, reshape
+from .operators import audit, discover, dml, erase, images, references, reshape
 from .operators.diff import Change, diff
 from .plans import plain
 from .plans.access import Access, access, membership
@@ -415,6 +415,43 @@ class Engine:
         self._unreferred(path, rows.filter("__hit__"), new)
         self._write(principal, "delete", path, new, seen)
 
+    def apply(self, principal: str, path: str, changes: DataFrame, op: str = "op", at: str | None = "at", sequence: str = "seq") -> None:
+        """A batch of row images: ``put`` says what a row is from ``at`` on, ``gone`` that it is no more; ``sequence`` orders images of one moment.
+
+        Whole rows by key, several of one key and out of order if need be.  What holds for single writes holds for each of
+        them: privileges by operation and column, row policies on what is put and on what is replaced or taken away,
+        immutable columns, required values and references on both sides.
+        """
+        seen = self.store.version()
+        found, (_, t) = self._access(principal, path), self._place(path)
+        old = self._raw(path)
+        dml.refuse(images.checked(t, changes, op, at), f"{path}: an image names no key, no moment or no operation")
+        values = [c for c in changes.columns if c not in (op, at, sequence)]
+        ops = {r[0] for r in changes.select(op).distinct().collect()}
+        if images.PUT in ops:
+            found.require("insert", values)
+            found.require("update", values)
+        if images.GONE in ops:
+            found.require("delete")
+        new = images.folded(t, old, changes, op, at, sequence)
+        keys = changes.select(*t.key).distinct()
+        live = lambda df: df.filter(dml.is_live()) if t.versioned else df
+        before, after = live(old).join(keys, t.key, "left_semi"), live(new).join(keys, t.key, "left_semi")
+        with self._asked(t) as rename:
+            reach = self._rows(principal, path, found, rename)
+            dml.refuse(before.filter(~reach), f"{path}: the row policy hides a row that would change")
+            check = row_check(t, principal, found.roles, found.bypass_rows, rename)
+            if check is not None:
+                dml.refuse(after.filter(~check), f"{path}: the row policy refuses a row")
+        frozen = [c.name for c in t.columns if c.immutable and c.name not in t.key]
+        if frozen:
+            pairs = before.select(*t.key, *[F.col(c).alias(f"__was_{c}__") for c in frozen]).join(after, t.key)
+            dml.refuse(pairs.filter(reduce(lambda a, b: a | b, [~F.col(c).eqNullSafe(F.col(f"__was_{c}__")) for c in frozen])), f"{path}: an immutable column would change")
+        dml.refuse(dml.missing_values(t, after), f"{path}: a required value is missing")
+        self._references(t, path, after)
+        self._unreferred(path, before, new)
+        self._write(principal, "update", path, new, seen)
+
     def truncate(self, principal: str, path: str) -> None:
         """All rows go, of all versions; row policies have no say, as the privilege is on the whole table."""
         seen = self.store.version()
