@@ -265,3 +265,81 @@ def test_images_in_the_engine(spark, engine):
         engine.apply("self", "hr.people", clerk((1, "Ann", "red", 1, "gone", "2024-04-01", 1)))
     with pytest.raises(GovernanceError):
         engine.apply("boss", "hr.people", frame((1, "Ann", "red", 1, "put", "2024-04-01", 1)).withColumn("size", F.lit(1)))
+
+
+# --- erasure file by file -----------------------------------------------------------------------------------------
+
+
+def _read_by(df):
+    """Rows that the scan of a frame gave, after its footers ruled out row groups."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan
+    stack, total = [plan], 0
+    while stack:
+        node = stack.pop()
+        children = list(plain._each(node.children()))
+        if node.getClass().getSimpleName().endswith("QueryStageExec"):
+            children = [node.plan()]
+        if "FileSourceScan" in node.getClass().getSimpleName():
+            total += node.metrics().apply("numOutputRows").value()
+        stack += children
+    return total
+
+
+@pytest.mark.filterwarnings("ignore")
+def test_an_erasure_rewrites_the_files_that_hold_the_subject(spark, tmp_path):
+    from wardhall.duties import _people
+    from wardhall.engine import SHADOW, Engine
+    from wardhall.operators import erase, expiry
+    from wardhall.sources.work import confs
+
+    e = Engine(spark, str(tmp_path / "s"))
+    e.store.commit({"sales.customer": spark.read.parquet("/root/testdata/sf0.1/customer.parquet").repartition(16, "c_name")})
+    with confs(spark, spark__sql__files__maxPartitionBytes="30000", spark__sql__files__openCostInBytes="30000"):  # a task for each file
+        e.attach(e.build(_people("delete"), str(tmp_path / "o"), "p"))
+    name, t = SHADOW + "sales.customer", e.project.table("sales.customer")
+    before = set(e.store.files(name))
+    files = len(before)
+    assert files >= 16
+    found = e.store.scan(name).filter(erase.subject_predicate(t, e.store.scan(name), ["c_custkey"], ["4711"]))
+    assert "EqualTo(c_custkey,4711)" in found._jdf.queryExecution().executedPlan().toString()
+    assert _read_by(found) < 2500  # of 15000 rows, those of a row group or two
+    hit = expiry.files_with(e.store, name, erase.subject_predicate(t, e.store.scan(name), ["c_custkey"], ["4711"]))
+    assert len(hit) == 1
+    e.erase_apply(["c_custkey"], ["4711"])
+    after = set(e.store.files(name))
+    assert len(before & after) == files - 1 and len(before - after) == 1 and not os.path.exists((before - after).pop().removeprefix("file:"))
+    assert e.raw("boss", "sales.customer").count() == 14999
+    e.erase_apply(["c_custkey"], ["4712"])  # again, of a table that is named by files
+    assert e.raw("boss", "sales.customer").count() == 14998 and not _held(e.store.root, "Customer#000004712")
+    e.detach(confirmed=True)
+    assert e.store.read("sales.customer").count() == 14998
+
+
+def test_a_sweep_drops_days_by_their_folders(spark, tmp_path):
+    from wardhall.model import EXPIRES
+    from wardhall.operators import expiry
+    from wardhall.operators.dml import with_retention
+    from wardhall.queries import project
+    from wardhall.sources.store import Store
+
+    t, s = project().table("ops.events"), Store(spark, str(tmp_path / "s"))
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.expr("if(event_id = 5, null, ts)"))
+    s.commit({"e": with_retention(events, 14, F.col("ts"), F.col("event_id") % 7 == 0)})
+    found = expiry.sweep(s, "e", t, "2024-01-31 12:00:00")
+    days = lambda files: {f.split("__period__=")[1][:10] for f in files}
+    assert max(days(found.dropped)) == "2024-01-29" and days(found.read) == {"2024-01-30", "2024-01-31", "2024-02-01"}
+    assert all("__held__=false" in f for f in found.files)
+    untouched = set(s.files("e")) - set(found.files)
+    s.commit(rewrite={"e": (found.files, found.left)})
+    s.purge(["e"])
+    assert untouched < set(s.files("e")) and not any(os.path.exists(f.removeprefix("file:")) for f in found.files)
+    over = events.filter("ts + interval 14 days <= timestamp_ntz'2024-01-31 12:00:00' and event_id % 7 <> 0").count()
+    assert s.read("e").count() == events.count() - over == events.count() - found.rows
+    assert expiry.sweep(s, "e", t, "2024-01-31 12:00:00").rows == 0
+    t.erase_strategy = "nullify"
+    found = expiry.sweep(s, "e", t, "2024-02-05 00:00:00")
+    assert not found.dropped and found.rows
+    s.commit(rewrite={"e": (found.files, found.left)})
+    assert expiry.sweep(s, "e", t, "2024-02-05 00:00:00").rows == 0 and s.read("e").filter(f"{EXPIRES} is null").count() == 1

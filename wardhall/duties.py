@@ -191,3 +191,31 @@ def image_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine, _ = _engine(spark, sf_dir, p, {"ops.users": events.filter("false").select("user_id", "event_type", "value")})
     engine.apply("boss", "ops.users", events.select("user_id", "event_type", "value", F.when(F.col("event_type") == "error", "gone").otherwise("put").alias("op"), F.col("ts").alias("at"), F.col("event_id").alias("seq")))
     return engine.raw("boss", "ops.users")
+
+
+# --- erasure file by file -------------------------------------------------------------------------------------
+
+
+@query("erase_files", "SELECT c_custkey, CASE WHEN c_custkey <> 42 THEN c_name END AS c_name, CASE WHEN c_custkey <> 42 THEN c_nationkey END AS c_nationkey, CASE WHEN c_custkey <> 42 THEN upper(c_name) END AS shout FROM customer")
+def erase_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A subject is erased by rewriting the files that hold it; the others are the same files as before."""
+    engine, _ = _engine(spark, sf_dir, _people("nullify"), {"sales.customer": read(spark, sf_dir, "customer").repartition(8, "c_name")})
+    engine.erase_apply(["c_custkey"], ["42"], principal="boss")
+    return engine.raw("boss", "sales.customer").select("c_custkey", "c_name", "c_nationkey", "shout")
+
+
+@query("retention_periods", "SELECT event_id, user_id, event_type FROM events WHERE ts + INTERVAL 14 DAY > TIMESTAMP '2024-01-31 12:00:00' OR event_id % 7 = 0")
+def retention_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sweep drops the folders of days that are over and reads the days around its moment; every seventh event is held."""
+    from .operators.dml import with_retention
+    from .operators.expiry import sweep
+    from .queries import project
+    from .sources.store import Store
+    from .sources.work import new_folder
+
+    t, store = project().table("ops.events"), Store(spark, new_folder(spark, "periods"))
+    store.commit({"ops.events": with_retention(read(spark, sf_dir, "events"), 14, F.col("ts"), F.col("event_id") % 7 == 0)})
+    found = sweep(store, "ops.events", t, "2024-01-31 12:00:00")
+    store.commit(rewrite={"ops.events": (found.files, found.left)})
+    store.purge(["ops.events"])
+    return store.read("ops.events").select("event_id", "user_id", "event_type")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .functions.masks import masked
 from .functions.policies import related, row_check, row_filter
 from .model import AccessDenied, GovernanceError, Project, Schema, Table
-from .operators import audit, discover, dml, erase, images, references, reshape
+from .operators import audit, discover, dml, erase, expiry, images, references, reshape
 from .operators.diff import Change, diff
 from .plans import plain
 from .plans.access import Access, access, membership
@@ -155,7 +155,7 @@ class Engine:
         levels = audit.merged_levels(self.store.state().get("audit", []), project.database.audit_logged if project.database.audit_enabled else [])
         state = {"specification": spec.dumps(project), "build_id": 1, "audit": levels, "audit_before": self.store.state().get("audit", []), "public_before": {n: manifest["tables"][n] for n in drop}}
         append |= self._entries(project, principal, "attach", [f"{s.name}.{t.name}" for s, t in project.tables()])
-        self.store.commit(replace, append, register, drop, state, expected=seen)
+        self._commit(replace, append, register, drop, state, expected=seen, project=project)
         return 1
 
     def _attach_migration(self, project: Project, about: dict, principal: str) -> int:
@@ -188,7 +188,7 @@ class Engine:
         append[meta.PREFIX + "migrations"] = meta.frame(self.spark, "migrations", [(build, *c) for c in about["changes"]])
         state = {"specification": spec.dumps(project), "build_id": build, "audit": audit.merged_levels(self.store.state().get("audit", []), project.database.audit_logged if project.database.audit_enabled else [])}
         append |= self._entries(project, principal, "migrate", list(new))
-        self.store.commit(replace, append, drop=drop, state=state, expected=seen)
+        self._commit(replace, append, drop=drop, state=state, expected=seen, project=project)
         return build
 
     def detach(self, history: str | None = None, confirmed: bool = False, principal: str | None = None) -> None:
@@ -301,7 +301,12 @@ class Engine:
         append = dict(more or {})
         if audit.audited(self.project, path, action):
             append[audit.LOG] = audit.entry(self.spark, self.clock(), principal, action, path)
-        self.store.commit({SHADOW + path: new}, append, expected=expected)
+        self._commit({SHADOW + path: new}, append, expected=expected)
+
+    def _commit(self, *args: object, project: Project | None = None, **more: object) -> int:
+        """A commit of the store, which keeps Bloom filters of subject identifiers in the files that it writes."""
+        self.store.bloom = {f"{SHADOW}{s.name}.{t.name}": t.identifiers for s, t in (project or self.project).tables() if t.identifiers}
+        return self.store.commit(*args, **more)
 
     def _worked_out(self, principal: str, path: str, found: Access, exprs: dict[str, Col | str]) -> DataFrame:
         """Stored rows with the values of callers' expressions under the given names.
@@ -366,7 +371,7 @@ class Engine:
         append = {SHADOW + path: new}
         if audit.audited(self.project, path, "insert"):
             append[audit.LOG] = audit.entry(self.spark, self.clock(), principal, "insert", path)
-        self.store.commit(append=append, expected=seen)  # old folders stay as they are
+        self._commit(append=append, expected=seen)  # old folders stay as they are
 
     def _references(self, t: Table, path: str, new: DataFrame) -> None:
         for fk in t.foreign_keys:
@@ -470,22 +475,30 @@ class Engine:
         seen, project, now = self.store.version(), self.project, self.clock()
         counts = {f"{r['schema_name']}.{r['table_name']}": r for r in self.erase_check(columns, values).collect()}
         counts = [counts[p] for p in references.children_first(project, list(counts))]
-        replace, log = {}, []
+        rewrite, log = {}, []
         for r in counts:
             path = f"{r['schema_name']}.{r['table_name']}"
             t = project.table(path)
             df = self._raw(path)
             if r["rows_matched"]:
-                replace[SHADOW + path] = erase.erased(t, df, erase.subject_match(t, df, columns, values))
+                files = expiry.files_with(self.store, SHADOW + path, erase.subject_predicate(t, df, columns, values))
+                some = self.store.rows_of(SHADOW + path, files)
+                rewrite[SHADOW + path] = (files, erase.erased(t, some, erase.subject_match(t, some, columns, values)))
             log.append((self.build_id, now, r["schema_name"], r["table_name"], columns, values, r["erase_strategy"], r["rows_matched"], False))
-        for full, new in replace.items():  # as all tables are afterwards
+
+        def later(path: str) -> DataFrame:
+            """A table as it is afterwards."""
+            df, t = self._raw(path), project.table(path)
+            return erase.erased(t, df, erase.subject_match(t, df, columns, values)) if SHADOW + path in rewrite else df
+
+        for full in rewrite:
             path = full.removeprefix(SHADOW)
             df, t = self._raw(path), project.table(path)
-            self._unreferred(path, df.filter(erase.subject_match(t, df, columns, values)), new, lambda p: replace.get(SHADOW + p, self._raw(p)))
+            self._unreferred(path, df.filter(erase.subject_match(t, df, columns, values)), later(path), later)
         if log:
             entries = self._entries(project, principal, "erase", [f"{r['schema_name']}.{r['table_name']}" for r in counts])
-            self.store.commit(replace, {meta.PREFIX + "erasures": meta.frame(self.spark, "erasures", log), **entries}, expected=seen)
-            self._purge(replace)
+            self._commit(append={meta.PREFIX + "erasures": meta.frame(self.spark, "erasures", log), **entries}, expected=seen, rewrite=rewrite)
+            self._purge(rewrite)
         return [{"schema_name": r["schema_name"], "table_name": r["table_name"], "erase_strategy": r["erase_strategy"], "rows_affected": r["rows_matched"]} for r in counts]
 
     def _purge(self, names: Iterable[str]) -> list[str]:
@@ -497,20 +510,20 @@ class Engine:
         principal = self._manager(principal)
         seen, project = self.store.version(), self.project
         now = as_of or self.clock()
-        replace, log, out = {}, [], []
+        rewrite, log, out = {}, [], []
         for s, t in project.tables():
             if not t.retention_days:
                 continue
-            df = self._raw(f"{s.name}.{t.name}")
-            n = df.filter(erase.expired(df, now)).count()
-            if n:
-                replace[SHADOW + f"{s.name}.{t.name}"] = erase.swept(t, df, now)
-                log.append((self.build_id, now, s.name, t.name, [], [], t.erase_strategy, n, True))
-                out.append({"schema_name": s.name, "table_name": t.name, "erase_strategy": t.erase_strategy, "rows_affected": n})
+            full = SHADOW + f"{s.name}.{t.name}"
+            found = expiry.sweep(self.store, full, t, now)
+            if found.rows:
+                rewrite[full] = (found.files, found.left)
+                log.append((self.build_id, now, s.name, t.name, [], [], t.erase_strategy, found.rows, True))
+                out.append({"schema_name": s.name, "table_name": t.name, "erase_strategy": t.erase_strategy, "rows_affected": found.rows})
         if log:
             entries = self._entries(project, principal, "sweep", [f"{r['schema_name']}.{r['table_name']}" for r in out])
-            self.store.commit(replace, {meta.PREFIX + "erasures": meta.frame(self.spark, "erasures", log), **entries}, expected=seen)
-            self._purge(replace)
+            self._commit(append={meta.PREFIX + "erasures": meta.frame(self.spark, "erasures", log), **entries}, expected=seen, rewrite=rewrite)
+            self._purge(rewrite)
         return out
 
     # -- discovery ---------------------------------------------------------------------------------------------

@@ -21,10 +21,16 @@ def subject_tables(project: Project) -> list[tuple[Schema, Table]]:
 
 def subject_match(table: Table, df: DataFrame, columns: list[str], values: list[str]) -> Col | None:
     """Rows of a subject: every supplied column that is an identifier of this table agrees; None if none is."""
+    found = subject_predicate(table, df, columns, values)
+    return None if found is None else F.coalesce(found, F.lit(False))
+
+
+def subject_predicate(table: Table, df: DataFrame, columns: list[str], values: list[str]) -> Col | None:
+    """The same in a form that reaches the scan; null where a compared value is null."""
     if len(columns) != len(values):
         raise GovernanceError("as many values as columns are needed")
     parts = [F.col(c) == F.lit(v).try_cast(df.schema[c].dataType) for c, v in zip(columns, values, strict=True) if c in table.identifiers]
-    return F.coalesce(reduce(lambda a, b: a & b, parts), F.lit(False)) if parts else None
+    return reduce(lambda a, b: a & b, parts) if parts else None
 
 
 def erase_check(project: Project, read, columns: list[str], values: list[str]) -> DataFrame:
