@@ -219,3 +219,26 @@ def retention_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.commit(rewrite={"ops.events": (found.files, found.left)})
     store.purge(["ops.events"])
     return store.read("ops.events").select("event_id", "user_id", "event_type")
+
+
+@query(
+    "retention_timers",
+    """WITH w AS (SELECT max(ts) AS now FROM events)
+SELECT event_id FROM events, w WHERE epoch_ms(ts + INTERVAL 5 DAY) <= epoch_ms(now) AND (event_id % 11 <> 0 OR event_id % 22 = 0)""",
+)
+def retention_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events expire five days after their time, by timers of a stream in three batches; every eleventh is held from the second on, and half of those are released in the third."""
+    from .sources.work import new_folder
+    from .streaming.timers import HOLD, RELEASE, ROW, expiring, run_to_end
+
+    work, events = new_folder(spark, "timers"), read(spark, sf_dir, "events")
+    at = F.col("ts").cast("timestamp")
+    third = F.least(F.lit(2), F.floor((F.dayofmonth("ts") - 1) / 10))
+    rows = events.select(F.col("event_id").alias("key"), F.lit(ROW).alias("kind"), at.alias("at"), F.unix_millis(at + F.expr("INTERVAL 5 DAYS")).alias("expires_ms"), third.alias("batch"))
+    sent = lambda batch, kind, every: events.filter(f"event_id % {every} = 0").select("event_id", F.lit(kind), F.lit(f"2024-01-{10 * batch + 5}").cast("timestamp"), F.lit(None).cast("long"), F.lit(batch).cast("long"))
+    whole = rows.union(sent(1, HOLD, 11)).union(sent(2, RELEASE, 22))
+    for batch in range(3):
+        whole.filter(f"batch = {batch}").drop("batch").coalesce(1).write.parquet(f"{work}/in/{batch}")
+    messages = spark.readStream.schema("key long, kind string, at timestamp, expires_ms long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{work}/in")
+    run_to_end(expiring(messages), f"{work}/out", f"{work}/checkpoint")
+    return spark.read.schema("key long, expired_at long").parquet(f"{work}/out").select(F.col("key").alias("event_id"))
