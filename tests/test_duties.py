@@ -343,3 +343,33 @@ def test_a_sweep_drops_days_by_their_folders(spark, tmp_path):
     assert not found.dropped and found.rows
     s.commit(rewrite={"e": (found.files, found.left)})
     assert expiry.sweep(s, "e", t, "2024-02-05 00:00:00").rows == 0 and s.read("e").filter(f"{EXPIRES} is null").count() == 1
+
+
+# --- the access log -----------------------------------------------------------------------------------------------
+
+
+@pytest.mark.filterwarnings("ignore")
+def test_reads_are_logged_when_rows_are_read(spark, engine):
+    from wardhall.operators.audit import LOG
+
+    log = lambda: sorted((r["principal"], r["row_count"]) for r in engine.store.read(LOG).filter("action = 'select'").collect()) if engine.log_reads() >= 0 and _logged(engine) else []
+    seen = engine.table("boss", "hr.people")
+    engine.sql("boss", "SELECT * FROM hr_people")
+    assert log() == []
+    plan = seen.filter("id > 1")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(id,1)" in plan  # without a count, predicates reach the scan
+    seen.filter("id > 1").count()
+    with pytest.raises(Exception):  # noqa: B017, PT011
+        seen.select(F.raise_error(F.lit("broken"))).collect()
+    assert log() == [("boss", None)]
+    engine.count_reads = True
+    engine.table("clerk", "hr.people").filter("id = 3").collect()
+    engine.sql("clerk", "SELECT id FROM hr_people WHERE id = 3").collect()
+    engine.table("boss", "hr.notes").collect()  # not audited
+    assert log() == [("boss", None), ("clerk", 1), ("clerk", 2)]
+    assert log() == [("boss", None), ("clerk", 1), ("clerk", 2)]
+    engine._reads.close()
+
+
+def _logged(engine):
+    return os.path.isdir(f"{engine.store.root}/records")

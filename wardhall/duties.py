@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Engine
+from .operators.audit import LOG
 from .model import Column, Database, ForeignKey, Index, Project, Role, RowPolicy, Schema, SchemaGrant, Table, TableGrant  # noqa: F401
 from .queries import query, read
 from .scenarios import _engine, _shop, _tried
@@ -34,6 +35,25 @@ def sql_shadow_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.sql("clerk", "WITH seen AS (SELECT s_suppkey, s_name, s_nationkey FROM sales_supplier) SELECT * FROM seen")
 
 
+@query(
+    "audit_reads",
+    """SELECT 'boss' AS principal, count(*) AS rows_read FROM supplier UNION ALL SELECT 'boss', count(*) FROM supplier
+UNION ALL SELECT 'clerk', count(*) FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT 'clerk', count(DISTINCT s_nationkey) FROM supplier""",
+)
+def audit_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An entry for each reading with its rows: a frame read twice, two queries, and none for plans that never run."""
+    engine, _ = _engine(spark, sf_dir, _shop())
+    engine.count_reads = True
+    seen = engine.table("boss", "sales.supplier")
+    seen.filter("s_suppkey > 3").count()
+    seen.groupBy("s_nationkey").count().collect()
+    engine.table("clerk", "sales.supplier").filter("s_suppkey = 1")
+    engine.sql("clerk", "SELECT * FROM sales_supplier")
+    engine.sql("clerk", "SELECT s_suppkey FROM sales_supplier WHERE s_suppkey % 3 = 0").collect()
+    engine.sql("clerk", "SELECT s_nationkey, count(*) AS n FROM sales_supplier GROUP BY s_nationkey").collect()
+    return engine.store.read(LOG).filter("action = 'select'").select("principal", F.col("row_count").alias("rows_read"))
+
+
 # --- erasure --------------------------------------------------------------------------------------------------
 
 

@@ -39,8 +39,11 @@ def _now() -> dt.datetime:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, hmac_key: str | None = None, clock: Clock = _now):
-        self.spark, self.store, self._key, self.clock = spark, Store(spark, root), hmac_key, clock
+    def __init__(self, spark: SparkSession, root: str, hmac_key: str | None = None, clock: Clock = _now, count_reads: bool = False):
+        """``count_reads`` has reads of audited tables logged with their rows; callers' predicates then stay above the count."""
+        self.spark, self.store, self._key, self.clock, self.count_reads = spark, Store(spark, root), hmac_key, clock, count_reads
+        self._reads: audit.Reads | None = None
+        self.store.before_reading[audit.LOG] = self.log_reads
 
     # -- state -------------------------------------------------------------------------------------------------
     @property
@@ -238,10 +241,25 @@ class Engine:
 
     # -- reading -----------------------------------------------------------------------------------------------
     def table(self, principal: str, path: str, current: bool = False, columns: list[str] | None = None) -> DataFrame:
-        """What a principal sees of a table."""
+        """What a principal sees of a table.  If the table is audited, the log has an entry each time that rows are read."""
         out = governed(self.project, principal, path, self._raw(path), current, self._key, columns, self._raw)
-        self._log(principal, "select", path, out.columns)
-        return out
+        return self._watched(out, self.count_reads, principal, [path], out.columns)
+
+    def _watched(self, df: DataFrame, counted: bool, principal: str, paths: list[str], columns: list[str] | None = None) -> DataFrame:
+        """A frame whose readings are logged for those of the tables that are audited."""
+        some = [p for p in paths if audit.audited(self.project, p, "select")]
+        if not some:
+            return df
+        self._reads = self._reads or audit.Reads(self.spark)
+        return self._reads.observed(df, counted, principal=principal, paths=some, columns=columns)
+
+    def log_reads(self) -> int:
+        """Puts the readings that have ended since into the access log; returns their number.  Whoever reads the log gets it so."""
+        found = self._reads.taken() if self._reads else []
+        entries = [audit.entry(self.spark, self.clock(), about["principal"], "select", p, about["columns"], rows) for about, rows in found for p in about["paths"]]
+        if entries:
+            self.store.record(audit.LOG, reduce(DataFrame.unionByName, entries).coalesce(1))
+        return len(entries)
 
     def raw(self, principal: str, path: str) -> DataFrame:
         """The stored rows, for the owner only."""
@@ -252,8 +270,8 @@ class Engine:
     def sql(self, principal: str, text: str) -> DataFrame:
         """One query over the tables that a principal sees, as views ``schema_table`` and ``schema_table_current``.
 
-        The views live in a session of their own; the text may only read them, with functions of values alone.  The tables
-        that it names are logged.
+        The views live in a session of their own; the text may only read them, with functions of values alone.  Audited
+        tables that it names are logged, each time that its result is read, with the rows of the result.
         """
         session = self.spark.newSession()
         project = self.project
@@ -272,13 +290,7 @@ class Engine:
             except GovernanceError:
                 continue  # not granted: no view
         out, read = plain.query(session, text)
-        for path in sorted({paths[n] for n in read}):
-            self._log(principal, "select", path)
-        return out
-
-    def _log(self, principal: str, action: str, path: str, columns: list[str] | None = None) -> None:
-        if audit.audited(self.project, path, action):
-            self.store.record(audit.LOG, audit.entry(self.spark, self.clock(), principal, action, path, columns))
+        return self._watched(out, True, principal, sorted({paths[n] for n in read}))
 
     def _manager(self, principal: str | None, project: Project | None = None) -> str:
         """Who acts on the whole store: the owner, its members, or an administrator; without a name, the owner."""

@@ -348,8 +348,9 @@ def audit_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _shop()
     p.database.audit_logged = ["read", "write", "ddl"]
     engine, _ = _engine(spark, sf_dir, p)
-    engine.sql("clerk", "SELECT count(*) AS n FROM sales_supplier")
-    engine.table("boss", "sales.supplier")
+    engine.sql("clerk", "SELECT count(*) AS n FROM sales_supplier").collect()
+    engine.table("boss", "sales.supplier").count()
+    engine.table("clerk", "sales.supplier")  # never read, so not logged
     engine.update("clerk", "sales.supplier", "s_suppkey = 1", {"s_nationkey": "1"})
     engine.erase_apply(["s_suppkey"], ["2"])
     return engine.store.read(LOG).select("principal", "action", "level", "table_name")
