@@ -371,5 +371,22 @@ def test_reads_are_logged_when_rows_are_read(spark, engine):
     engine._reads.close()
 
 
+@pytest.mark.filterwarnings("ignore")
+def test_the_audit_role_reads_the_log(spark, tmp_path):
+    from wardhall.engine import Engine
+    from wardhall.model import Role
+
+    e = Engine(spark, str(tmp_path / "s"))
+    e.store.commit({"hr.people": spark.createDataFrame([(1, "a", "b", 2)], "id long, name string, team string, salary int"), "hr.notes": spark.createDataFrame([], "note long, person long, body string")})
+    p = shop()
+    p.roles += [Role("audit", on=p.role("self").on), Role("eve", can_login=True, member_of=["audit"])]
+    e.attach(e.build(p, str(tmp_path / "o"), "p"))
+    e.table("boss", "hr.people").count()
+    assert [r["action"] for r in e.access_log("eve").collect()] == ["select"]
+    assert sorted(r["action"] for r in e.access_log("boss").collect()) == ["audit", "select"]
+    with pytest.raises(AccessDenied):
+        e.access_log("clerk")
+
+
 def _logged(engine):
     return os.path.isdir(f"{engine.store.root}/records")

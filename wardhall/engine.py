@@ -253,6 +253,14 @@ class Engine:
         self._reads = self._reads or audit.Reads(self.spark)
         return self._reads.observed(df, counted, principal=principal, paths=some, columns=columns)
 
+    def access_log(self, principal: str) -> DataFrame:
+        """The access log, for the owner, administrators and members of the role ``audit``; looking at it is logged too."""
+        if not any(r.name == audit.ROLE for r in membership(self.project, principal)):
+            self._manager(principal)
+        out = self.store.read(audit.LOG)
+        self.store.record(audit.LOG, audit.entry(self.spark, self.clock(), principal, "audit", audit.LOG))
+        return out
+
     def log_reads(self) -> int:
         """Puts the readings that have ended since into the access log; returns their number.  Whoever reads the log gets it so."""
         found = self._reads.taken() if self._reads else []

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..model import AUDIT_LEVELS, Project
 
-LOG = "__wardhall__.access_log"
+LOG, ROLE = "__wardhall__.access_log", "audit"
 SCHEMA = T.StructType([T.StructField(n, t) for n, t in (("at", T.TimestampType()), ("principal", T.StringType()), ("action", T.StringType()), ("level", T.StringType()), ("table_name", T.StringType()), ("columns", T.ArrayType(T.StringType())), ("row_count", T.LongType()))])
 _LEVEL = {"select": "read", "insert": "write", "update": "write", "delete": "write", "truncate": "write", "erase": "write", "sweep": "write", "attach": "ddl", "migrate": "ddl", "detach": "ddl"}
 

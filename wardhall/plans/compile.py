@@ -39,8 +39,10 @@ def governed(project: Project, principal: str, path: str, raw: DataFrame, curren
     with related(project, table, raw.sparkSession, read or _nowhere) as rename:
         rows = row_filter(table, principal, found.roles, found.bypass_rows, rename)
         df = raw if rows is None else raw.filter(rows)
-    if table.versioned:
-        df = live(df) if current else df.filter(F.col(VALID_FROM) < F.col(VALID_TO))  # what has no length says that a row was gone
+    if current and table.versioned:
+        df = live(df)
+    elif table.versioned and VALID_TO in df.columns:  # a version of no length says that a row was gone
+        df = df.filter(F.col(VALID_FROM) < F.col(VALID_TO))
     if rows is not None and table.rls_security_barrier:
         df = barrier(df)
     return df.select(*[masked(F.col(f"`{c.name}`"), c.masking_strategy, c.mask_config, key).alias(c.name) for c in shown])

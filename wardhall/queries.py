@@ -151,7 +151,7 @@ def governed_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("governed_sensitive", f"SELECT c_custkey, {_NAME} AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_nationkey >= 20 OR c_mktsegment = 'BUILDING'")
-def rls_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+def governed_sensitive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _governed(spark, sf_dir, "auditor", "sales.customer")
 
 
@@ -171,7 +171,12 @@ def rls_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _governed(spark, sf_dir, "analyst", "sales.customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
 
 
-QUERIES["rls_or"], ORACLE_SQL["rls_or"] = QUERIES["governed_sensitive"], ORACLE_SQL["governed_sensitive"]
+@query("rls_or", "SELECT c_nationkey, c_mktsegment, count(*) AS n, sum(o_totalprice > 100000)::BIGINT AS dear FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_nationkey >= 20 OR c_mktsegment = 'BUILDING' GROUP BY ALL")
+def rls_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two policies of a role, either of which lets a row through, below a join and an aggregation."""
+    customer, orders = _governed(spark, sf_dir, "auditor", "sales.customer"), _governed(spark, sf_dir, "auditor", "sales.orders")
+    joined = customer.join(orders, F.col("c_custkey") == F.col("o_custkey"))
+    return joined.groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"), F.sum((F.col("o_totalprice") > 100000).cast("long")).alias("dear"))
 
 
 @query("rls_default_deny", "SELECT count(*) AS n FROM customer WHERE false")
