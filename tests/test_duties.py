@@ -94,7 +94,21 @@ def test_failed_commits_leave_no_folder(spark, tmp_path):
     with pytest.raises(Conflict):
         other.commit({"a.t": spark.range(2)})
     assert len(os.listdir(tmp_path / "s" / "tables" / "a.t")) == 1
-    assert s.purge(["a.t"]) == [] and s.read("a.t").count() == 1
+    other._publish = taken
+    seen = s.version()
+    s.commit({"b.t": spark.range(3)})
+    with pytest.raises(Conflict):
+        other.commit({"a.t": spark.range(2)}, expected=seen)
+    with pytest.raises(Conflict):
+        other.commit({"a.t": spark.range(2)}, expected=seen, reads=["b.t"])
+    other.commit({"a.t": spark.range(2)}, expected=seen, reads=[])  # another table's writer doesn't stand in the way
+    with pytest.raises(Conflict):
+        s.commit({"a.t": spark.range(5)}, expected=seen, reads=[])
+    once = []
+    other._publish = lambda m: (once or once.append(s.commit({"b.t": spark.range(4)})), taken(m))[1]
+    v = other.commit({"a.t": spark.range(1)}, expected=s.version(), reads=[])
+    assert v == s.version() and s.read("a.t").count() == 1 and s.read("b.t").count() == 4
+    assert len(s.purge(["a.t"])) == 2 and len(os.listdir(tmp_path / "s" / "tables" / "a.t")) == 1 and s.read("a.t").count() == 1
 
 
 # --- references, policies ---------------------------------------------------------------------------------------
@@ -390,3 +404,27 @@ def test_the_audit_role_reads_the_log(spark, tmp_path):
 
 def _logged(engine):
     return os.path.isdir(f"{engine.store.root}/records")
+
+
+# --- questions at the command line --------------------------------------------------------------------------------
+
+
+@pytest.mark.filterwarnings("ignore")
+def test_questions_at_the_command_line(engine, tmp_path, capsys, monkeypatch):
+    import sys
+
+    from wardhall.cli import main
+
+    model = tmp_path / "model.py"
+    model.write_text("import json, sys\nasked = json.load(sys.stdin)\nprint('SELECT count(*) AS people FROM hr_people;' if 'SELECT' in asked['instructions'] else 'there are three of them')")
+    args = ["ask", "how many?", "--store", engine.store.root, "--principal", "boss", "--model", f"{sys.executable} {model}"]
+    monkeypatch.setattr("builtins.input", lambda _: "n")
+    assert main(args) == 0
+    shown = capsys.readouterr().out
+    assert "SELECT count(*) AS people FROM hr_people" in shown and "|people|" not in shown
+    assert main([*args, "--yes", "--words"]) == 0
+    shown = capsys.readouterr().out
+    assert "|people|" in shown and "|3     |" in shown and "there are three of them" in shown
+    assert main([*args[:-1], f"{sys.executable} -c 1/0"]) == 1
+    model.write_text("print('DROP VIEW hr_people')")
+    assert main([*args, "--yes"]) == 1

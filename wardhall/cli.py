@@ -1,4 +1,4 @@
-"""Command line: validate, build, attach, migrate, detach, diff, inspect, erase, sweep, purge, query, version."""
+"""Command line: validate, build, attach, migrate, detach, diff, inspect, erase, sweep, purge, query, ask, version."""
 
 from __future__ import annotations
 
@@ -41,9 +41,33 @@ def parser() -> argparse.ArgumentParser:
     add("purge", output=out, yes={"action": "store_true"})
     add("update", store=store)
     add("query", "text", store=store, principal={"required": True}, limit={"type": int, "default": 50})
+    add("ask", "question", store=store, principal={"required": True}, model={"required": True, "help": "a program that reads instructions and a question, as JSON, and prints its answer"}, yes={"action": "store_true"}, words={"action": "store_true"}, limit={"type": int, "default": 50})
     return p
 
 
+def _model(command: str):
+    """A program as the model that writes queries: it gets {"instructions", "question"} and prints the answer."""
+    import json
+    import shlex
+    import subprocess
+
+    from .model import GovernanceError
+
+    def generate(instructions: str, question: str) -> str:
+        done = subprocess.run(shlex.split(command), input=json.dumps({"instructions": instructions, "question": question}), capture_output=True, text=True, check=False)
+        if done.returncode:
+            raise GovernanceError(f"the model ended with {done.returncode}: {done.stderr.strip()[:200]}")
+        return done.stdout
+
+    return generate
+
+
+def _agreed(query: str, yes: bool) -> bool:
+    """Shows the query before it runs; whether it may."""
+    print(query)
+    return yes or input("run this? [y/N] ").strip().lower() in ("y", "yes")
+
+
 def _emit(text: str, path: str | None) -> None:
     if path:
         with open(path, "w", encoding="utf-8") as f:
@@ -116,6 +140,15 @@ def _run(args: argparse.Namespace) -> int:
             print("metadata is up to date")
         elif args.command == "query":
             engine.sql(args.principal, args.text).show(args.limit, truncate=False)
+        elif args.command == "ask":
+            from . import nlq
+
+            generate = _model(args.model)
+            query, rows = nlq.ask(engine, args.principal, args.question, generate)
+            if _agreed(query, args.yes):
+                rows.show(args.limit, truncate=False)
+                if args.words:
+                    print(nlq.interpret(args.question, rows, generate, args.limit))
     return 0
 
 

@@ -321,7 +321,15 @@ class Engine:
         append = dict(more or {})
         if audit.audited(self.project, path, action):
             append[audit.LOG] = audit.entry(self.spark, self.clock(), principal, action, path)
-        self._commit({SHADOW + path: new}, append, expected=expected)
+        self._commit({SHADOW + path: new}, append, expected=expected, reads=self._neighbours(path))
+
+    def _neighbours(self, path: str) -> list[str]:
+        """Tables that checks of a table's rows read: those on either side of a reference, and all if a policy may ask any."""
+        project, t = self.project, self._place(path)[1]
+        near = {path, *(f"{fk.referenced_schema}.{fk.referenced_table}" for fk in t.foreign_keys), *(c for c, _ in references.referencing(project, path))}
+        every = {f"{s.name}.{x.name}" for s, x in project.tables()}
+        asks = t.rls_enabled and any(p in text for p in every for r in t.rls_policies for text in (r.using_expr, r.check))
+        return [SHADOW + p for p in (every if asks else near)]
 
     def _commit(self, *args: object, project: Project | None = None, **more: object) -> int:
         """A commit of the store, which keeps Bloom filters of subject identifiers in the files that it writes."""
@@ -391,7 +399,7 @@ class Engine:
         append = {SHADOW + path: new}
         if audit.audited(self.project, path, "insert"):
             append[audit.LOG] = audit.entry(self.spark, self.clock(), principal, "insert", path)
-        self._commit(append=append, expected=seen)  # old folders stay as they are
+        self._commit(append=append, expected=seen, reads=self._neighbours(path))  # old folders stay as they are
 
     def _references(self, t: Table, path: str, new: DataFrame) -> None:
         for fk in t.foreign_keys:
