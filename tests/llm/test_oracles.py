@@ -23,7 +23,7 @@ def odd(spark, tmp_path):
 
 def compare(spark, folder, df, sql):
     c = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark") if folder.startswith("/tmp") else ("documents", "benchmark", "embeddings"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet{'/*.parquet' if folder.startswith('/tmp') else ''}')")
     columns = sorted(df.columns)
     want = sorted(map(tuple, c.sql(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall()))
@@ -47,5 +47,19 @@ def test_odd_rows_decontaminated(spark, odd):
     compare(spark, odd, decontaminate(docs, bench), OP4_SQL)
 
 
+VECTORS = [(0, [0.5] * 64, 1), (50, [0.25] * 64, 1), (7, [0.26] * 64, 1), (8, [0.2] * 64, 2), (9, [0.2] * 64, 2), (10, [0.11] * 64, 3), (11, None, 1), (12, [None] * 64, 1), (13, [float("nan")] * 64, 1), (14, [0.1] * 64, None), (100, [-0.5] * 64, 2), (150, [float("inf")] * 64, 2)]
+
+
+@pytest.mark.parametrize("name", ["op11_topk_search", "op12_hard_negatives", "op13_centroid_clustering"])
+def test_odd_vectors(spark, tmp_path, name):
+    spark.createDataFrame(VECTORS, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    df = QUERIES[name](spark, str(tmp_path))
+    columns = sorted(df.columns)
+    want = sorted(map(tuple, c.sql(f"SELECT {', '.join(columns)} FROM ({ORACLE_SQL[name]})").fetchall()))
+    assert want and sorted(map(tuple, df.select(*columns).collect())) == want
+
+
 def test_odd_rows_cut(spark, odd):
     compare(spark, odd, op5_suffix_dedup(spark, odd), OP5_SQL)
