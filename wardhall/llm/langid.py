@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chars import cut, decoded, spaced_code_points
-from .frames import ROWS, by_batch, fit_sample, held_out, importable, keys_and_text, table
+from .frames import ROWS, by_batch, fit_sample, held_out, keys_and_text, small_batches, table
 from .words import _mix
 
 UNDETERMINED = "und"
@@ -178,7 +178,7 @@ def keep_identified(docs: DataFrame, model: LanguageFilters, text: str = "text",
     of that language's own texts.  Mixed languages stay.  Where no language was learned, every text with a letter stays.
     Repeated rows are kept or rejected alike, an empty table gives no rows, and columns may have any name.
     """
-    importable(docs.sparkSession)
+    small_batches(docs)
 
     @F.pandas_udf("boolean")
     def known(texts: pd.Series) -> pd.Series:
