@@ -54,7 +54,7 @@ def test_an_empty_catalog(spark):
 
 @pytest.mark.filterwarnings("ignore")
 def test_what_is_declared_outlives_a_build(spark, tmp_path):
-    e = Engine(spark, str(tmp_path / "s"))
+    e = Engine(spark, str(tmp_path / "s"), principal="boss")
     e.store.commit({"sales.supplier": spark.createDataFrame([(1, "a", 3, 2.0, "x")], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double, more string")})
     assert inspect_store(e.store).table("sales.supplier").key == ["s_suppkey"] and inspect_store(e.store).roles[0].name == "owner"
     known = _shop()
@@ -75,7 +75,7 @@ def test_what_is_declared_outlives_a_build(spark, tmp_path):
 
 @pytest.mark.filterwarnings("ignore")
 def test_truncation_needs_the_privilege(spark, tmp_path):
-    e = Engine(spark, str(tmp_path / "s"))
+    e = Engine(spark, str(tmp_path / "s"), principal="boss")
     e.store.commit({"sales.supplier": spark.createDataFrame([(1, "a", 3, 2.0)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double")})
     e.attach(e.build(_shop(), str(tmp_path / "o"), "p"))
     with pytest.raises(GovernanceError):
@@ -85,7 +85,7 @@ def test_truncation_needs_the_privilege(spark, tmp_path):
 
 
 def test_a_schedule_is_kept_not_run(spark, tmp_path):
-    e = Engine(spark, str(tmp_path / "s"))
+    e = Engine(spark, str(tmp_path / "s"), principal="boss")
     p = _shop()
     p.table("sales.supplier").retention_days, p.database.retention_schedule = 3, "0 3 * * *"
     with warnings.catch_warnings(record=True) as seen:

@@ -142,7 +142,7 @@ def test_dependants_through_a_cycle(spark):
 def test_referred_rows_stay(spark, tmp_path, versioned):
     from wardhall.engine import Engine
 
-    e = Engine(spark, str(tmp_path / "s"))
+    e = Engine(spark, str(tmp_path / "s"), principal="boss")
     e.store.commit({"hr.people": spark.createDataFrame([(1, None, "a"), (2, 1, "b"), (3, None, "c"), (4, 4, "d")], "id long, chief long, name string"), "hr.pets": spark.createDataFrame([(1, 3, None)], "pet long, owner long, vet long")})
     e.attach(e.build(_people_project(versioned), str(tmp_path / "o"), "p")) if not versioned else None
     if versioned:
@@ -187,7 +187,7 @@ def test_writes_behind_a_barrier(spark, tmp_path):
     from wardhall.duties import _ordered
     from wardhall.engine import Engine
 
-    e = Engine(spark, str(tmp_path / "s"))
+    e = Engine(spark, str(tmp_path / "s"), principal="boss")
     p = _ordered("o_orderstatus = 'O'", True)
     p.schemas[0].tables = [p.table("sales.orders")]
     for r in p.roles:
@@ -203,7 +203,7 @@ def test_policies_over_other_tables_in_the_engine(spark, tmp_path):
     from wardhall.duties import _ordered
     from wardhall.engine import Engine
 
-    e = Engine(spark, str(tmp_path / "s"))
+    e = Engine(spark, str(tmp_path / "s"), principal="boss")
     p = _ordered("o_custkey IN (SELECT c_custkey FROM sales.customer WHERE c_nationkey = 1) ;; o_orderpriority = 'sales.customer' ;; o_orderstatus = current_principal()")
     p.table("sales.lineitem").foreign_keys = []
     e.store.commit({
@@ -308,7 +308,7 @@ def test_an_erasure_rewrites_the_files_that_hold_the_subject(spark, tmp_path):
     from wardhall.operators import erase, expiry
     from wardhall.sources.work import confs
 
-    e = Engine(spark, str(tmp_path / "s"))
+    e = Engine(spark, str(tmp_path / "s"), principal="boss")
     e.store.commit({"sales.customer": spark.read.parquet("/root/testdata/sf0.1/customer.parquet").repartition(16, "c_name")})
     with confs(spark, spark__sql__files__maxPartitionBytes="30000", spark__sql__files__openCostInBytes="30000"):  # a task for each file
         e.attach(e.build(_people("delete"), str(tmp_path / "o"), "p"))
@@ -390,7 +390,7 @@ def test_the_audit_role_reads_the_log(spark, tmp_path):
     from wardhall.engine import Engine
     from wardhall.model import Role
 
-    e = Engine(spark, str(tmp_path / "s"))
+    e = Engine(spark, str(tmp_path / "s"), principal="boss")
     e.store.commit({"hr.people": spark.createDataFrame([(1, "a", "b", 2)], "id long, name string, team string, salary int"), "hr.notes": spark.createDataFrame([], "note long, person long, body string")})
     p = shop()
     p.roles += [Role("audit", on=p.role("self").on), Role("eve", can_login=True, member_of=["audit"])]
@@ -428,3 +428,12 @@ def test_questions_at_the_command_line(engine, tmp_path, capsys, monkeypatch):
     assert main([*args[:-1], f"{sys.executable} -c 1/0"]) == 1
     model.write_text("print('DROP VIEW hr_people')")
     assert main([*args, "--yes"]) == 1
+
+
+@pytest.mark.filterwarnings("ignore")
+def test_whoever_acts_on_the_store_is_named(engine):
+    engine.principal = None
+    for call in (lambda: engine.erase_apply(["id"], ["1"]), lambda: engine.sweep(), lambda: engine.detach("drop", confirmed=True)):
+        with pytest.raises(AccessDenied):
+            call()
+    assert engine.erase_apply(["colour"], ["1"], principal="boss") == []

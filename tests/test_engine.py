@@ -39,7 +39,7 @@ def shop(**kw):
 @pytest.fixture()
 def engine(spark, tmp_path):
     now = [dt.datetime(2024, 1, 1)]
-    e = Engine(spark, str(tmp_path / "store"), clock=lambda: now[0])
+    e = Engine(spark, str(tmp_path / "store"), clock=lambda: now[0], principal="boss")
     e.now = now
     people = spark.createDataFrame([(1, "Ann", "red", 10), (2, "Bob", "secret", 20), (3, "clerk", "blue", 30)], "id long, name string, team string, salary int")
     notes = spark.createDataFrame([(1, 1, "hello"), (2, 2, "you")], "note long, person long, body string")
@@ -163,7 +163,7 @@ def test_migrate_and_detach(spark, engine):
 
 
 def test_guards(spark, tmp_path):
-    e = Engine(spark, str(tmp_path / "s"))
+    e = Engine(spark, str(tmp_path / "s"), principal="boss")
     e.store.commit({"hr.people": spark.createDataFrame([(1, "a", "b", 2)], "id long, name string, team string, salary int")})
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
@@ -243,7 +243,7 @@ def test_reads_by_sql_are_logged_and_take_no_version(engine):
 
 @pytest.mark.filterwarnings("ignore")
 def test_undeclared_columns_and_added_ones(spark, tmp_path):
-    e = Engine(spark, str(tmp_path / "store"))
+    e = Engine(spark, str(tmp_path / "store"), principal="boss")
     people = spark.createDataFrame([(1, "Ann", "red", 10, "kept")], "id long, name string, team string, salary int, undeclared string")
     e.store.commit({"hr.people": people, "hr.notes": spark.createDataFrame([(1, 1, "hello"), (2, 9, "you")], "note long, person long, body string")})
     e.attach(e.build(shop(), str(tmp_path / "out"), "p"))
@@ -316,15 +316,15 @@ def test_command_line(spark, tmp_path, capsys):
         store = ["--store", str(tmp_path / "s")]
         assert main(["inspect", *store]) == 0
         assert main(["build", path, *store, "--output", str(tmp_path / "o")]) == 0
-        assert main(["attach", *store, "--output", str(tmp_path / "o")]) == 0
+        assert main(["attach", *store, "--principal", "boss", "--output", str(tmp_path / "o")]) == 0
         capsys.readouterr()
         assert main(["erase", *store, "--column", "id", "--value", "1", "--check"]) == 0
         assert json.loads(capsys.readouterr().out)[0]["rows_matched"] == 1
         assert main(["erase", *store, "--column", "id", "--value", "1"]) == 1
         assert main(["query", "SELECT id FROM hr_people", *store, "--principal", "boss"]) == 0
         assert main(["update", *store]) == 0
-        assert main(["sweep", *store]) == 0
-        assert main(["detach", *store]) == 1
-        assert main(["detach", *store, "--history", "drop", "--yes"]) == 0
+        assert main(["sweep", *store, "--principal", "boss"]) == 0
+        assert main(["detach", *store, "--principal", "boss"]) == 1
+        assert main(["detach", *store, "--principal", "boss", "--history", "drop", "--yes"]) == 0
     assert main(["purge", "--output", str(tmp_path / "o")]) == 0 and os.path.isdir(tmp_path / "o")
     assert main(["purge", "--output", str(tmp_path / "o"), "--yes"]) == 0 and not os.path.isdir(tmp_path / "o")

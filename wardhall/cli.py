@@ -34,10 +34,10 @@ def parser() -> argparse.ArgumentParser:
     add("inspect", store={"default": None}, jdbc={"default": None}, owner={"default": None}, name={"default": "store"}, output={"default": None})
     for name in ("build", "migrate"):
         add(name, "specification", store=store, profile={"default": "default"}, output=out)
-    add("attach", store=store, profile={"default": "default"}, output=out, artifact={"default": None})
-    add("detach", store=store, history={"choices": ["keep", "drop"], "default": None}, yes={"action": "store_true"})
-    add("erase", store=store, column={"action": "append", "default": []}, value={"action": "append", "default": []}, check={"action": "store_true"}, apply={"action": "store_true"}, output={"default": None})
-    add("sweep", store=store)
+    add("attach", store=store, principal={"required": True}, profile={"default": "default"}, output=out, artifact={"default": None})
+    add("detach", store=store, principal={"required": True}, history={"choices": ["keep", "drop"], "default": None}, yes={"action": "store_true"})
+    add("erase", store=store, principal={"default": None}, column={"action": "append", "default": []}, value={"action": "append", "default": []}, check={"action": "store_true"}, apply={"action": "store_true"}, output={"default": None})
+    add("sweep", store=store, principal={"required": True})
     add("purge", output=out, yes={"action": "store_true"})
     add("update", store=store)
     add("query", "text", store=store, principal={"required": True}, limit={"type": int, "default": 50})
@@ -113,7 +113,7 @@ def _run(args: argparse.Namespace) -> int:
     else:
         from .engine import Engine, result_json
 
-        engine = Engine(_spark(), args.store)
+        engine = Engine(_spark(), args.store, principal=getattr(args, "principal", None))
         if args.command == "inspect":
             from .sources.catalog import inspect_store
 

@@ -39,9 +39,9 @@ def _now() -> dt.datetime:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, hmac_key: str | None = None, clock: Clock = _now, count_reads: bool = False):
-        """``count_reads`` has reads of audited tables logged with their rows; callers' predicates then stay above the count."""
-        self.spark, self.store, self._key, self.clock, self.count_reads = spark, Store(spark, root), hmac_key, clock, count_reads
+    def __init__(self, spark: SparkSession, root: str, hmac_key: str | None = None, clock: Clock = _now, count_reads: bool = False, principal: str | None = None):
+        """``principal`` acts on the whole store where a call names nobody.  ``count_reads`` has reads of audited tables logged with their rows; callers' predicates then stay above the count."""
+        self.spark, self.store, self._key, self.clock, self.count_reads, self.principal = spark, Store(spark, root), hmac_key, clock, count_reads, principal
         self._reads: audit.Reads | None = None
         self.store.before_reading[audit.LOG] = self.log_reads
 
@@ -301,10 +301,13 @@ class Engine:
         return self._watched(out, True, principal, sorted({paths[n] for n in read}))
 
     def _manager(self, principal: str | None, project: Project | None = None) -> str:
-        """Who acts on the whole store: the owner, its members, or an administrator; without a name, the owner."""
+        """Who acts on the whole store: the owner, its members, or an administrator, named in the call or for the engine."""
         project = project or self.project
         owner = project.database.owner or ""
+        principal = principal or self.principal
         if principal is None:
+            raise AccessDenied("name the principal who does this")
+        if principal == owner:
             return owner
         roles = membership(project, principal)
         if not any(r.name == owner or r.can_admin for r in roles):

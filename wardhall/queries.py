@@ -508,7 +508,7 @@ def lifecycle_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     for r in p.roles:
         r.member_of = [m for m in r.member_of if m != "reader"]
         r.on = [SchemaGrant("sales", tables=[TableGrant("customer", update=r.name == "boss")])]
-    engine = Engine(spark, new_folder(spark, "lifecycle"), KEY)
+    engine = Engine(spark, new_folder(spark, "lifecycle"), KEY, principal="boss")
     engine.store.commit({"sales.customer": read(spark, sf_dir, "customer")})
     with warnings.catch_warnings(), tempfile.TemporaryDirectory() as out:
         warnings.simplefilter("ignore")

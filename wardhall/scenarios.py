@@ -312,7 +312,7 @@ def _shop() -> Project:
 
 def _engine(spark: SparkSession, sf_dir: str, p: Project, tables: dict[str, DataFrame] | None = None, known: Project | None = None) -> tuple[Engine, str]:
     """A store of its own with a build attached, in the folder that the cluster shares."""
-    engine = Engine(spark, new_folder(spark, "scenario"), clock=lambda: dt.datetime(2024, 2, 1))
+    engine = Engine(spark, new_folder(spark, "scenario"), clock=lambda: dt.datetime(2024, 2, 1), principal="boss")
     engine.store.commit(tables or {"sales.supplier": read(spark, sf_dir, "supplier")})
     if known:
         declare(engine.store, known)
