@@ -28,6 +28,8 @@ from .vectors import asked, by_length, classes, exact, gathered, packed, unpacke
 SCALE, EVERY, POSITIVES, NEGATIVES, LOW, HIGH = 256, 50, 5, 3, 50, 95
 #: Vectors that the upper levels are fitted on, levels at most, vectors of a block and of a leaf of its own tree, anchors of a block.
 SAMPLE, LEVELS, BLOCK, LEAF, ASKING = 4096, 8, 4096, 128, 512
+#: Components of that sample at most.
+SAMPLED = 1 << 22
 _MOST, _LEAST = np.iinfo(np.int64).max, np.iinfo(np.int64).min
 
 _TREE = "leaf int, salt int, n int, width int, keys binary, firsts binary, gone binary, labels binary, z binary, kind string, order binary, ends binary, points binary, near binary, far binary"
@@ -149,8 +151,8 @@ class Index:
     @staticmethod
     def build(found: DataFrame) -> Index:
         norm = F.aggregate("z", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
-        rows, radius2 = found.agg(F.count("*"), F.max(norm)).first()
-        sample = [r["z"] for r in found.select("h", "z").orderBy("h", "z").limit(SAMPLE).collect()]
+        rows, radius2, longest = found.agg(F.count("*"), F.max(norm), F.max(F.size("z"))).first()
+        sample = [r["z"] for r in found.select("h", "z").orderBy("h", "z").limit(max(1, min(SAMPLE, SAMPLED // max(1, longest or 0)))).collect()]
         width = max(map(len, sample), default=0)
         upper = Upper.fit(np.array([z + [0] * (width - len(z)) for z in sample], np.int64).reshape(len(sample), width), min(LEVELS, max(0, math.ceil(math.log2(max(1, rows) / BLOCK)))), float(radius2 or 0) * (1 + 1e-9))
         spark, small = found.sparkSession, LEAF
