@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Engine
+from .model import Column, Database, ForeignKey, Index, Project, Role, RowPolicy, Schema, SchemaGrant, Table, TableGrant
 from .operators.audit import LOG
-from .model import Column, Database, ForeignKey, Index, Project, Role, RowPolicy, Schema, SchemaGrant, Table, TableGrant  # noqa: F401
 from .queries import query, read
 from .scenarios import _engine, _shop, _tried
 

@@ -81,8 +81,8 @@ def folded(table: Table, old: DataFrame, images: DataFrame, op: str = "op", at:
 
     A versioned table gets the versions of each named key anew: stored versions are images at their beginning, and say at
     their end that the row is gone unless another begins there; new images come after stored ones of the same moment.  A
-    plain table keeps of each named key the image with the greatest (moment, sequence), or nothing if that is gone; its
-    stored row counts only for what puts leave out of the frame's columns, which is nothing: an image is whole.
+    plain table keeps of each named key the image with the greatest (moment, sequence), or nothing if that is gone; it has
+    no moments of its own, so a later batch wins.  An image is whole: what it leaves out is its default, or null.
     Nulls in ``sequence`` come first; a repeated image changes nothing.
     """
     keys = table.key
