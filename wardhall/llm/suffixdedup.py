@@ -41,6 +41,8 @@ _BUCKET_BYTES = 64_000_000
 #: Contexts of one call at most, on average.
 _GROUP_ROWS = 200_000
 _FLUSH, _HELD, _AT_ONCE = 1_000_000, 200_000, 40_000
+#: Bytes of text whose anchors are found at once, few enough for a core's cache.
+_ANCHOR_BYTES = 1 << 17
 
 
 def _slide(a: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
@@ -52,8 +54,23 @@ def _slide(a: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
     return op(a[: len(a) - (width - span)], a[width - span :]) if span < width else a
 
 
+def _counted(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each size, one after the other."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _grams(word: np.ndarray, n: int) -> np.ndarray:
+    """32 bits of each 16-byte gram, from 1; they only choose anchors, so equal ones of different grams do no harm."""
+    h = word[:n] * np.uint64(0x9E3779B97F4A7C15)
+    h += word[8 : 8 + n] * np.uint64(0xC2B2AE3D27D4EB4F)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h >>= np.uint64(32)
+    return np.maximum(h.astype(np.uint32), np.uint32(1))
+
+
 class Anchors:
-    """Anchors of a batch of texts: index of the text, place there, hash."""
+    """Anchors of a batch of texts: index of the text, place there."""
 
     def __init__(self, texts: list[bytes], length: int):
         self.reach = length - _Q
@@ -64,20 +81,18 @@ class Anchors:
         self.pad = length
         n = len(joined) - 2 * length - 16
         self.word = np.ndarray((len(joined) - 7,), dtype="<u8", buffer=joined, strides=(1,))
-        word = self.word[length:]
-        h = _mix(word[:n] * np.uint64(0x9E3779B97F4A7C15) + _mix(word[8 : 8 + n] + np.uint64(_Q)))
-        np.maximum(h, 1, out=h)
+        h = _grams(self.word[length:], n)
         w = self.reach + 1
-        doc = np.repeat(np.arange(len(texts)), self.sizes + 1)[:n]
-        place = np.arange(n) - self.start[doc]
-        least = np.zeros(n + self.reach, dtype=np.uint64)
+        least = np.zeros(n + self.reach, dtype=np.uint32)
         if n >= w:
             m = _slide(h, w, np.minimum)
-            m[place[: len(m)] + length > self.sizes[doc[: len(m)]]] = 0
+            last = np.repeat(self.start + self.sizes, np.minimum(self.sizes + 1, length)) - _counted(np.minimum(self.sizes + 1, length))
+            m[last[last < len(m)]] = 0  # a string from there would leave its text
             least[self.reach : self.reach + len(m)] = m
         most = _slide(least, w, np.maximum)[:n]
-        at = np.flatnonzero((most == h) & (most > 0))
-        self.doc, self.place, self.hash = doc[at], place[at], h[at]
+        at = np.flatnonzero(most == h)  # no gram's hash is 0
+        self.doc = np.searchsorted(self.start, at, "right") - 1
+        self.place = at - self.start[self.doc]
 
     def halves(self, buckets: int) -> list[np.ndarray]:
         """Keys of each anchor with the half after it, and before it; 0 where the text has fewer bytes."""
@@ -121,12 +136,6 @@ def context_hash(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, rows: np.ndarray
     return x
 
 
-def _binary(rows: np.ndarray) -> pa.Array:
-    """Rows of bytes as one Arrow array, without an object for each."""
-    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
-
-
 def _source(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(docs[key].cast("long").alias("doc_id"), F.xxhash64(docs[text], docs[key]).alias("tag"), docs[text].cast("binary").alias("text"))
 
@@ -140,7 +149,7 @@ def _anchored(batch: pa.RecordBatch, length: int) -> Iterator[tuple[int, Anchors
     """Anchors by batch of texts; a row with a null id or text, or too short a text, has none."""
     ids = batch.column("doc_id")
     texts = [t if t is not None and ok and len(t) >= length else b"" for t, ok in zip(batch.column("text").to_pylist(), ids.is_valid().to_pylist(), strict=True)]
-    for first, some in batches(texts):
+    for first, some in batches(texts, _ANCHOR_BYTES):
         yield first, Anchors(some, length)
 
 
@@ -169,8 +178,8 @@ def repeated_keys(source: DataFrame, length: int, buckets: int, bits: int) -> Da
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                h = np.concatenate(held)
+            h = np.concatenate(held) if held else np.zeros(0, dtype=np.uint64)
+            if len(h):
                 h = np.sort(((h >> np.uint64(40)) % np.uint64(buckets) << np.uint64(40)) | (h & _LOW))
                 third = np.zeros(len(h), dtype=bool)
                 third[2:] = h[2:] == h[:-2]
@@ -182,13 +191,14 @@ def repeated_keys(source: DataFrame, length: int, buckets: int, bits: int) -> Da
 
         for batch in _cuts(stream):
             for _, a in _anchored(batch, length):
-                after, before = a.halves(buckets)
-                edge = np.searchsorted(a.doc, np.arange(len(a.sizes) + 1))
-                for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                    if hi > lo:
-                        keys = np.unique(np.concatenate([after[lo:hi], before[lo:hi]]))
-                        held.append(keys[keys > 0])
-                        size += len(keys)
+                keys = np.concatenate(a.halves(buckets))
+                if not len(keys):
+                    continue
+                own = _mix(keys + np.concatenate([a.doc, a.doc]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                order = np.argsort(own)  # a key counts once in a text
+                fresh = order[np.concatenate([[True], own[order[1:]] != own[order[:-1]]])]
+                held.append(keys[fresh][keys[fresh] > 0])
+                size += len(held[-1])
                 if size > _FLUSH:
                     yield from flush()
                     held.clear()
@@ -204,6 +214,23 @@ def repeated_keys(source: DataFrame, length: int, buckets: int, bits: int) -> Da
     return small_batches(source).mapInArrow(run, "bucket int, part binary").groupBy("bucket").applyInPandas(merge, "bucket int, part binary")
 
 
+def _ranks(a: np.ndarray) -> np.ndarray:
+    """Rank of each value, equal for equal ones."""
+    order = np.argsort(a)
+    out = np.empty(len(a), dtype=np.int64)
+    out[order] = np.cumsum(np.concatenate([[0], a[order[1:]] != a[order[:-1]]])) if len(a) else 0
+    return out
+
+
+def _pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """One number that orders by ``first``, then ``second``; neither is negative."""
+    return first * (int(second.max(initial=0)) + 1) + second
+
+
+def _order(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return np.argsort(_pairs(first, second))
+
+
 def refine(group: np.ndarray, rows: np.ndarray, length: int, runs: int = 16) -> np.ndarray:
     """Class of each start of ``length`` bytes in the rows: equal where these bytes, the start and the row's group agree.
 
@@ -217,7 +244,7 @@ def refine(group: np.ndarray, rows: np.ndarray, length: int, runs: int = 16) ->
     flat = np.ascontiguousarray(np.pad(rows, ((0, 0), (0, 8))))
     word = np.ndarray((m, places), dtype=">u8", buffer=flat, strides=(flat.shape[1], 1)).astype(np.uint64).ravel()
     own = (group[:, None] * places + np.arange(places)).ravel()
-    order = np.lexsort((word, own))
+    order = _order(own, _ranks(word))
     word, own = word[order], own[order]
     new = np.concatenate([[True], (word[1:] != word[:-1]) | (own[1:] != own[:-1])])
     head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))  # first rank of the bucket of each rank
@@ -234,7 +261,7 @@ def refine(group: np.ndarray, rows: np.ndarray, length: int, runs: int = 16) ->
         cut = np.unique(np.searchsorted(heads, heads[np.linspace(0, len(todo) - 1, runs + 1).astype(np.int64)]))
         for a, b in zip(cut, [*cut[1:], len(todo)], strict=True):
             ranks, some, bucket = todo[a:b], order[todo[a:b]], heads[a:b]
-            by = np.lexsort((pointer[some + offset], bucket))
+            by = _order(bucket, pointer[some + offset])
             some, later = some[by], pointer[some[by] + offset]
             split = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (later[1:] != later[:-1])])
             order[ranks], new[ranks] = some, split
@@ -303,18 +330,23 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             for cut in range(0, len(which), _HELD):
                 yield side, which[cut : cut + _HELD], keys[which[cut : cut + _HELD]]
 
+    record = np.dtype([("h", "<u8"), ("x", "<u8"), ("lo", "i1"), ("hi", "i1"), ("ctx", "u1", (2 * beyond,)), ("dmin", "<i8"), ("dmax", "<i8")])
+
     def collapsed(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        """One row for each context, with its least and greatest document."""
+        """One record for each context, with its least and greatest document; the records of a bucket are one row."""
         h, x, lo, hi, rows, doc = (np.concatenate(c) for c in zip(*held, strict=True))
         order = np.argsort(x)
         at = np.flatnonzero(np.concatenate([[True], x[order[1:]] != x[order[:-1]]]))
         rest, doc = order[at], doc[order]
-        h, x = h[rest], x[rest]
-        columns = {
-            "bucket": pa.array((h % np.uint64(spread)).astype(np.int32)), "h": pa.array(h.view(np.int64)), "x": pa.array(x.view(np.int64)), "lo": pa.array(lo[rest].astype(np.int8)), "hi": pa.array(hi[rest].astype(np.int8)),
-            "ctx": _binary(rows[rest]), "dmin": pa.array(np.minimum.reduceat(doc, at)), "dmax": pa.array(np.maximum.reduceat(doc, at)),
-        }
-        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        bucket = (h[rest] % np.uint64(spread)).astype(np.int32)
+        by = np.argsort(bucket)
+        out = np.empty(len(rest), dtype=record)
+        for name, column in (("h", h[rest]), ("x", x[rest]), ("lo", lo[rest]), ("hi", hi[rest]), ("ctx", rows[rest]), ("dmin", np.minimum.reduceat(doc, at)), ("dmax", np.maximum.reduceat(doc, at))):
+            out[name] = column[by]
+        edge = np.flatnonzero(np.concatenate([[True], np.diff(bucket[by]) > 0]))
+        ends = np.append(edge, len(out)).astype(np.int32) * record.itemsize
+        parts = pa.Array.from_buffers(pa.binary(), len(edge), [None, pa.py_buffer(ends), pa.py_buffer(out.view(np.uint8))])
+        return pa.RecordBatch.from_arrays([pa.array(bucket[by[edge]]), parts], names=["bucket", "part"])
 
     def contexts(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -332,21 +364,22 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         if held:
             yield collapsed(held)
 
-    def owners(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("h", kind="stable")
-        h = pdf["h"].to_numpy()
+    def owners(found: pa.Table) -> pa.Table:
+        got = np.frombuffer(b"".join(found["part"].to_pylist()), dtype=record)
+        got = got[np.argsort(got["h"])]
+        h = got["h"].view(np.int64)
         edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         cuts = [0, *edge[np.flatnonzero(np.diff(edge // _AT_ONCE)) + 1].tolist(), len(h)]  # whole keys, about so many rows
         out = []
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             if hi > lo:
-                part = pdf.iloc[lo:hi]
-                rows = np.frombuffer(b"".join(part["ctx"]), dtype=np.uint8).reshape(len(part), -1)
-                out.append(pd.DataFrame(first_owners(h[lo:hi], part["x"].to_numpy(), part["lo"].to_numpy().astype(np.int64), part["hi"].to_numpy().astype(np.int64), rows, part["dmin"].to_numpy(), part["dmax"].to_numpy(), length)))
-        return pd.concat(out)
+                some = got[lo:hi]
+                out.append(first_owners(h[lo:hi], some["x"].view(np.int64), some["lo"].astype(np.int64), some["hi"].astype(np.int64), some["ctx"], some["dmin"], some["dmax"], length))
+        return pa.table({f.name: pa.array(np.concatenate([o[f.name] for o in out]).astype(f.type.to_pandas_dtype())) for f in owned}, schema=owned)
 
-    dealt = small_batches(source).mapInArrow(contexts, "bucket int, h long, x long, lo tinyint, hi tinyint, ctx binary, dmin long, dmax long")
-    found = written(dealt.groupBy("bucket").applyInPandas(owners, "h long, x long, dmin long, a1 tinyint, b1 tinyint, a2 tinyint, b2 tinyint"))
+    owned = pa.schema([(n, pa.int8() if n[0] in "ab" else pa.int64()) for n in ("h", "x", "dmin", "a1", "b1", "a2", "b2")])
+    dealt = small_batches(source).mapInArrow(contexts, "bucket int, part binary")
+    found = written(dealt.groupBy("bucket").applyInArrow(owners, "h long, x long, dmin long, a1 tinyint, b1 tinyint, a2 tinyint, b2 tinyint"))
 
     def places(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _cuts(stream):
@@ -357,10 +390,47 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                     columns = [batch.column("doc_id").take(row), batch.column("tag").take(row), pa.array((at - beyond).astype(np.int64)), pa.array(h.view(np.int64)), pa.array(context_hash(h, lo, hi, rows).view(np.int64))]
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", "pos", "h", "x"])
 
-    hits = small_batches(source).mapInArrow(places, "doc_id long, tag long, pos long, h long, x long").join(found, ["h", "x"])
+    hits = small_batches(source).mapInArrow(places, "doc_id long, tag long, pos long, h long, x long").alias("hits")
+    same = (F.col("hits.x") == F.col("found.x")) & (F.col("hits.h").bitwiseXOR(F.col("found.h")) == 0)  # one key to sort by; the other only checks
     later = F.col("doc_id") > F.col("dmin")
     lo, hi = F.when(later, F.col("a2")).otherwise(F.col("a1")), F.when(later, F.col("b2")).otherwise(F.col("b1"))
-    return hits.filter(later | (F.col("b1") >= 0)).select("doc_id", "tag", (F.col("pos") + lo).alias("lo"), (F.col("pos") + hi + length).alias("hi"))
+    lost = hits.join(found.alias("found"), same).filter(later | (F.col("b1") >= 0))
+    return lost.select("doc_id", "tag", (F.col("pos") + lo).alias("lo"), (F.col("pos") + hi + length).alias("hi"))
+
+
+def join_spans(doc: np.ndarray, tag: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of each (doc, tag) that touch or overlap as one; no place is negative."""
+    if not len(lo):
+        return doc, tag, lo, hi
+    row = _ranks(_pairs(_ranks(doc), _ranks(tag)))
+    order = _order(row, lo)
+    doc, tag, lo, hi, row = (a[order] for a in (doc, tag, lo, hi, row))
+    far = row * (int(hi.max()) + 1)  # the rows' places one after the other
+    end = np.maximum.accumulate(hi + far)
+    first = np.flatnonzero(np.concatenate([[True], ((lo + far)[1:] > end[:-1]) | (row[1:] != row[:-1])]))
+    return doc[first], tag[first], lo[first], end[np.append(first[1:], len(row)) - 1] - far[first]
+
+
+def _joined(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans joined as far as they come together here."""
+    names = ["doc_id", "tag", "lo", "hi"]
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+
+    def joined() -> tuple[np.ndarray, ...]:
+        return join_spans(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    for batch in stream:
+        held.append(tuple(batch.column(n).to_numpy() for n in names))
+        size += batch.num_rows
+        if size > _FLUSH:
+            held = [joined()]
+            size = len(held[0][0])
+            if size > _FLUSH // 2:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], names=names)
+                held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in joined()], names=names)
 
 
 def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -378,7 +448,8 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
         ranked = docs.select(docs[key].alias("own_id"), docs[text].alias("text")).join(ranks, "own_id", "left").select("rank", "text")
         out = suffix_dedup(ranked, "rank", "text", length).withColumnRenamed("doc_id", "rank").join(ranks, "rank", "left")
         return out.select(F.col("own_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
-    spans = repeated_spans(docs, key, text, length)
+    spans = repeated_spans(docs, key, text, length).repartition("doc_id", "tag")
+    spans = spans.mapInArrow(_joined, spans.schema)  # most of a text's spans overlap
     merged = spans.groupBy(F.col("doc_id").alias("cut_id"), F.col("tag").alias("cut_tag")).agg(F.collect_set(F.struct("lo", "hi")).alias("cut"))
     merged = written(merged.select("cut_id", "cut_tag", F.col("cut.lo").alias("lo"), F.col("cut.hi").alias("hi")))
     both = _source(docs, key, text).join(merged, (F.col("doc_id") == F.col("cut_id")) & (F.col("tag") == F.col("cut_tag")), "left").select("doc_id", "text", "lo", "hi")
