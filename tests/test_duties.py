@@ -406,6 +406,50 @@ def _logged(engine):
     return os.path.isdir(f"{engine.store.root}/records")
 
 
+# --- retention by timers ------------------------------------------------------------------------------------------
+
+
+def _brute_timers(runs):
+    """(key, expiry) of what goes, when each run is one batch and the last is followed by one without messages."""
+    expires, held, now, out = {}, set(), 0, []
+    for batch in [*runs, []]:
+        for key, kind, at, ms in sorted((m for m in batch if m[0] is not None), key=lambda m: (m[2], m[1])):
+            if kind == "row":
+                expires[key] = 2**62 if ms is None else max(0, ms)
+            else:
+                held.add(key) if kind == "hold" else held.discard(key)
+        over = {k: t for k, t in expires.items() if t <= now and k not in held}
+        out += over.items()
+        expires = {k: t for k, t in expires.items() if k not in over}
+        now = max([now, *[m[2] for m in batch if m[0] is not None]])
+    return sorted(out)
+
+
+def test_timers_of_blocks(spark, tmp_path):
+    """Rows that come again, holds before and after rows, releases, below zero, at the very moment: three runs, with an entry of state for 128 keys."""
+    import random
+
+    from wardhall.streaming.timers import expiring, run_to_end
+
+    rnd = random.Random(5)
+    keys, runs, schema = range(-1500, 1500), [], "key long, kind string, at timestamp, expires_ms long"
+    for run in range(3):
+        start = 1_000_000 * (run + 1)
+        some = [(k, "row", start + 1 + 3 * (k + 1500), rnd.choice([None, -5, 1_005_000, 1_500_000, 2_005_000, 2_500_000, 3_010_000, 9_000_000])) for k in (keys if run == 0 else rnd.sample(keys, 300))]
+        some += [(k, kind, start + 2 + 3 * (k + 1500) + rnd.choice([-2, 0]), None) for kind in ("hold", "release") for k in rnd.sample(keys, 600)]
+        runs.append([*some, (None, "row", start + 5, 0), (0, "release", start + 10_000, None)])
+    runs[0][:2] = [(keys[0], "row", 1_000_001, 1_010_000), (keys[1], "row", 1_000_004, 1_010_001)]  # the greatest moment of the first run, and just after
+    os.mkdir(tmp_path / "in")
+    sent = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    for n, some in enumerate(runs):
+        stamps = spark.createDataFrame(some, "key long, kind string, ms long, expires_ms long").select("key", "kind", F.timestamp_millis("ms").alias("at"), "expires_ms")
+        stamps.repartition(3).write.mode("append").parquet(str(tmp_path / "in"))
+        run_to_end(expiring(sent, block_bits=7), str(tmp_path / "out"), str(tmp_path / "checkpoint"), more=n < 2)
+    assert sorted(map(tuple, spark.read.schema("key long, expired_at long").parquet(str(tmp_path / "out")).collect())) == _brute_timers(runs)
+    state = spark.read.format("statestore").option("stateVarName", "block").option("batchId", 0).load(str(tmp_path / "checkpoint"))
+    assert 0 < state.count() <= 24
+
+
 # --- questions at the command line --------------------------------------------------------------------------------
 
 

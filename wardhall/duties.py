@@ -258,7 +258,7 @@ def retention_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
     sent = lambda batch, kind, every: events.filter(f"event_id % {every} = 0").select("event_id", F.lit(kind), F.lit(f"2024-01-{10 * batch + 5}").cast("timestamp"), F.lit(None).cast("long"), F.lit(batch).cast("long"))
     whole = rows.union(sent(1, HOLD, 11)).union(sent(2, RELEASE, 22))
     for batch in range(3):
-        whole.filter(f"batch = {batch}").drop("batch").coalesce(1).write.parquet(f"{work}/in/{batch}")
-    messages = spark.readStream.schema("key long, kind string, at timestamp, expires_ms long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{work}/in")
-    run_to_end(expiring(messages), f"{work}/out", f"{work}/checkpoint")
+        whole.filter(f"batch = {batch}").drop("batch").write.parquet(f"{work}/in/{batch}")
+        messages = spark.readStream.schema("key long, kind string, at timestamp, expires_ms long").option("recursiveFileLookup", "true").parquet(f"{work}/in")
+        run_to_end(expiring(messages), f"{work}/out", f"{work}/checkpoint", more=batch < 2)
     return spark.read.schema("key long, expired_at long").parquet(f"{work}/out").select(F.col("key").alias("event_id"))
